@@ -66,37 +66,54 @@ def _halves_from_groups(groups: Column) -> tuple[Column, Column]:
     return half(0), half(4)
 
 
-def _v6_groups(text: Column) -> Column:
-    """Eight 16-bit groups as ARRAY<BIGINT>; NULL for malformed IPv6 text."""
-    text = F.lower(text)
+def _split_side(text: Column) -> Column:
+    return F.when(text != "", F.split(text, ":", -1)).otherwise(F.array().cast("array<string>"))
+
+
+def _with_v6_groups(df: DataFrame, address: str) -> DataFrame:
+    """Add ``_v6``: eight 16-bit groups as ARRAY<BIGINT>, NULL for malformed IPv6 text.
+
+    One select per step, so each intermediate value is computed once.
+    """
+    base = df.columns
+    text = F.lower(F.col(address))
     tail4 = F.regexp_extract(text, rf":({_V4})$", 1)
-    tail_int = v4_int(tail4)
+    df = df.select(
+        *base,
+        F.when(F.col(address).contains(":"), text).alias("_t"),
+        F.when(F.col(address).contains(".") & F.col(address).contains(":"), v4_int(tail4)).alias("_quad"),
+    )
     # An embedded dotted quad stands for the last two groups.
-    text = F.when(
-        tail4 != "",
-        F.concat(
-            F.regexp_replace(text, r"[0-9.]+$", ""),
-            F.lower(F.hex(F.shiftright(tail_int, 16))),
-            F.lit(":"),
-            F.lower(F.hex(tail_int.bitwiseAND(65535))),
-        ),
-    ).otherwise(text)
-    pieces = F.split(text, "::", -1)
-    side = lambda t: F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.split(t, ":", -1)
+    quad = F.concat(F.hex(F.shiftright("_quad", 16)), F.lit(":"), F.hex(F.col("_quad").bitwiseAND(65535)))
+    df = df.select(
+        *base,
+        F.split(
+            F.when(F.col("_quad").isNotNull(), F.concat(F.regexp_replace("_t", "[0-9.]+$", ""), F.lower(quad)))
+            .otherwise(F.col("_t")),
+            "::",
+            -1,
+        ).alias("_pieces"),
+    )
+    df = df.select(
+        *base,
+        F.size("_pieces").alias("_n"),
+        _split_side(F.get("_pieces", F.lit(0))).alias("_head"),
+        _split_side(F.coalesce(F.get("_pieces", F.lit(1)), F.lit(""))).alias("_tail"),
     )
-    head, tail = side(F.get(pieces, 0)), side(F.get(pieces, 1))
-    given = F.size(head) + F.size(tail)
-    compressed = F.size(pieces) == 2
-    fits = F.when(compressed, given <= 7).otherwise((F.size(pieces) == 1) & (given == 8))
-    fill = F.when(compressed, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0)))).otherwise(
-        F.array().cast("array<string>")
+    given = F.size("_head") + F.size("_tail")
+    df = df.select(
+        *base,
+        F.when(
+            ((F.col("_n") == 2) & (given <= 7)) | ((F.col("_n") == 1) & (given == 8)),
+            F.concat("_head", F.array_repeat(F.lit("0"), F.lit(8) - given), "_tail"),
+        ).alias("_groups"),
     )
-    groups = F.concat(head, fill, tail)
-    well_formed = fits & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(
-        text.contains(":") & well_formed,
-        F.transform(groups, lambda g: F.conv(g, 16, 10).cast("bigint")),
+    return df.select(
+        *base,
+        F.when(
+            F.forall("_groups", lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+            F.transform("_groups", lambda g: F.conv(g, 16, 10).cast("bigint")),
+        ).alias("_v6"),
     )
 
 
@@ -174,14 +191,18 @@ def v6_text(hi: Column, lo: Column) -> Column:
         return [_shru(bits, F.lit(s)).bitwiseAND(65535) for s in (48, 32, 16, 0)]
 
     eight = groups(hi) + groups(lo)
-    full = F.concat_ws(":", *[F.lower(F.hex(g)) for g in eight])
-    out = full
+    padded = F.concat(F.lit(":"), F.concat_ws(":", *[F.lower(F.hex(g)) for g in eight]), F.lit(":"))
+    out = F.substring(padded, F.lit(2), F.length(padded) - 2)
     for run in range(2, 9):
-        pattern = r"^(|.*?:)0(?::0){%d}(|:.*)$" % (run - 1)
-        left = F.regexp_replace(F.regexp_extract(full, pattern, 1), ":$", "")
-        right = F.regexp_replace(F.regexp_extract(full, pattern, 2), "^:", "")
+        zeros = ":" + "0:" * run
+        before = F.substring_index(padded, zeros, 1)
+        after_at = F.length(before) + len(zeros) + 1
+        after = F.substring(padded, after_at, F.greatest(F.length(padded) - after_at, F.lit(0)))
         # Later (longer) runs win, so each step overrides the one before it.
-        out = F.when(full.rlike(pattern), F.concat(left, F.lit("::"), right)).otherwise(out)
+        out = F.when(
+            padded.contains(zeros),
+            F.concat(F.substring(before, 2, 40), F.lit("::"), after),
+        ).otherwise(out)
     mapped = (hi == ZERO_HALF) & (F.shiftright(lo.bitwiseXOR(F.lit(ZERO_HALF)), 32) == 65535)
     dotted = F.concat(F.lit("::ffff:"), v4_text(lo.bitwiseXOR(F.lit(ZERO_HALF)).bitwiseAND(0xFFFFFFFF)))
     return F.when(mapped, dotted).otherwise(out)
@@ -212,10 +233,9 @@ def with_prefix(df: DataFrame, cidr: str, *, strict: bool = False) -> DataFrame:
         F.when(text.contains("/"), F.substring_index(text, "/", -1)).alias("_len"),
         (F.size(F.split(text, "/", -1)) <= 2).alias("_shape"),
     )
-    # A branch per family: no IPv6 work is done for IPv4 text.
-    groups = F.when(F.col("_addr").contains(":"), _v6_groups(F.col("_addr")))
-    mask_int = v4_int(F.col("_len"))
-    staged = staged.select("*", v4_int(F.col("_addr")).alias("_v4"), groups.alias("_v6"), mask_int.alias("_mask"))
+    mask_int = F.when(F.col("_len").contains("."), v4_int(F.col("_len")))
+    staged = _with_v6_groups(staged, "_addr")
+    staged = staged.select("*", v4_int(F.col("_addr")).alias("_v4"), mask_int.alias("_mask"))
     full = 0xFFFFFFFF
     ones = lambda m: F.bit_count(m).cast("int")
     netmask = lambda m: m == F.lit(full).bitwiseAND(_shl(F.lit(full).cast("bigint"), F.lit(32) - ones(m)))
@@ -242,13 +262,12 @@ def with_prefix(df: DataFrame, cidr: str, *, strict: bool = False) -> DataFrame:
     masked_lo = mask_half_lo(F.col("_lo"), F.col("_plen"))
     if strict:
         good = good & (masked_hi == F.col("_hi")) & (masked_lo == F.col("_lo"))
-    return staged.select(
-        *keep,
-        F.when(good, F.col("_family")).alias("family"),
-        F.when(good, F.col("_plen")).alias("plen"),
-        F.when(good, masked_hi).alias("hi"),
-        F.when(good, masked_lo).alias("lo"),
-    )
+    fields = {"family": "_family", "plen": "_plen"}
+    values = [F.when(good, F.col(v)).alias(k) for k, v in fields.items()]
+    values += [F.when(good, masked_hi).alias("hi"), F.when(good, masked_lo).alias("lo")]
+    # A one-row generator: a filter or join key on the parsed columns stays above it
+    # instead of being pushed down as a copy of the whole parsing expression.
+    return staged.select(*keep, F.inline(F.array(F.struct(*values))))
 
 
 def with_address(df: DataFrame, text: str, *, family: int | None = None) -> DataFrame:
