@@ -152,3 +152,156 @@ def as_names(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("NET"), key.cast("string"), F.lit(" - "), org, F.lit(", US")).alias("as_name"),
         )
     )
+
+
+# Attempts, log rows and packets: one attempt per row of ``events``. The case number
+# ``event_id % 12`` says which piece of evidence is broken (see ``CASES``).
+HOST = "probe.example.net"
+PRIVATE = "10.0.0.5"
+PIN = "198.51.100.7"
+CASES = {2: "no log row", 3: "second flow", 4: "stale flow", 5: "other ingress", 6: "real address", 7: "not in feed",
+         8: "clock", 9: "condition changed", 10: "two rows without uuid", 11: "no origin"}
+
+
+def _attempt_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))  # one row
+    e = F.col("event_id")
+    case = (e % 12).cast("int")
+    slot = F.col("user_id") % F.least(F.col("n"), F.lit(V4_SLOTS))
+    offset = F.when(case == 7, 1500).otherwise(e % 1024)
+    udp = F.floor(e / 12) % 2 == 0
+    shifted = lambda s: F.timestamp_micros(F.unix_micros("ts") + int(s * 1000000))
+    iso = lambda s: F.date_format(shifted(s), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.crossJoin(F.broadcast(customers)).select(
+        e.alias("e"), case.alias("case"), "ts", "user_id", "event_type",
+        F.concat(F.lit("r"), e.cast("string")).alias("run_id"),
+        F.concat(F.lit("day/"), e.cast("string")).alias("attempt_path"),
+        F.when(udp, "udp").otherwise("tcp").alias("transport"),
+        F.when(udp, "HTTP/3.0").otherwise("HTTP/2.0").alias("proto"),
+        A.v4_text(F.lit(V4_BASE) + slot * 2048 + offset).alias("remote_ip"),
+        (F.lit(1024) + e % 60000).cast("int").alias("remote_port"),
+        (F.unix_micros("ts") / 1000000).alias("epoch"),
+        F.when(F.floor(e / 24) % 2 == 0, "unpinned").otherwise("pinned").alias("grp"),
+        iso(0).alias("t0"), iso(2).alias("t2"), iso(10).alias("t10"), iso(12).alias("t12"), iso(92).alias("t92"), iso(5).alias("t5"),
+        F.to_date(shifted(5)).alias("day"),
+    )
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pinned = F.col("grp") == "pinned"
+    text = lambda v: F.lit(v)
+    return _attempt_base(spark, sf_dir).select(
+        "attempt_path", "run_id", text("c1").alias("campaign"), text("live").alias("run_mode"),
+        F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("session"),
+        F.concat(F.lit("slot"), F.col("e").cast("string")).alias("slot_id"),
+        F.concat(F.lit("b"), (F.col("user_id") % 5).cast("string")).alias("block_id"),
+        F.lit(1).alias("attempt_number"), F.col("t0").alias("client_start_utc"), F.col("t2").alias("safari_launch_requested_utc"),
+        F.col("t92").alias("timeout_deadline_utc"),
+        F.when(F.col("case") == 8, "drifting").otherwise("synchronized").alias("clock_status"),
+        F.struct(F.lit("Network Time: On").alias("network_time")).alias("clock_evidence"),
+        text("on").alias("private_relay_state"),
+        F.when(F.col("e") % 3 == 0, "maintain_general_location").otherwise("country_and_time_zone").alias("location_setting"),
+        F.when(pinned, "pinned_group").otherwise("unpinned").alias("intended_ingress_group"),
+        F.when(pinned, PIN).alias("intended_ingress_ip"),
+        F.array(F.lit(PIN), F.lit("198.51.100.8")).alias("approved_ingress_candidates"),
+        F.array(F.lit(PIN)).alias("approved_pin_group_addresses"),
+        F.struct(F.create_map(F.lit("mask.example.net"), F.struct(F.array(
+            F.struct(F.lit(PIN).alias("address")), F.struct(F.lit("198.51.100.8").alias("address"))).alias("A"))).alias("hostnames")).alias("effective_dns"),
+        text("port 443").alias("capture_filter"), text("none").alias("quic_block_state"), text(HOST).alias("hostname"),
+        text("https://probe.example.net/").alias("url"), text("15").alias("macos_version"), text("18").alias("safari_version"),
+        text("en0").alias("active_interface"), text("wifi").alias("network_type"),
+        F.when(F.col("case") == 6, F.col("remote_ip")).otherwise("203.0.113.9").alias("real_public_ipv4"),
+        F.when(F.col("e") % 5 == 0, "quit_browser").otherwise("new_window").alias("freshness_method"),
+        text(BOUNDED_POLICY).alias("ingress_attribution_policy"), text("ok").alias("operator_condition_confirmation"),
+    )
+
+
+BOUNDED_POLICY = "bounded_candidate_contact_v2"
+
+
+def attempt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = lambda name, at, outcome=None, changed=None, end=None: F.struct(
+        F.lit(name).alias("event"), F.col(at).alias("recorded_utc"), F.lit(outcome).cast("string").alias("outcome"),
+        (changed if changed is not None else F.lit(None)).cast("boolean").alias("condition_changed"),
+        F.lit(end).cast("string").alias("end_condition_confirmation"),
+    )
+    rows = F.array(
+        row("run_started", "t0"), row("safari_url_launch_requested", "t2"), row("capture_stopped", "t10"),
+        row("run_finished", "t12", "success", F.col("case") == 9, "same"),
+    )
+    return _attempt_base(spark, sf_dir).select("attempt_path", F.inline(rows))
+
+
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _attempt_base(spark, sf_dir).filter(F.col("case") != 2)
+    copies = F.when(F.col("case").isin(3, 10), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return base.withColumn("copy", F.explode(copies)).select(
+        "run_id", F.concat_ws("-", F.lit("u"), F.col("e").cast("string"), F.col("copy").cast("string")).alias("request_uuid"),
+        (F.col("epoch") + 5 + F.col("copy") * 0.5).alias("ts"), F.lit(200).alias("status"), "remote_ip",
+        (F.col("remote_port") + F.when(F.col("case") == 3, F.col("copy")).otherwise(0)).alias("remote_port"),
+        "proto", F.lit("GET").alias("method"), F.lit(HOST + ":443").alias("host"), F.concat(F.lit("/probe/"), "run_id").alias("uri"),
+        F.lit("log/a.jsonl").alias("artifact"), F.col("e").alias("line_number"),
+        F.sha2(F.concat_ws("-", F.col("e").cast("string"), F.col("copy").cast("string")), 256).alias("row_sha256"),
+    )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attempt_base(spark, sf_dir).select(
+        "attempt_path", "run_id", F.col("t5").alias("server_utc"), F.round((F.col("epoch") + 5) * 1000).cast("bigint").alias("server_unix_ms"),
+        F.when(F.col("case") != 10, F.concat_ws("-", F.lit("u"), F.col("e").cast("string"), F.lit("0"))).alias("request_uuid"),
+        "remote_ip", F.col("remote_port").cast("string").alias("remote_port"), F.col("proto").alias("http_protocol"),
+        F.lit(HOST).alias("request_host"), F.concat(F.lit("/probe/"), "run_id").alias("request_uri"),
+    )
+
+
+def _packet(at: Column, src: Column, sport: Column, dst: Column) -> list[Column]:
+    tcp = F.col("transport") == "tcp"
+    return [
+        F.lit(1).alias("frame_number"), at.alias("time_epoch"), src.alias("src_ip"), dst.alias("dst_ip"), F.col("transport"),
+        sport.alias("src_port"), F.lit(443).alias("dst_port"), tcp.alias("tcp_syn"), F.lit(False).alias("tcp_ack"),
+        F.when(tcp, F.col("e")).alias("tcp_seq_raw"), F.lit(0).alias("tcp_len"), F.when(tcp, 0).otherwise(1200).alias("udp_length"),
+        F.lit(None).cast("string").alias("stream"), (~tcp).alias("quic_initial"), F.when(~tcp, F.concat(F.lit("d"), F.col("e").cast("string"))).alias("quic_dcid"),
+        F.lit("p.jsonl").alias("artifact"), F.lit("00").alias("artifact_sha256"),
+    ]
+
+
+def server_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("epoch") + F.when(F.col("case") == 4, -30).otherwise(4)
+    return _attempt_base(spark, sf_dir).select(*_packet(at, F.col("remote_ip"), F.col("remote_port"), F.lit(PRIVATE)))
+
+
+def client_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Case 5 reaches no candidate when unpinned and the wrong one when pinned.
+    dst = F.when((F.col("case") == 5) & (F.col("grp") == "pinned"), "198.51.100.8").when(F.col("case") == 5, "198.51.100.99").otherwise(PIN)
+    return _attempt_base(spark, sf_dir).select("attempt_path", *_packet(F.col("epoch") + 3, F.lit("192.168.1.2"), F.col("remote_port"), dst))
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first snapshot's IPv4 rows as the feed of every day on which an attempt was served."""
+    days = _attempt_base(spark, sf_dir).select(F.col("day").alias("date")).distinct()
+    rows = catalogue(spark, sf_dir).filter((F.col("family") == 4) & (F.col("snapshot_date") == DAYS[0])).select(
+        *A.PREFIX, F.col("canonical").alias("ip_prefix"), "country", "region", "city", F.lit(0).alias("_ordinal")
+    )
+    return rows.crossJoin(days)  # a feed per day is what a feed archive holds
+
+
+def feed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attempt_base(spark, sf_dir).select(F.col("day").alias("date")).distinct().select(
+        "date", F.lit(1).alias("files"), F.lit(False).alias("conflict"), F.sha2(F.col("date").cast("string"), 256).alias("feed_sha256")
+    )
+
+
+def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated origins: the pin's and each served address of the attempts that are not case 11."""
+    served = _attempt_base(spark, sf_dir).filter("case <> 11").select(
+        F.col("day").alias("date"), F.concat("remote_ip", F.lit("/32")).alias("prefix"), (F.lit(FIRST_ASN) + F.col("user_id") % 4).alias("asn")
+    )
+    pins = served.select("date").distinct().select("date", F.lit("198.51.100.0/24").alias("prefix"), F.lit(FIRST_ASN).cast("bigint").alias("asn"))
+    return A.with_prefix(served.unionByName(pins).distinct(), "prefix")
+
+
+def operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").filter("s_suppkey < 4").select(
+        (F.lit(FIRST_ASN) + F.col("s_suppkey")).alias("asn"), F.concat(F.lit("op"), (F.col("s_suppkey") % 2).cast("string")).alias("operator_id")
+    )
