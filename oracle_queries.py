@@ -274,4 +274,229 @@ SELECT count(*) FILTER (country = 'EU') AS selected_subnets, count(*) AS total_s
 FROM ops WHERE outcome IS NOT NULL""",
 }
 
-ORACLES = {**CATALOGUE_SQL}
+
+# Evidence: the broken piece of each attempt is known from its case number, so the decision follows from the case
+# and from plain joins to the catalogue and the origins.
+ATTEMPTS = f"""{CATALOGUE},
+att AS (
+  SELECT event_id AS e, 'r' || event_id AS run_id, 'day/' || event_id AS attempt_path, event_id % 12 AS kase, ts, user_id,
+    (event_id // 12) % 2 = 0 AS udp, (event_id // 24) % 2 <> 0 AS pinned,
+    {D.V4_BASE} + (user_id % least((SELECT count(*) FROM customer), {D.V4_SLOTS})) * 2048 + CASE WHEN event_id % 12 = 7 THEN 1500 ELSE event_id % 1024 END AS ip,
+    1024 + event_id % 60000 AS port, (ts + INTERVAL 5 SECOND)::DATE AS day
+  FROM events),
+ip AS (SELECT *, (ip >> 24)::VARCHAR || '.' || ((ip >> 16) & 255) || '.' || ((ip >> 8) & 255) || '.' || (ip & 255) AS remote_ip FROM att),
+feed AS (SELECT * FROM cat WHERE day = 0 AND family = 4),
+origin AS (SELECT day, ip, min({D.FIRST_ASN} + user_id % 4) AS lo, max({D.FIRST_ASN} + user_id % 4) AS hi FROM att WHERE kase <> 11 GROUP BY ALL),
+origin_days AS (SELECT DISTINCT day FROM att WHERE kase <> 11),
+found AS (
+  SELECT a.*, kase NOT IN (2, 10) AS sel, f.s AS fs, f.country, f.region, f.city,
+    CASE WHEN kase NOT IN (2, 10) AND o.lo = o.hi THEN o.lo END AS egress_asn,
+    CASE WHEN kase NOT IN (2, 10, 5) AND d.day IS NOT NULL THEN {D.FIRST_ASN} END AS ingress_asn
+  FROM ip a LEFT JOIN feed f ON a.kase NOT IN (2, 10) AND f.s <= a.ip AND a.ip < f.s + f.n
+  LEFT JOIN origin o ON o.day = a.day AND o.ip = a.ip LEFT JOIN origin_days d ON d.day = a.day),
+judged AS (
+  SELECT *, CASE kase WHEN 2 THEN 'E01_NO_SERVER_OBSERVATION' WHEN 3 THEN 'E02_MULTIPLE_SERVER_CONNECTIONS' WHEN 4 THEN 'E03_NO_FRESH_FLOW'
+      WHEN 5 THEN 'E04_WRONG_OR_UNKNOWN_INGRESS' WHEN 6 THEN 'E05_REAL_IP_AT_DESTINATION' WHEN 7 THEN 'E06_EGRESS_NOT_IN_FEED'
+      WHEN 8 THEN 'E07_CLOCK_OR_LOG_CORRUPTION' WHEN 9 THEN 'E08_CONDITION_CHANGED' WHEN 10 THEN 'E07_CLOCK_OR_LOG_CORRUPTION' END AS exclusion_reason,
+    CASE WHEN fs IS NULL THEN NULL WHEN e % 3 <> 0 THEN CASE WHEN country IN ('EU', 'AS') THEN 'within_declared_country_time_zone' ELSE 'outside_declared_country_time_zone' END
+      WHEN country = '' THEN 'unclassifiable' WHEN country <> 'EU' THEN 'inconsistent' WHEN city IN ('BUILDING', 'MACHINERY') THEN 'city_level_consistent'
+      ELSE 'primary_boundary_non_match' END AS disclosure_class,
+    CASE WHEN sel AND kase <> 5 AND (egress_asn IS NULL OR ingress_asn IS NULL) THEN 'dated_asn_mapping_missing' END AS pending_reason
+  FROM found),
+rec AS (
+  SELECT *, CASE WHEN exclusion_reason IS NOT NULL THEN 'excluded' WHEN pending_reason IS NOT NULL THEN 'pending' ELSE 'accepted' END AS disposition,
+    CASE WHEN kase = 6 THEN 'real_ip_bypass' WHEN kase = 2 THEN 'dropped_or_timeout' WHEN kase IN (3, 4, 5, 8, 9, 10) THEN 'ambiguous'
+      WHEN kase <> 7 AND pending_reason IS NOT NULL THEN 'pending' WHEN udp THEN 'http3_preserved' ELSE 'tcp_downgrade' END AS protocol_classification,
+    CASE WHEN egress_asn IS NOT NULL AND ingress_asn IS NOT NULL THEN (egress_asn - {D.FIRST_ASN}) % 2 = 0 END AS same_operator,
+    CASE kase WHEN 2 THEN 0 WHEN 3 THEN 2 WHEN 10 THEN 2 ELSE 1 END AS server_delivery_count,
+    strftime(ts, '%Y-%m-%d') AS client_day
+  FROM judged),
+elig AS (
+  SELECT *, kase NOT IN (2, 3, 4, 8, 9, 10) AS dest, kase NOT IN (2, 3, 4, 5, 8, 9, 10) AS outer_ok,
+    kase NOT IN (2, 3, 4, 5, 6, 7, 8, 9, 10) AND egress_asn IS NOT NULL AND ingress_asn IS NOT NULL AS pair_ok,
+    kase NOT IN (2, 3, 4, 6, 7, 8, 9, 10) AND country <> '' AS loc_ok,
+    CASE WHEN sel THEN strftime(ts + INTERVAL 5 SECOND, '%Y-%m-%d') ELSE client_day END AS obs_day,
+    CASE WHEN kase IN (2, 3, 4, 8, 9, 10) THEN 'ineligible' WHEN kase = 6 THEN 'real_ip_bypass_' || CASE WHEN udp THEN 'http3' ELSE 'http2' END
+      WHEN kase = 7 THEN 'non_feed_' || CASE WHEN udp THEN 'http3' ELSE 'http2' END WHEN udp THEN 'http3_preserved' ELSE 'http2_delivered' END AS dest_result
+  FROM rec)"""
+
+_MISSING = ";".join([
+    "server_delivery_count_not_one", "response_status_not_200", "missing_server_time_utc", "missing_server_remote_ip", "missing_server_remote_port",
+    "missing_server_transport", "missing_server_http_protocol", "missing_server_flow_key", "missing_request_uuid", "missing_freshness_evidence",
+])
+_DIMS = {
+    "pin_mode": "CASE WHEN pinned THEN 'pinned' ELSE 'unpinned' END", "intended_ingress_group": "CASE WHEN pinned THEN 'pinned_group' ELSE 'unpinned' END",
+    "location_setting": "CASE WHEN e % 3 = 0 THEN 'maintain_general_location' ELSE 'country_and_time_zone' END", "private_relay_state": "'on'",
+    "block_id": "'b' || user_id % 5", "session": "'s' || user_id % 3", "quic_block_state": "'none'", "protocol_classification": "protocol_classification",
+}
+_LONG = " UNION ALL ".join(f"SELECT client_day AS day, disposition, '{d}' AS dimension, {x} AS value FROM rec" for d, x in _DIMS.items())
+_FLAGS = {"objective_1_destination_eligible": "dest", "objective_1_outer_leg_eligible": "outer_ok", "objective_2_exact_pair_eligible": "pair_ok",
+          "objective_3_location_eligible": "loc_ok", "objective_3_primary_eligible": "loc_ok AND NOT pinned"}
+_FLAG_ROWS = " UNION ALL ".join(
+    f"SELECT obs_day AS day, '{m}' AS measure, CASE WHEN {x} THEN 'eligible' ELSE 'ineligible' END AS value FROM elig" for m, x in _FLAGS.items()
+) + " UNION ALL SELECT obs_day, 'objective_1_destination_result', dest_result FROM elig"
+
+PAIR_SQL = {
+    "pair_records": f"""WITH {ATTEMPTS}
+SELECT run_id, disposition, exclusion_reason, pending_reason,
+  CASE WHEN kase = 10 THEN 'E07_CLOCK_OR_LOG_CORRUPTION,E01_NO_SERVER_OBSERVATION,E02_MULTIPLE_SERVER_CONNECTIONS' ELSE coalesce(exclusion_reason, '') END AS triggered,
+  protocol_classification, CASE WHEN fs IS NOT NULL THEN {_cidr('4', 'fs', '22')} END AS matched_prefix, country AS advertised_country, city AS advertised_city,
+  disclosure_class, ingress_asn, CASE WHEN kase <> 5 OR egress_asn IS NOT NULL THEN egress_asn END AS egress_asn, same_operator, server_delivery_count,
+  CASE WHEN NOT pinned THEN 'not_applicable' WHEN kase = 5 THEN 'other_ingress_observed' ELSE 'intended_ingress_observed' END AS pin_contact_status,
+  CASE WHEN kase <> 5 THEN '{D.PIN}' END AS observed_ingress_ip, CASE WHEN kase <> 5 THEN CASE WHEN udp THEN 'udp' ELSE 'tcp' END END AS ingress_transport
+FROM rec""",
+    "log_selection": f"""WITH {ATTEMPTS}
+SELECT run_id, server_delivery_count, 0 AS bad_rows, CASE WHEN sel THEN 'u-' || e || '-0' END AS selected_uuid, kase = 10 AS rows_without_uuid, kase = 3 AS several_flows FROM rec""",
+    "server_freshness": f"""WITH {ATTEMPTS}
+SELECT attempt_path, true AS fresh, false AS ambiguous_connection, CASE WHEN udp THEN 'quic_initial' ELSE 'tcp_syn' END AS kind FROM rec WHERE sel AND kase <> 4""",
+    "objective_eligibility": f"""WITH {ATTEMPTS}
+SELECT run_id, dest AS objective_1_destination_eligible,
+  CASE kase WHEN 2 THEN '{_MISSING};blocked_by_E01_NO_SERVER_OBSERVATION'
+    WHEN 10 THEN '{_MISSING};blocked_by_E01_NO_SERVER_OBSERVATION;blocked_by_E02_MULTIPLE_SERVER_CONNECTIONS;blocked_by_E07_CLOCK_OR_LOG_CORRUPTION'
+    WHEN 3 THEN 'server_delivery_count_not_one;blocked_by_E02_MULTIPLE_SERVER_CONNECTIONS' WHEN 4 THEN 'missing_freshness_evidence;blocked_by_E03_NO_FRESH_FLOW'
+    WHEN 8 THEN 'blocked_by_E07_CLOCK_OR_LOG_CORRUPTION' WHEN 9 THEN 'condition_changed;blocked_by_E08_CONDITION_CHANGED' ELSE 'eligible' END AS objective_1_destination_reason,
+  dest_result AS objective_1_destination_result, outer_ok AS objective_1_outer_leg_eligible, pair_ok AS objective_2_exact_pair_eligible,
+  coalesce(loc_ok, false) AS objective_3_location_eligible, coalesce(loc_ok, false) AND NOT pinned AS objective_3_primary_eligible, obs_day AS observation_date_utc FROM elig""",
+    "eligibility_summary": f"""WITH {ATTEMPTS}, long AS ({_FLAG_ROWS})
+SELECT coalesce(day, 'all') AS day, measure, value, count(*) AS n FROM long GROUP BY GROUPING SETS ((day, measure, value), (measure, value))""",
+    "strata": f"""WITH {ATTEMPTS}, long AS ({_LONG})
+SELECT coalesce(day, 'all') AS day, dimension, value, count(*) AS attempts, count(*) FILTER (disposition = 'accepted') AS accepted,
+  count(*) FILTER (disposition = 'excluded') AS excluded, count(*) FILTER (disposition = 'pending') AS pending
+FROM long GROUP BY GROUPING SETS ((day, dimension, value), (dimension, value))""",
+    "disposition_counts": f"""WITH {ATTEMPTS}
+SELECT 'disposition' AS kind, disposition AS value, count(*) AS n FROM rec GROUP BY 2
+UNION ALL SELECT 'exclusion', exclusion_reason, count(*) FROM rec WHERE exclusion_reason IS NOT NULL GROUP BY 2""",
+    "temporal_intersection": f"""WITH {ATTEMPTS}, seq AS (SELECT country, region FROM rec WHERE NOT pinned AND disposition = 'accepted' AND country = 'EU'),
+v AS (SELECT 'country' AS field, country AS raw FROM seq UNION ALL SELECT 'region', region FROM seq),
+g AS (SELECT field, count(*) AS n, count(DISTINCT raw) AS d, min(lower(trim(raw))) AS lo, max(lower(trim(raw))) AS hi FROM v GROUP BY field)
+SELECT CASE WHEN n IS NULL THEN 'insufficient_accepted_unpinned_observations' ELSE 'evaluated' END AS status, k.field, coalesce(n, 0) AS observations,
+  CASE WHEN lo = hi THEN lo END AS common, coalesce(d, 0) AS distinct_raw FROM (VALUES ('country'), ('region')) k(field) LEFT JOIN g USING (field)""",
+    "origin_gaps": f"""WITH {ATTEMPTS}, gap AS (SELECT * FROM rec WHERE pending_reason IS NOT NULL)
+SELECT DISTINCT day::VARCHAR AS date, 'run_id' AS kind, run_id AS value, NULL::BIGINT AS sort_key FROM gap
+UNION SELECT DISTINCT day::VARCHAR, 'ingress', '{D.PIN}', 3325256711 FROM gap UNION SELECT DISTINCT day::VARCHAR, 'egress', remote_ip, ip FROM gap""",
+    "freshness_pilot": f"""WITH {ATTEMPTS}, m AS (SELECT *, CASE WHEN e % 5 = 0 THEN 'quit_browser' ELSE 'new_window' END AS freshness_method FROM rec)
+SELECT freshness_method, count(*) AS attempts, count(*) FILTER (disposition = 'accepted') AS accepted, 0 AS reused_connections,
+  count(*) FILTER (kase = 4) AS no_fresh_flow, count(*) FILTER (kase = 3) AS ambiguous, 0 AS invalid, 0 AS unpaired,
+  count(*) FILTER (kase NOT IN (5, 8, 10)) AS reliable, count(*) FILTER (kase IN (5, 8, 10)) = 0 AS clean,
+  CASE freshness_method WHEN 'new_window' THEN 1 ELSE 2 END AS ladder_rank, 12.0 AS mean_seconds, NULL AS selected_method FROM m GROUP BY freshness_method""",
+    "validation_report": f"""WITH {ATTEMPTS}
+SELECT run_id, disposition, protocol_classification, coalesce(exclusion_reason, pending_reason, '') AS reason FROM rec""",
+    "pending_addresses": f"""WITH {ATTEMPTS}, gap AS (SELECT * FROM rec WHERE pending_reason IS NOT NULL)
+SELECT DISTINCT day::VARCHAR AS date, '{D.PIN}' AS address FROM gap UNION SELECT DISTINCT day::VARCHAR, remote_ip FROM gap""",
+    "required_runs": f"""WITH {ATTEMPTS}
+SELECT 'log_prefix' AS rule, run_id AS key, server_delivery_count::VARCHAR AS detail FROM rec WHERE server_delivery_count <> 1""",
+    "log_dedupe": f"""WITH {ATTEMPTS}, k AS (SELECT rec.*, c FROM rec, (VALUES (0), (1)) t(c) WHERE kase <> 2 AND (c = 0 OR kase IN (3, 10)))
+SELECT run_id, 'u-' || e || '-' || c AS request_uuid, CASE WHEN e % 3 = 0 THEN 'log/a.jsonl' ELSE 'log/b.jsonl' END AS artifact, e AS line_number,
+  remote_ip, CASE WHEN udp THEN 'HTTP/3.0' ELSE 'HTTP/2.0' END AS proto, 200 AS status, false AS malformed FROM k""",
+    "packet_normalisation": f"""WITH {ATTEMPTS}
+SELECT attempt_path, e AS frame_number, e * 0.5::DOUBLE AS time_epoch, CASE WHEN e % 2 = 0 THEN remote_ip ELSE '2001:db8::1' END AS src_ip, '{D.PRIVATE}' AS dst_ip,
+  CASE WHEN udp THEN 'udp' ELSE 'tcp' END AS transport, port AS src_port, 443 AS dst_port, NOT udp AS tcp_syn, false AS tcp_ack,
+  CASE WHEN udp THEN 0 ELSE e END AS tcp_len, udp AND e % 3 = 0 AS quic_initial FROM rec""",
+    "timestamp_parsing": f"""WITH {ATTEMPTS}
+SELECT run_id, epoch_us(date_trunc('second', ts)) + e % 1000000 AS endpoint_micros, epoch_us(ts) + 5000000 AS iso_micros, true AS offset_rejected FROM rec""",
+}
+
+_RESERVED = [(0, 8), (10 << 24, 8), ((100 << 24) + (64 << 16), 10), (127 << 24, 8), ((169 << 24) + (254 << 16), 16), ((172 << 24) + (16 << 16), 12), (192 << 24, 24),
+             ((192 << 24) + (2 << 8), 24), ((192 << 24) + (168 << 16), 16), ((198 << 24) + (18 << 16), 15), ((198 << 24) + (51 << 16) + (100 << 8), 24),
+             ((203 << 24) + (113 << 8), 24), (240 << 24, 4)]
+BLOCKS = f"""
+ann AS (
+  SELECT ((o_orderkey * 2654435761) % 4294967296) AS net, CASE WHEN o_orderkey % 400 = 0 THEN 16 ELSE 20 + o_orderkey % 5 END AS plen FROM orders),
+reserved(s, plen) AS (VALUES {", ".join(f"({s}::BIGINT, {p})" for s, p in _RESERVED)}),
+every AS (
+  SELECT DISTINCT unnest(range((net >> (32 - plen)) << (24 - plen), ((net >> (32 - plen)) + 1) << (24 - plen))) AS block FROM ann),
+blocks AS (
+  SELECT block FROM every b WHERE NOT EXISTS (SELECT 1 FROM reserved r WHERE (b.block << 8) >= r.s AND (b.block << 8) < r.s + (1::BIGINT << (32 - r.plen)))),
+outcomes AS (
+  SELECT block, block % 13 <> 0 AS ok, CASE WHEN block % 17 = 0 THEN 20 WHEN block % 3 = 0 THEN 24 END AS scope FROM blocks WHERE block % 31 <> 0),
+cover AS (
+  SELECT b.block, o.ok, max(CASE WHEN o.ok AND o.scope = 20 THEN b.block - b.block % 16 + 15 END) OVER (ORDER BY b.block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS skip_until
+  FROM blocks b LEFT JOIN outcomes o USING (block)),
+states AS (
+  SELECT block, skip_until, CASE WHEN block <= skip_until THEN 'skipped' WHEN ok IS NULL THEN 'pending' WHEN ok THEN 'answered' ELSE 'failed' END AS state FROM cover),
+answers AS (SELECT DISTINCT block % 250 AS a FROM blocks WHERE block % 31 <> 0 AND block % 13 <> 0 AND block % 5 <> 0)"""
+
+OTHER_SQL = {
+    "source_blocks": f"""WITH {BLOCKS}
+SELECT block, (block >> 16)::VARCHAR || '.' || ((block >> 8) & 255) || '.' || (block & 255) || '.0/24' AS prefix FROM blocks""",
+    "scope_coverage": f"""WITH {BLOCKS} SELECT block, state, skip_until FROM states""",
+    "enumeration_summary": f"""WITH {BLOCKS}
+SELECT count(*) AS inputs, count(*) FILTER (state <> 'pending') AS inputs_processed, count(*) FILTER (state = 'skipped') AS skipped_by_returned_scope,
+  count(*) FILTER (state = 'failed') AS pending_error_prefixes, (SELECT sum(CASE WHEN ok THEN 1 ELSE 3 END) FROM outcomes)::BIGINT AS dns_queries_sent,
+  (SELECT sum(CASE WHEN ok THEN 0 ELSE 3 END) FROM outcomes)::BIGINT AS errors_or_timeouts, (SELECT count(*) FROM answers) AS unique_ingress_ipv4_addresses FROM states""",
+    "unique_addresses": f"""WITH {BLOCKS} SELECT '192.0.2.' || a AS answer_ip FROM answers""",
+    "resolver_transcripts": """
+WITH t AS (SELECT o_orderkey AS k, unnest(CASE k % 3 WHEN 0 THEN [-1] WHEN 1 THEN [0] ELSE [0, 1] END) AS n FROM orders)
+SELECT k AS id, CASE WHEN k % 11 = 0 THEN 'SERVFAIL' ELSE 'NOERROR' END AS status, CASE WHEN k % 5 <> 0 AND k % 26 <= 24 THEN k % 26 END AS scope,
+  CASE WHEN n >= 0 THEN n END AS position, CASE WHEN n >= 0 THEN '192.0.2.' || (k + n) % 250 END AS answer_ip FROM t""",
+    "resolver_answer_lines": """
+WITH t AS (SELECT 'A' AS type, (o_orderkey % 250)::VARCHAR AS v FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 'A', ((o_orderkey + 1) % 250)::VARCHAR FROM orders WHERE o_orderkey % 3 = 2
+  UNION ALL SELECT 'AAAA', 'x' FROM orders)
+SELECT type, 'mask.example.net' AS name, 60 AS ttl, count(*) AS n, count(DISTINCT v) AS vals FROM t GROUP BY type""",
+    "manifest_check": """
+WITH d AS (SELECT *, 'archive/' || source || '/' || doc_id AS path FROM documents)
+SELECT path, CASE WHEN doc_id % 17 = 3 THEN 'missing' WHEN doc_id % 23 = 5 THEN 'unlisted' WHEN doc_id % 19 = 4 THEN 'size mismatch'
+  WHEN doc_id % 29 = 6 AND strlen(reverse(lower(text))) <> strlen(text) THEN 'size mismatch' ELSE 'hash mismatch' END AS problem
+FROM d WHERE (doc_id % 17 = 3) <> (doc_id % 23 = 5) OR (doc_id % 17 <> 3 AND doc_id % 23 <> 5 AND (doc_id % 19 = 4 OR (doc_id % 29 = 6 AND reverse(lower(text)) <> text)))""",
+    "daily_artifacts": """
+WITH d AS (SELECT 'archive/' || source || '/' || doc_id AS path FROM documents WHERE doc_id % 17 <> 3)
+SELECT '2026-01-' || lpad((length(path) % 28 + 1)::VARCHAR, 2, '0') AS day, count(*) AS artifacts FROM d GROUP BY 1""",
+    "catalogue_violations": f"""WITH {LENIENT}, r AS (SELECT *, b % 70 = 69 AS shape FROM len), ok AS (SELECT * FROM r WHERE NOT bad AND NOT shape),
+c AS (SELECT DISTINCT family, s, n FROM ok),
+v AS (SELECT 'row_shape' AS rule FROM r WHERE shape UNION ALL SELECT 'malformed_cidr' FROM r WHERE bad AND NOT shape
+  UNION ALL SELECT 'duplicate_cidr' FROM (SELECT family, s, n FROM ok GROUP BY ALL HAVING count(*) > 1)
+  UNION ALL SELECT 'overlap' FROM c x JOIN c y ON x.family = y.family AND y.s <= x.s AND x.s + x.n <= y.s + y.n AND x.n < y.n)
+SELECT rule, count(*) AS n FROM v GROUP BY rule""",
+    "origin_violations": """
+WITH r AS (SELECT s_suppkey AS k, k % 7 = 0 AS bd, k % 11 = 0 AS bp, k % 13 = 0 AS ba, k % 17 = 0 AS bs, k % 19 = 0 AS bh FROM supplier),
+d AS (SELECT bd, k // 2 AS p, CASE WHEN ba THEN NULL ELSE 1 END AS a FROM r WHERE NOT bp GROUP BY ALL HAVING count(*) > 1),
+v AS (SELECT 'invalid_date' AS rule FROM r WHERE bd UNION ALL SELECT 'invalid_prefix' FROM r WHERE bp UNION ALL SELECT 'invalid_asn' FROM r WHERE ba
+  UNION ALL SELECT 'missing_source' FROM r WHERE bs UNION ALL SELECT 'invalid_source_hash' FROM r WHERE bh UNION ALL SELECT 'duplicate_row' FROM d)
+SELECT rule, count(*) AS n FROM v GROUP BY rule""",
+    "plan_violations": """
+WITH a AS (
+  SELECT s_suppkey AS k, unnest(CASE k % 10 WHEN 3 THEN [1, 2] WHEN 5 THEN [1, 1] WHEN 7 THEN [2] ELSE [1] END) AS retry,
+    CASE WHEN k % 25 = 24 THEN 'ghost' ELSE 'slot' || k END AS slot_id, k % 33 <> 32 AS mine,
+    CASE WHEN k % 20 = 3 AND retry = 1 THEN 'timeout' ELSE 'success' END AS outcome, (CASE WHEN k % 40 = 11 THEN k + 10 ELSE k END) * 10 + retry AS begun FROM supplier),
+m AS (SELECT * FROM a WHERE mine),
+slot AS (SELECT 'slot' || s_suppkey AS slot_id, s_suppkey AS pos FROM supplier),
+st AS (SELECT slot_id, pos, coalesce((SELECT bool_or(outcome <> 'timeout' OR retry >= 2) FROM m WHERE m.slot_id = slot.slot_id), false) AS complete,
+  (SELECT min(begun) FROM m WHERE m.slot_id = slot.slot_id) AS first_at FROM slot),
+v AS (
+  SELECT 'foreign_plan' AS rule FROM a WHERE NOT mine
+  UNION ALL SELECT 'unknown_slot' FROM m WHERE slot_id NOT IN (SELECT slot_id FROM slot)
+  UNION ALL SELECT 'repeated_retry' FROM (SELECT slot_id, retry FROM m GROUP BY ALL HAVING count(*) > 1)
+  UNION ALL SELECT 'retry_not_allowed' FROM m WHERE retry > 1 AND NOT coalesce((SELECT count(*) = 1 AND max(outcome) = 'timeout' FROM m p WHERE p.slot_id = m.slot_id AND p.retry = m.retry - 1), false)
+  UNION ALL SELECT 'earlier_slot_open' FROM m JOIN st USING (slot_id) WHERE EXISTS (SELECT 1 FROM st x WHERE x.pos < st.pos AND NOT x.complete)
+  UNION ALL SELECT 'back_fill' FROM m JOIN st USING (slot_id) WHERE m.begun > (SELECT min(first_at) FROM st x WHERE x.pos > st.pos))
+SELECT rule, count(*) AS n FROM v GROUP BY rule""",
+    "reconstructed_origins": f"""
+WITH s AS (SELECT s_suppkey AS k, {D.V4_BASE} + s_suppkey * 65536 AS net FROM supplier)
+SELECT (net >> 24)::VARCHAR || '.' || ((net >> 16) & 255) || '.' || ((net >> 8) & 255) || '.9' AS address,
+  CASE WHEN bad IS NULL THEN CASE WHEN k % 5 = 1 THEN {_cidr('4', 'net', '24')} WHEN wide THEN {_cidr('4', 'net', '16')} ELSE '10.0.0.0/8' END END AS prefix,
+  CASE WHEN bad IS NULL THEN CASE WHEN k % 5 = 1 THEN {D.FIRST_ASN} + k + 1 WHEN k % 7 <> 3 THEN {D.FIRST_ASN} + k WHEN k % 9 = 2 THEN {D.FIRST_ASN} + k + 2 ELSE 64000 END END AS asn, bad AS problem
+FROM (SELECT *, k % 7 <> 3 OR k % 9 = 2 AS wide, CASE WHEN k % 5 = 1 THEN NULL WHEN k % 7 <> 3 AND k % 9 = 2 THEN 'no single scalar origin at some time' WHEN k % 11 = 4 THEN 'prefix or origin changed' END AS bad FROM s)""",
+    "diagnostic_trials": f"""WITH {ATTEMPTS},
+t AS (SELECT *, e % 10 AS w, (e // 10) % 2 = 1 AS blocked, (e // 20) % 2 = 0 AS outer_tcp, e % 12 NOT IN (2, 3, 10) AS paired, e % 12 <> 4 AS fresh,
+    (e // 10) % 2 = 1 AND e % 30 = 13 AS pf_bad, (e // 10) % 2 = 1 AND e % 30 <> 13 AND e % 3 > 0 AS enforced, e % 12 <> 7 AS in_feed FROM rec),
+v AS (SELECT *, CASE WHEN w = 5 OR pf_bad THEN ['integrity_failure', 'excluded_ambiguous'] WHEN NOT paired THEN ['ambiguous_destination_pairing', 'excluded_ambiguous']
+    WHEN w = 1 THEN ['real_ip_bypass', 'safety_stop'] WHEN w = 2 THEN ['direct_origin_contact', 'excluded_bypass']
+    WHEN NOT in_feed THEN ['egress_not_in_same_day_catalogue', 'excluded_ambiguous'] WHEN NOT udp THEN ['destination_http2_or_tcp', 'observed_non_supporting']
+    WHEN NOT fresh THEN ['http3_without_fresh_server_quic', 'excluded_ambiguous'] WHEN NOT blocked THEN ['destination_http3_relayed', 'supports_primary']
+    WHEN enforced AND outer_tcp THEN ['outer_tcp_fallback_destination_http3', 'supports_strong_fallback']
+    ELSE ['blocked_destination_http3_without_strong_fallback_proof', 'supports_primary_only'] END AS c FROM t),
+g AS (SELECT *, CASE WHEN c[2] IN ('excluded_ambiguous', 'excluded_bypass', 'safety_stop') THEN c WHEN w = 6 THEN ['integrity_failure', 'excluded_ambiguous']
+    WHEN w = 7 THEN ['condition_changed', 'excluded_ambiguous'] WHEN w = 8 THEN ['timeout', 'observed_non_supporting'] WHEN w = 9 THEN ['mechanical_failure', 'excluded_mechanical'] ELSE c END AS r FROM v)
+SELECT run_id, CASE WHEN blocked THEN 'udp_blocked' ELSE 'udp_permitted' END AS condition, CASE WHEN outer_tcp THEN 'tcp' ELSE 'udp' END AS outer_transport,
+  CASE WHEN NOT paired THEN NULL WHEN NOT fresh THEN 'none' WHEN udp THEN 'udp_quic_initial' ELSE 'tcp_syn' END AS server_transport,
+  paired AND in_feed AS catalogue_match, w = 2 AS direct_origin_contact, r[1] AS classification, r[2] AS acceptance FROM g""",
+    "handshake_contacts": f"""WITH {ATTEMPTS}
+SELECT attempt_path, CASE WHEN (e // 20) % 2 = 0 THEN 'tcp' ELSE 'udp' END AS transport, 50000 AS client_port, '{D.PIN}' AS ingress_ip, true AS intended, true AS bidirectional,
+  (e // 20) % 2 = 0 AS established FROM rec""",
+}
+OTHER_SQL["condition_summary"] = OTHER_SQL["diagnostic_trials"].replace("SELECT run_id, CASE WHEN blocked", ", z AS (SELECT e, CASE WHEN blocked", 1).rsplit(" FROM g", 1)[0] + """ FROM g),
+latest AS (SELECT *, row_number() OVER (PARTITION BY e // 2 ORDER BY e % 2 DESC, e DESC) AS rn FROM z),
+per AS (SELECT condition, count(*) AS attempts FROM z GROUP BY 1)
+SELECT condition, acceptance, classification, count(*) AS slots, any_value(attempts) AS attempts FROM latest JOIN per USING (condition) WHERE rn = 1 GROUP BY ALL"""
+
+ORACLES = {**CATALOGUE_SQL, **PAIR_SQL, **OTHER_SQL}

@@ -106,15 +106,15 @@ def reconstructed_origins(evidence: DataFrame, planned: DataFrame, *, timestamps
     routes = A.with_prefix(evidence.filter("status = 'ok'").withColumn("origin", F.try_element_at("path", F.lit(-1))), "target_prefix")
     number = F.col("origin").try_cast("bigint")
     agreed = routes.filter("family is not null").groupBy("observed_at", *PREFIX).agg(
-        F.min("origin").alias("lo"), F.max("origin").alias("hi_origin"), F.bool_and(F.coalesce(number.between(1, 4294967295), F.lit(False))).alias("scalar")
+        F.min("origin").alias("low_origin"), F.max("origin").alias("high_origin"), F.bool_and(F.coalesce(number.between(1, 4294967295), F.lit(False))).alias("scalar")
     )
     times = evidence.select("date", "observed_at").distinct()
     asked = A.with_address(planned.join(times, "date"), "address")
-    hits = longest_match(asked, agreed, ["lo", "hi_origin", "scalar"], ("observed_at",))
+    hits = longest_match(asked, agreed, ["low_origin", "high_origin", "scalar"], ("observed_at",))
     seen = asked.join(hits, ["observed_at", *PREFIX], "left").select(
         "date", "address", "observed_at",
-        F.when(F.col("scalar") & (F.col("lo") == F.col("hi_origin")),
-               F.struct(A.cidr_text(F.col("family"), F.col("r_plen"), F.col("r_hi"), F.col("r_lo")).alias("prefix"), F.col("lo").cast("bigint").alias("asn"))).alias("o"),
+        F.when(F.col("scalar") & (F.col("low_origin") == F.col("high_origin")),
+               F.struct(A.cidr_text(F.col("family"), F.col("r_plen"), F.col("r_hi"), F.col("r_lo")).alias("prefix"), F.col("low_origin").cast("bigint").alias("asn"))).alias("o"),
     )
     per = seen.groupBy("date", "address").agg(
         F.count("*").alias("times"), F.count("o").alias("usable"), F.min("o").alias("a"), F.max("o").alias("b")

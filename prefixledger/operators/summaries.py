@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prefixledger.functions import labels as L
 from prefixledger.functions import values as V
+from prefixledger.operators.pairing import E02, E03, E04, E07
 
 # The dimensions of the strata report.
 DIMENSIONS = [
@@ -127,33 +128,40 @@ def origin_gaps(records: DataFrame) -> DataFrame:
     )
 
 
-def pilot_report(attempts: DataFrame, records: DataFrame, ladder: list[str]) -> DataFrame:
-    """Per freshness method: attempts, accepted, reuse, no fresh flow, ambiguous, invalid, unpaired, mean seconds."""
+def pilot_report(attempts: DataFrame, records: DataFrame, ladder: list[str], *, minimum_accepts: int = 1) -> DataFrame:
+    """Per freshness method: attempts, accepted, reuse, no fresh flow, ambiguous, invalid, unpaired, mean seconds.
+
+    The first method of the ladder that is clean (nothing invalid or unpaired, ingress always reliable) and has
+    enough accepted attempts is selected. ``reused`` and ``attempt_invalid`` are optional columns of the inputs.
+    """
+    has = lambda df, c: F.coalesce(F.col(c), F.lit(False)) if c in df.columns else F.lit(False)
     decided = records.select(
-        "attempt_path", "disposition", "exclusion_reason",
-        F.lit(True).alias("paired"),
-        (F.unix_micros("t_end") - F.unix_micros("t_start")).alias("micros"),
+        "attempt_path", "disposition", "exclusion_reason", "observed_ingress_ip", has(records, "reused").alias("reused"),
+        F.lit(True).alias("paired"), (F.unix_micros("t_end") - F.unix_micros("t_start")).alias("micros"),
     )
-    df = attempts.select("attempt_path", "freshness_method").join(decided, "attempt_path", "left")
-    reason = F.col("exclusion_reason")
-    accepted = F.col("disposition") == "accepted"
+    df = attempts.select("attempt_path", "freshness_method", has(attempts, "attempt_invalid").alias("bad")).join(decided, "attempt_path", "left")
+    reason, ok = F.coalesce("exclusion_reason", F.lit("")), ~F.col("bad")
+    accepted = ok & (F.col("disposition") == "accepted")
     counted = df.groupBy("freshness_method").agg(
         F.count("*").alias("attempts"),
         F.count_if(accepted).alias("accepted"),
-        F.count_if(reason == "E03_NO_FRESH_FLOW").alias("no_fresh_flow"),
-        F.count_if(reason == "E02_MULTIPLE_SERVER_CONNECTIONS").alias("ambiguous"),
-        F.count_if(reason.isin("E07_CLOCK_OR_LOG_CORRUPTION", "E08_CONDITION_CHANGED")).alias("invalid"),
-        F.count_if(F.col("paired").isNull()).alias("unpaired"),
+        F.count_if(ok & F.col("reused")).alias("reused_connections"),
+        F.count_if(ok & (reason == E03)).alias("no_fresh_flow"),
+        F.count_if(ok & (reason == E02)).alias("ambiguous"),
+        F.count_if("bad").alias("invalid"),
+        F.count_if(ok & F.col("paired").isNull()).alias("unpaired"),
+        F.count_if(ok & F.col("observed_ingress_ip").isNotNull() & ~reason.isin(E04, E07)).alias("reliable"),
         F.sum(F.when(accepted, F.col("micros"))).alias("micros"),
     )
     rank = F.array_position(F.array(*[F.lit(m) for m in ladder]), F.col("freshness_method"))
-    reliable = (F.col("accepted") == F.col("attempts")) & (F.col("attempts") > 0)
+    clean = (F.col("invalid") == 0) & (F.col("unpaired") == 0) & (F.col("reliable") == F.col("attempts"))
+    eligible = clean & (F.col("accepted") >= minimum_accepts) & (rank > 0)
     counted = counted.select(
-        "*", reliable.alias("reliable"), rank.alias("ladder_rank"),
+        "*", clean.alias("clean"), rank.alias("ladder_rank"), eligible.alias("eligible"),
         F.round(F.col("micros") / F.nullif(F.col("accepted"), F.lit(0)) / 1000000, 6).alias("mean_seconds"),
     ).drop("micros")
-    choice = counted.agg(F.min_by("freshness_method", F.when(F.col("reliable"), F.col("ladder_rank"))).alias("selected_method"))
-    return counted.crossJoin(choice)  # one row
+    choice = counted.agg(F.min_by("freshness_method", F.when(F.col("eligible"), F.col("ladder_rank"))).alias("selected_method"))
+    return counted.drop("eligible").crossJoin(choice)  # one row
 
 
 def daily_report(strata_rows: DataFrame, eligibility_rows: DataFrame, day: str) -> DataFrame:

@@ -305,3 +305,172 @@ def operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").filter("s_suppkey < 4").select(
         (F.lit(FIRST_ASN) + F.col("s_suppkey")).alias("asn"), F.concat(F.lit("op"), (F.col("s_suppkey") % 2).cast("string")).alias("operator_id")
     )
+
+
+def announced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announced IPv4 prefixes from ``orders``: scattered networks of /16 to /24, some inside others."""
+    key = F.col("o_orderkey")
+    plen = F.when(key % 400 == 0, 16).otherwise(20 + key % 5).cast("int")
+    network = F.pmod(key * 2654435761, F.lit(1 << 32))
+    text = F.concat(A.v4_text(network), F.lit("/"), plen.cast("string"))
+    return A.with_prefix(table(spark, sf_dir, "orders").select(text.alias("prefix")), "prefix")
+
+
+def scan_outcomes(blocks: DataFrame) -> DataFrame:
+    """Outcomes of a scan over /24 blocks: a few answers cover a /20, some fail, some are still to come."""
+    b = F.col("block")
+    return blocks.filter(b % 31 != 0).select(
+        "block", (b % 13 != 0).alias("ok"), F.when(b % 17 == 0, 20).when(b % 3 == 0, 24).cast("int").alias("scope"),
+        F.when(b % 13 == 0, 3).otherwise(1).alias("attempts"), F.when(b % 13 == 0, 3).otherwise(0).alias("errors"),
+    )
+
+
+def scan_results(blocks: DataFrame) -> DataFrame:
+    return blocks.filter((F.col("block") % 31 != 0) & (F.col("block") % 13 != 0)).select(
+        "block", F.when(F.col("block") % 5 != 0, A.v4_text(F.lit(3221225984) + F.col("block") % 250)).alias("answer_ip")
+    )
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolver transcripts from ``orders``: up to two answers, some without a scope or with another status."""
+    key = F.col("o_orderkey")
+    answer = lambda n: F.concat(F.lit("mask.example.net. 60 IN A 192.0.2."), ((key + n) % 250).cast("string"))
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit(";; ->>HEADER<<- opcode: QUERY, status: "), F.when(key % 11 == 0, "SERVFAIL").otherwise("NOERROR"), F.lit(", id: 1")),
+        F.when(key % 5 != 0, F.concat(F.lit("; CLIENT-SUBNET: 198.51.100.0/24/"), (key % 26).cast("string"))),
+        F.lit(";; ANSWER SECTION:"),
+        F.when(key % 3 != 0, answer(0)), F.when(key % 3 == 2, answer(1)),
+        F.lit("mask.example.net. 60 IN AAAA 2001:db8::1"),
+    )
+    return table(spark, sf_dir, "orders").select(key.alias("id"), text.alias("output"))
+
+
+def document_manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A manifest over the texts of ``documents`` and the stored files, some missing, unlisted or altered."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id"), F.concat(F.lit("archive/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text"
+    )
+    manifest = docs.filter(F.col("doc_id") % 23 != 5).select(
+        "path", F.octet_length("text").cast("bigint").alias("bytes"), F.upper(F.sha2("text", 256)).alias("sha256")
+    )
+    changed = F.when(F.col("doc_id") % 19 == 4, F.concat("text", F.lit("!"))).when(F.col("doc_id") % 29 == 6, F.reverse(F.lower("text"))).otherwise(F.col("text"))
+    files = docs.filter(F.col("doc_id") % 17 != 3).select("path", F.octet_length(changed).cast("bigint").alias("bytes"), F.sha2(changed, 256).alias("sha256"))
+    return manifest, files
+
+
+def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines in two rotated files; every third line is repeated in the second file."""
+    rows = log_rows(spark, sf_dir)
+    line = F.to_json(F.struct(
+        "ts", "status", "run_id", "request_uuid",
+        F.struct("remote_ip", F.col("remote_port").cast("string").alias("remote_port"), "proto", "method", "host", "uri").alias("request"),
+    ))
+    copies = F.when(F.col("line_number") % 3 == 0, F.array(F.lit("log/b.jsonl"), F.lit("log/a.jsonl"))).otherwise(F.array(F.lit("log/b.jsonl")))
+    return rows.select(line.alias("value"), F.explode(copies).alias("artifact"), "line_number")
+
+
+def packet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoder-style text columns from ``events``."""
+    base = _attempt_base(spark, sf_dir)
+    tcp = F.col("transport") == "tcp"
+    text = lambda c: c.cast("string")
+    return base.select(
+        "attempt_path", text(F.col("e")).alias("frame.number"), text(F.col("e") * 0.5).alias("frame.time_epoch"),
+        F.when(F.col("e") % 2 == 0, F.col("remote_ip")).otherwise("").alias("ip.src"), F.lit("2001:db8::1").alias("ipv6.src"), F.lit("").alias("dst_ip"), F.lit(PRIVATE).alias("ip.dst"),
+        F.when(tcp, F.concat(F.lit("0x"), F.lower(F.hex("remote_port")))).alias("tcp.srcport"), F.when(tcp, "443").alias("tcp.dstport"),
+        F.when(~tcp, F.concat(text(F.col("remote_port")), F.lit(".0"))).alias("udp.srcport"), F.when(~tcp, "443").alias("udp.dstport"),
+        F.when(tcp, "True").otherwise("").alias("tcp.flags.syn"), F.lit("0").alias("tcp.flags.ack"),
+        F.when(~tcp, text(F.col("e") % 3)).alias("quic.long.packet_type"), F.when(tcp, text(F.col("e"))).otherwise("").alias("tcp.len"),
+    )
+
+
+# Diagnostic trials: one per row of ``events``; ``event_id % 10`` says what is wrong.
+ANCHOR, LABEL = "example/diagnostic", "udp-block"
+ORIGIN = "203.0.113.80"
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _attempt_base(spark, sf_dir)
+    at = lambda s: F.timestamp_micros(((F.col("epoch") + s) * 1000000).cast("bigint"))
+    kase = F.col("e") % 10
+    return base.select(
+        "e", "attempt_path", "run_id", F.concat(F.lit("slot"), F.floor(F.col("e") / 2).cast("string")).alias("slot_id"), (F.col("e") % 2 + 1).cast("int").alias("retry_number"),
+        F.col("e").alias("_ordinal"),
+        F.when(F.floor(F.col("e") / 10) % 2 == 0, "udp_permitted").otherwise("udp_blocked").alias("condition"),
+        F.when(kase == 1, F.col("remote_ip")).otherwise("203.0.113.9").alias("real_public_ipv4"),
+        F.lit(ORIGIN).alias("origin_ip"), F.lit(PIN).alias("intended_ip"), at(2).alias("t_from"), at(10).alias("t_to"),
+        (F.col("epoch") + 2).alias("w_from"), (F.col("epoch") + 8).alias("w_to"),
+        F.when(kase == 9, "mechanical_failure").when(kase == 8, "timeout").otherwise("success").alias("outcome"),
+        (kase == 7).alias("condition_changed"), (kase != 6).alias("cleanup_valid"), F.lit(False).alias("deadline_missed"),
+        F.when(kase == 5, F.array(F.lit("missing metadata fields"))).otherwise(F.array().cast("array<string>")).alias("integrity_errors"),
+    )
+
+
+def trial_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Client packets: a start to the pin, for TCP a full handshake, and for ``event_id % 10 = 2`` a direct origin contact."""
+    base = _attempt_base(spark, sf_dir)
+    tcp = F.floor(F.col("e") / 20) % 2 == 0
+    pkt = lambda dt, out, syn, ack, frame, dst=None: F.struct(
+        F.lit(frame).alias("frame_number"), (F.col("epoch") + dt).alias("time_epoch"),
+        (F.lit("192.168.1.2") if out else F.lit(PIN)).alias("src_ip"), (F.lit(dst or PIN) if out else F.lit("192.168.1.2")).alias("dst_ip"),
+        F.when(tcp, "tcp").otherwise("udp").alias("transport"), (F.lit(50000) if out else F.lit(443)).alias("src_port"), (F.lit(443) if out else F.lit(50000)).alias("dst_port"),
+        (tcp & F.lit(syn)).alias("tcp_syn"), (tcp & F.lit(ack)).alias("tcp_ack"), (~tcp & F.lit(syn)).alias("quic_initial"), F.when(~tcp, "d").alias("quic_dcid"),
+    )
+    packets = F.array(pkt(3.0, True, True, False, 1), pkt(3.25, False, True, True, 2), pkt(3.5, True, False, True, 3))
+    direct = F.when(F.col("e") % 10 == 2, F.array(pkt(1.0, True, False, True, 4, ORIGIN))).otherwise(F.array())
+    return base.select("attempt_path", F.inline(F.concat(packets, direct)))
+
+
+def trial_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trials(spark, sf_dir)
+    blocked = F.col("condition") == "udp_blocked"
+    rule = F.concat(F.lit("block drop out quick on en0 inet proto udp from any to "), "intended_ip", F.lit(f' port = 443 label "{LABEL}"'))
+    iso = lambda s: F.date_format(F.timestamp_micros(F.unix_micros("t_from") + s * 1000000), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    names = ["prepared_utc", "rule_load_started_utc", "rule_load_completed_utc", "statistics_after_load_utc", "targeted_state_reset_utc",
+             "statistics_before_cleanup_utc", "restored_utc"]
+    return t.select(
+        "attempt_path", "condition", F.col("condition").alias("evidence_condition"), F.lit("en0").alias("interface"), "intended_ip", F.lit(ANCHOR).alias("anchor"),
+        F.when(blocked, rule).otherwise("").alias("exact_rule"), F.when(blocked, rule).otherwise("").alias("loaded_rules"), F.lit("").alias("previous_rules"),
+        blocked.alias("rule_loaded"), F.when(blocked, 2).cast("bigint").alias("counter_before"),
+        F.when(blocked, F.when(F.col("e") % 30 == 13, 1).otherwise(2 + F.col("e") % 3)).cast("bigint").alias("counter_after"), *[iso(i - 5).alias(n) for i, n in enumerate(names)],
+    )
+
+
+def route_evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Route evidence at two times for addresses of ``supplier``, and the planned addresses."""
+    key = F.col("s_suppkey")
+    base = table(spark, sf_dir, "supplier").withColumn("net", F.lit(V4_BASE) + key * 65536)
+    route = lambda text, asn: F.struct(text.alias("target_prefix"), F.array(F.lit("65001"), asn.cast("string")).alias("path"))
+    wide = F.concat(A.v4_text(F.col("net")), F.lit("/16"))
+    narrow = F.concat(A.v4_text(F.col("net")), F.lit("/24"))
+    own = F.lit(FIRST_ASN) + key
+    long = base.select("s_suppkey", "net", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    routes_ = F.concat(
+        F.array(route(F.concat(A.v4_text(F.lit(V4_BASE)), F.lit("/8")), F.lit(64000))),
+        F.when(key % 7 != 3, F.array(route(wide, own))).otherwise(F.array()),
+        F.when(key % 5 == 1, F.array(route(narrow, own + 1))).otherwise(F.array()),
+        F.when(key % 9 == 2, F.array(route(wide, own + 2))).otherwise(F.array()),
+        F.when((key % 11 == 4) & (F.col("k") == 1), F.array(route(F.concat(A.v4_text(F.col("net")), F.lit("/20")), own))).otherwise(F.array()),
+    )
+    evidence = long.select(
+        F.to_date(F.lit("2026-01-05")).alias("date"), F.concat(F.lit("2026-01-05T0"), F.col("k").cast("string"), F.lit(":00")).alias("observed_at"),
+        F.lit("ok").alias("status"), F.inline(routes_),
+    )
+    planned = base.select(F.to_date(F.lit("2026-01-05")).alias("date"), A.v4_text(F.col("net") + 9).alias("address"))
+    return evidence, planned
+
+
+def plan_attempts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Attempts of a plan from ``supplier`` (a schedule-sized table): one slot each, with planted violations."""
+    key = F.col("s_suppkey")
+    base = table(spark, sf_dir, "supplier")
+    slots = base.select(F.concat(F.lit("slot"), key.cast("string")).alias("slot_id"), key.alias("position"))
+    tries = F.when(key % 10 == 3, F.array(F.lit(1), F.lit(2))).when(key % 10 == 5, F.array(F.lit(1), F.lit(1))).when(key % 10 == 7, F.array(F.lit(2))).otherwise(F.array(F.lit(1)))
+    attempts_ = base.select("s_suppkey", F.explode(tries).alias("retry_number")).select(
+        F.when(key % 25 == 24, "ghost").otherwise(F.concat(F.lit("slot"), key.cast("string"))).alias("slot_id"), "retry_number",
+        F.when((key % 20 == 3) & (F.col("retry_number") == 1), "timeout").otherwise("success").alias("outcome"),
+        F.when(key % 33 == 32, "other").otherwise("plan").alias("execution_plan_sha256"),
+        (F.when(key % 40 == 11, key + 10).otherwise(key) * 10 + F.col("retry_number")).alias("started_at"),
+    )
+    return attempts_, slots

@@ -46,9 +46,14 @@ def scan_access_log(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(path)
     named = files.select("value", F.col("_metadata.file_path").alias("artifact"), ordinal().alias("line_number"))
     rows = log_lines(named.filter(~F.col("artifact").rlike(r"\.packets\.jsonl(\.gz)?$")))
+    return first_copies(rows).withColumn("line_number", F.col("line_number.row"))
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    """One row per ``row_sha256``: the first by ``artifact, line_number``."""
     others = [c for c in rows.columns if c != "row_sha256"]
     first = rows.groupBy("row_sha256").agg(F.min_by(F.struct(*others), F.struct("artifact", "line_number")).alias("r"))
-    return first.select("row_sha256", "r.*").withColumn("line_number", F.col("line_number.row"))
+    return first.select("row_sha256", "r.*")
 
 
 def normalize_packets(raw: DataFrame) -> DataFrame:

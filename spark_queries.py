@@ -182,3 +182,255 @@ def per_asn_share(spark, sf):
 @query
 def snapshot_report(spark, sf):
     return routing.snapshot_report(_lenient(spark, sf), "EU")
+
+
+# Evidence queries. The decided records are stored once per session and table folder and read by every report.
+from prefixledger.functions import address as A  # noqa: E402
+from prefixledger.functions import values as V  # noqa: E402
+from prefixledger.operators import campaign, diagnostics, eligibility, enumeration, manifests, pairing, quality, summaries  # noqa: E402
+from prefixledger.sources import evidence  # noqa: E402
+
+RULES = pairing.PairingRules(
+    hostname=D.HOST, private_ipv4=D.PRIVATE, group_asns={"pinned_group": (D.FIRST_ASN,)}, true_country="EU",
+    permitted_locations=(("EU", "", ""), ("AS", "", "")), allowed_cities=("BUILDING", "MACHINERY"),
+)
+_STORED = {}
+
+
+def stored(name, spark, sf, build):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build())
+    return _STORED[key]
+
+
+def _pairs(spark, sf):
+    return stored("pairs", spark, sf, lambda: pairing.pair_attempts(
+        D.attempts(spark, sf), D.attempt_events(spark, sf), D.responses(spark, sf), D.log_rows(spark, sf), D.server_packets(spark, sf),
+        D.client_packets(spark, sf), D.feed(spark, sf), D.feed_days(spark, sf), D.origins(spark, sf), D.operators(spark, sf), RULES,
+    ))
+
+
+@query
+def pair_records(spark, sf):
+    return _pairs(spark, sf).select(
+        "run_id", "disposition", "exclusion_reason", "pending_reason", F.array_join("triggered_exclusions", ",").alias("triggered"),
+        "protocol_classification", "matched_prefix", "advertised_country", "advertised_city", "disclosure_class", "ingress_asn", "egress_asn",
+        "same_operator", "server_delivery_count", "pin_contact_status", "observed_ingress_ip", "ingress_transport",
+    )
+
+
+@query
+def log_selection(spark, sf):
+    checked = pairing.with_metadata_checks(D.attempts(spark, sf), D.attempt_events(spark, sf))
+    tagged = pairing.tagged_rows(checked, D.log_rows(spark, sf), RULES)
+    chosen = pairing.with_selected_row(checked, D.responses(spark, sf), tagged)
+    return chosen.select("run_id", "server_delivery_count", "bad_rows", F.col("sel.request_uuid").alias("selected_uuid"), "rows_without_uuid", "several_flows")
+
+
+@query
+def server_freshness(spark, sf):
+    checked = pairing.with_metadata_checks(D.attempts(spark, sf), D.attempt_events(spark, sf))
+    tagged = pairing.tagged_rows(checked, D.log_rows(spark, sf), RULES)
+    chosen = pairing.with_selected_row(checked, D.responses(spark, sf), tagged)
+    fresh = pairing.fresh_flows(chosen, D.server_packets(spark, sf), RULES)
+    return fresh.select("attempt_path", "fresh", "ambiguous_connection", F.col("freshness_evidence.kind").alias("kind"))
+
+
+def _eligibility(spark, sf):
+    return stored("eligibility", spark, sf, lambda: eligibility.eligibility(eligibility.records_for_eligibility(_pairs(spark, sf))))
+
+
+@query
+def objective_eligibility(spark, sf):
+    return _eligibility(spark, sf).select(
+        "run_id", "objective_1_destination_eligible", "objective_1_destination_reason", "objective_1_destination_result",
+        "objective_1_outer_leg_eligible", "objective_2_exact_pair_eligible", "objective_3_location_eligible", "objective_3_primary_eligible",
+        "observation_date_utc",
+    )
+
+
+@query
+def eligibility_summary(spark, sf):
+    return eligibility.eligibility_summary(_eligibility(spark, sf)).withColumn("day", F.coalesce("day", F.lit("all")))
+
+
+@query
+def strata(spark, sf):
+    return summaries.strata(_pairs(spark, sf)).withColumn("day", F.coalesce("day", F.lit("all")))
+
+
+@query
+def disposition_counts(spark, sf):
+    return summaries.disposition_counts(_pairs(spark, sf))
+
+
+@query
+def temporal_intersection(spark, sf):
+    rule = {"rule_id": "exact_value_intersection", "comparison_normalization": "trim_casefold_preserve_raw", "fields": ["country", "region"]}
+    rows = summaries.unpinned_sequence(_pairs(spark, sf)).filter("advertised_country = 'EU'")
+    return summaries.temporal_intersection(rows, rule)
+
+
+@query
+def origin_gaps(spark, sf):
+    return _text(summaries.origin_gaps(_pairs(spark, sf)), "date")
+
+
+@query
+def freshness_pilot(spark, sf):
+    return summaries.pilot_report(D.attempts(spark, sf), _pairs(spark, sf), ["new_window", "quit_browser"], minimum_accepts=1)
+
+
+@query
+def validation_report(spark, sf):
+    return summaries.validation_report(_pairs(spark, sf))
+
+
+@query
+def log_dedupe(spark, sf):
+    rows = evidence.first_copies(evidence.log_lines(D.log_text(spark, sf)))
+    return rows.select("run_id", "request_uuid", "artifact", "line_number", "remote_ip", "proto", "status", "malformed")
+
+
+@query
+def packet_normalisation(spark, sf):
+    return evidence.normalize_packets(D.packet_text(spark, sf)).select(
+        "attempt_path", "frame_number", "time_epoch", "src_ip", "dst_ip", "transport", "src_port", "dst_port", "tcp_syn", "tcp_ack", "tcp_len", "quic_initial"
+    )
+
+
+@query
+def timestamp_parsing(spark, sf):
+    t = D._attempt_base(spark, sf)
+    micros = (F.col("e") % 1000000).cast("string")
+    go = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad(micros, 6, "0"), F.lit("789 +0000 UTC m=+1.5"))
+    bad = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    return t.select(
+        "run_id", F.unix_micros(V.endpoint_timestamp(go)).alias("endpoint_micros"), F.unix_micros(V.utc_timestamp(F.col("t5"))).alias("iso_micros"),
+        V.utc_timestamp(bad).isNull().alias("offset_rejected"),
+    )
+
+
+@query
+def source_blocks(spark, sf):
+    return enumeration.source_blocks(D.announced(spark, sf)).select("block", enumeration.block_text(F.col("block")).alias("prefix"))
+
+
+def _blocks(spark, sf):
+    return stored("blocks", spark, sf, lambda: enumeration.source_blocks(D.announced(spark, sf)))
+
+
+@query
+def scope_coverage(spark, sf):
+    blocks = _blocks(spark, sf)
+    return enumeration.scope_coverage(blocks, D.scan_outcomes(blocks)).select("block", "state", "skip_until")
+
+
+@query
+def enumeration_summary(spark, sf):
+    blocks = _blocks(spark, sf)
+    outcomes = D.scan_outcomes(blocks)
+    return enumeration.enumeration_summary(enumeration.scope_coverage(blocks, outcomes), outcomes, D.scan_results(blocks))
+
+
+@query
+def unique_addresses(spark, sf):
+    return enumeration.unique_addresses(D.scan_results(_blocks(spark, sf)))
+
+
+@query
+def resolver_transcripts(spark, sf):
+    return enumeration.transcript_rows(D.transcripts(spark, sf))
+
+
+@query
+def resolver_answer_lines(spark, sf):
+    lines = enumeration.answer_lines(D.transcripts(spark, sf))
+    return lines.groupBy("type", "name", "ttl").agg(F.count("*").alias("n"), F.count_distinct("value").alias("vals"))
+
+
+@query
+def manifest_check(spark, sf):
+    return manifests.verify_manifest(*D.document_manifest(spark, sf))
+
+
+@query
+def daily_artifacts(spark, sf):
+    files = D.document_manifest(spark, sf)[1]
+    day = F.lpad((F.length("path") % 28 + 1).cast("string"), 2, "0")
+    dated = files.select(F.concat("path", F.lit("-2026-01-"), day, F.lit(".log")).alias("path"), "sha256", F.lit(None).cast("timestamp").alias("modified"))
+    return manifests.daily_counts(manifests.daily_index(dated.unionByName(dated)))
+
+
+@query
+def catalogue_violations(spark, sf):
+    rows = D.lenient_catalogue(spark, sf).withColumn("snapshot_date", F.to_date(F.lit(D.DAYS[0]))).withColumn("bad_shape", F.col("_ordinal") % 70 == 69)
+    found = quality.catalogue_violations(cut_lineage(rows))
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query
+def origin_violations(spark, sf):
+    key = F.col("s_suppkey")
+    rows = D.table(spark, sf, "supplier").select(
+        F.when(key % 7 == 0, "2026-02-30").otherwise("2026-02-03").alias("date"),
+        F.when(key % 11 == 0, "10.0.0.0/40").otherwise(F.concat(A.v4_text(F.lit(D.V4_BASE) + F.floor(key / 2) * 256), F.lit("/24"))).alias("prefix"),
+        F.when(key % 13 == 0, "0").otherwise("64500").alias("asn"), F.when(key % 17 == 0, " ").otherwise("x").alias("source"),
+        F.when(key % 19 == 0, "zz").otherwise(F.sha2(key.cast("string"), 256)).alias("source_hash"),
+    )
+    return quality.origin_violations(A.with_prefix(rows, "prefix")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _trials(spark, sf):
+    def build():
+        t = D.trials(spark, sf)
+        candidates = t.select("attempt_path", F.lit(D.PIN).alias("ingress_ip"), F.lit(True).alias("attributable"))
+        days = D.catalogue(spark, sf).filter((F.col("family") == 4) & (F.col("snapshot_date") == D.DAYS[0]))
+        return diagnostics.pair_trials(
+            t, D.responses(spark, sf), D.log_rows(spark, sf), D.server_packets(spark, sf), D.trial_packets(spark, sf), candidates,
+            D.trial_firewall(spark, sf), days, private_ipv4=D.PRIVATE, anchor=D.ANCHOR, label=D.LABEL,
+        ).join(t.select("attempt_path", "_ordinal"), "attempt_path")
+
+    return stored("trials", spark, sf, build)
+
+
+@query
+def diagnostic_trials(spark, sf):
+    return _trials(spark, sf).select("run_id", "condition", "outer_transport", "server_transport", "catalogue_match", "direct_origin_contact", "classification", "acceptance")
+
+
+@query
+def condition_summary(spark, sf):
+    return summaries.condition_summary(_trials(spark, sf))
+
+
+@query
+def handshake_contacts(spark, sf):
+    t = D.trials(spark, sf)
+    candidates = t.select("attempt_path", F.lit(D.PIN).alias("ingress_ip"), F.lit(True).alias("attributable"))
+    found = diagnostics.outer_contacts(t, D.trial_packets(spark, sf), candidates)
+    return found.select("attempt_path", "transport", "client_port", "ingress_ip", "intended", "bidirectional", "established")
+
+
+@query
+def plan_violations(spark, sf):
+    attempts, slots = D.plan_attempts(spark, sf)
+    found = campaign.plan_violations(attempts, slots, plan_sha256="plan", maximum=2)
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query
+def reconstructed_origins(spark, sf):
+    ev, planned = D.route_evidence(spark, sf)
+    return campaign.reconstructed_origins(ev, planned, timestamps_per_day=2).select("address", "prefix", "asn", "problem")
+
+
+@query
+def required_runs(spark, sf):
+    return campaign.required_runs(D.attempts(spark, sf), D.log_rows(spark, sf), exactly_once=True)
+
+
+@query
+def pending_addresses(spark, sf):
+    return _text(campaign.pending_addresses(_pairs(spark, sf)), "date")
