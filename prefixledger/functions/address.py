@@ -17,8 +17,8 @@ PREFIX = ("family", "plen", "hi", "lo")
 ZERO_HALF = -(1 << 63)  # a half whose 64 bits are all 0, in the offset form
 ONES_HALF = (1 << 63) - 1  # a half whose 64 bits are all 1
 
-_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_V4 = f"{_OCTET}(?:[.]{_OCTET}){{3}}"
 _V4_ADDRESS = rf"^{_V4}$"
 
 
@@ -30,6 +30,11 @@ def _shru(value: Column, bits: Column) -> Column:
     return F.call_function("shiftrightunsigned", value, bits)
 
 
+def _v4_int_sql(text: str) -> str:
+    parts = [f"try_cast(split_part({text}, '.', {i}) AS BIGINT) * {256 ** (4 - i)}" for i in range(1, 5)]
+    return f"CASE WHEN {text} RLIKE '{_V4_ADDRESS}' THEN {' + '.join(parts)} END"
+
+
 def v4_int(text: Column) -> Column:
     """Dotted IPv4 text as a BIGINT in 0..2^32-1; NULL unless it is well formed."""
     part = lambda i: F.split_part(text, F.lit("."), F.lit(i)).try_cast("bigint")
@@ -53,21 +58,9 @@ def v4_from_half(hi: Column) -> Column:
     return F.shiftright(hi, 32) + (1 << 31)
 
 
-def _halves_from_groups(groups: Column) -> tuple[Column, Column]:
-    def half(start: int) -> Column:
-        g = [F.get(groups, start + i) for i in range(4)]
-        return (
-            F.shiftleft(g[0] - 32768, 48)
-            .bitwiseOR(F.shiftleft(g[1], 32))
-            .bitwiseOR(F.shiftleft(g[2], 16))
-            .bitwiseOR(g[3])
-        )
-
-    return half(0), half(4)
-
-
-def _split_side(text: Column) -> Column:
-    return F.when(text != "", F.split(text, ":", -1)).otherwise(F.array().cast("array<string>"))
+def _half_from_groups_sql(groups: str, first: int) -> str:
+    g = [f"get({groups}, {first + i})" for i in range(4)]
+    return f"shiftleft({g[0]} - 32768, 48) | shiftleft({g[1]}, 32) | shiftleft({g[2]}, 16) | {g[3]}"
 
 
 def _with_v6_groups(df: DataFrame, address: str) -> DataFrame:
@@ -75,71 +68,54 @@ def _with_v6_groups(df: DataFrame, address: str) -> DataFrame:
 
     One select per step, so each intermediate value is computed once.
     """
-    base = df.columns
-    text = F.lower(F.col(address))
-    tail4 = F.regexp_extract(text, rf":({_V4})$", 1)
-    df = df.select(
+    base = [f"`{c}`" for c in df.columns]
+    tail4 = f"regexp_extract({address}, ':({_V4})$', 1)"
+    df = df.selectExpr(
         *base,
-        F.when(F.col(address).contains(":"), text).alias("_t"),
-        F.when(F.col(address).contains(".") & F.col(address).contains(":"), v4_int(tail4)).alias("_quad"),
+        f"CASE WHEN contains({address}, ':') THEN lower({address}) END AS _t",
+        f"CASE WHEN contains({address}, ':') AND contains({address}, '.') THEN {tail4} END AS _tail4",
     )
+    df = df.selectExpr(*base, "_t", f"{_v4_int_sql('_tail4')} AS _quad")
     # An embedded dotted quad stands for the last two groups.
-    quad = F.concat(F.hex(F.shiftright("_quad", 16)), F.lit(":"), F.hex(F.col("_quad").bitwiseAND(65535)))
-    df = df.select(
-        *base,
-        F.split(
-            F.when(F.col("_quad").isNotNull(), F.concat(F.regexp_replace("_t", "[0-9.]+$", ""), F.lower(quad)))
-            .otherwise(F.col("_t")),
-            "::",
-            -1,
-        ).alias("_pieces"),
-    )
-    df = df.select(
+    df = df.selectExpr(
         *base,
-        F.size("_pieces").alias("_n"),
-        _split_side(F.get("_pieces", F.lit(0))).alias("_head"),
-        _split_side(F.coalesce(F.get("_pieces", F.lit(1)), F.lit(""))).alias("_tail"),
+        """split(CASE WHEN _quad IS NOT NULL
+             THEN concat(regexp_replace(_t, '[0-9.]+$', ''), lower(hex(shiftright(_quad, 16))), ':', lower(hex(_quad & 65535)))
+             ELSE _t END, '::', -1) AS _pieces""",
     )
-    given = F.size("_head") + F.size("_tail")
-    df = df.select(
+    side = lambda i: f"CASE WHEN coalesce(get(_pieces, {i}), '') = '' THEN cast(array() AS ARRAY<STRING>) ELSE split(get(_pieces, {i}), ':', -1) END"
+    df = df.selectExpr(*base, "size(_pieces) AS _n", f"{side(0)} AS _head", f"{side(1)} AS _tail")
+    df = df.selectExpr(
         *base,
-        F.when(
-            ((F.col("_n") == 2) & (given <= 7)) | ((F.col("_n") == 1) & (given == 8)),
-            F.concat("_head", F.array_repeat(F.lit("0"), F.lit(8) - given), "_tail"),
-        ).alias("_groups"),
+        """CASE WHEN (_n = 2 AND size(_head) + size(_tail) <= 7) OR (_n = 1 AND size(_head) + size(_tail) = 8)
+             THEN concat(_head, array_repeat('0', 8 - size(_head) - size(_tail)), _tail) END AS _groups""",
     )
-    return df.select(
+    return df.selectExpr(
         *base,
-        F.when(
-            F.forall("_groups", lambda g: g.rlike("^[0-9a-f]{1,4}$")),
-            F.transform("_groups", lambda g: F.conv(g, 16, 10).cast("bigint")),
-        ).alias("_v6"),
+        """CASE WHEN forall(_groups, g -> g RLIKE '^[0-9a-f]{1,4}$')
+             THEN transform(_groups, g -> cast(conv(g, 16, 10) AS BIGINT)) END AS _v6""",
     )
 
 
-def mask_half_hi(hi: Column, plen: Column) -> Column:
-    return (
-        F.when(plen >= 64, hi)
-        .when(plen <= 0, F.lit(ZERO_HALF))
-        .otherwise(hi.bitwiseAND(_shl(F.lit(-1).cast("bigint"), F.lit(64) - plen)))
-    )
+# The functions below take column names or SQL fragments: one parsed expression each
+# instead of dozens of Column calls, which is most of the time of building a plan.
+_ZERO = "shiftleft(1L, 63)"
 
 
-def mask_half_lo(lo: Column, plen: Column) -> Column:
-    return (
-        F.when(plen >= 128, lo)
-        .when(plen <= 64, F.lit(ZERO_HALF))
-        .otherwise(lo.bitwiseAND(_shl(F.lit(-1).cast("bigint"), F.lit(128) - plen)))
-    )
+def _mask_hi_sql(hi: str, plen: str) -> str:
+    return f"CASE WHEN {plen} >= 64 THEN {hi} WHEN {plen} <= 0 THEN {_ZERO} ELSE {hi} & shiftleft(-1L, 64 - {plen}) END"
 
 
-def last_half_hi(hi: Column, plen: Column) -> Column:
-    """``hi`` of the last address of a prefix."""
-    return (
-        F.when(plen >= 64, hi)
-        .when(plen <= 0, F.lit(ONES_HALF))
-        .otherwise(hi.bitwiseOR(_shl(F.lit(1).cast("bigint"), F.lit(64) - plen) - 1))
-    )
+def _mask_lo_sql(lo: str, plen: str) -> str:
+    return f"CASE WHEN {plen} >= 128 THEN {lo} WHEN {plen} <= 64 THEN {_ZERO} ELSE {lo} & shiftleft(-1L, 128 - {plen}) END"
+
+
+def mask_half_hi(hi: str, plen: str) -> Column:
+    return F.expr(_mask_hi_sql(hi, plen))
+
+
+def mask_half_lo(lo: str, plen: str) -> Column:
+    return F.expr(_mask_lo_sql(lo, plen))
 
 
 def next_start(hi: Column, lo: Column, plen: Column) -> Column:
@@ -183,39 +159,39 @@ def flip_bit(hi: Column, lo: Column, plen: Column) -> tuple[Column, Column]:
     )
 
 
-def v6_text(hi: Column, lo: Column) -> Column:
+def _v6_text_sql(hi: str, lo: str) -> str:
+    groups = [f"lower(hex(shiftrightunsigned({half} ^ {_ZERO}, {shift}) & 65535))" for half in (hi, lo) for shift in (48, 32, 16, 0)]
+    padded = f"concat(':', concat_ws(':', {', '.join(groups)}), ':')"
+    cases = []
+    for run in range(8, 1, -1):
+        zeros = ":" + "0:" * run
+        head = f"substring_index({padded}, '{zeros}', 1)"
+        after_at = f"(length({head}) + {len(zeros) + 1})"
+        tail = f"substring({padded}, {after_at}, greatest(length({padded}) - {after_at}, 0))"
+        cases.append(f"WHEN contains({padded}, '{zeros}') THEN concat(substring({head}, 2, 40), '::', {tail})")
+    mapped = f"{hi} = {_ZERO} AND shiftright({lo} ^ {_ZERO}, 32) = 65535"
+    dotted = f"concat('::ffff:', {_v4_text_sql(f'(({lo} ^ {_ZERO}) & 4294967295L)')})"
+    plain = f"substring({padded}, 2, length({padded}) - 2)"
+    return f"CASE WHEN {mapped} THEN {dotted} {' '.join(cases)} ELSE {plain} END"
+
+
+def _v4_text_sql(value: str) -> str:
+    return f"concat_ws('.', {', '.join(f'shiftright({value}, {s}) & 255' for s in (24, 16, 8, 0))})"
+
+
+def v6_text(hi: str, lo: str) -> Column:
     """Shortest IPv6 text: lower case, the first longest run of two or more zero groups as ``::``."""
+    return F.expr(_v6_text_sql(hi, lo))
 
-    def groups(half: Column) -> list[Column]:
-        bits = half.bitwiseXOR(F.lit(ZERO_HALF))
-        return [_shru(bits, F.lit(s)).bitwiseAND(65535) for s in (48, 32, 16, 0)]
 
-    eight = groups(hi) + groups(lo)
-    padded = F.concat(F.lit(":"), F.concat_ws(":", *[F.lower(F.hex(g)) for g in eight]), F.lit(":"))
-    out = F.substring(padded, F.lit(2), F.length(padded) - 2)
-    for run in range(2, 9):
-        zeros = ":" + "0:" * run
-        before = F.substring_index(padded, zeros, 1)
-        after_at = F.length(before) + len(zeros) + 1
-        after = F.substring(padded, after_at, F.greatest(F.length(padded) - after_at, F.lit(0)))
-        # Later (longer) runs win, so each step overrides the one before it.
-        out = F.when(
-            padded.contains(zeros),
-            F.concat(F.substring(before, 2, 40), F.lit("::"), after),
-        ).otherwise(out)
-    mapped = (hi == ZERO_HALF) & (F.shiftright(lo.bitwiseXOR(F.lit(ZERO_HALF)), 32) == 65535)
-    dotted = F.concat(F.lit("::ffff:"), v4_text(lo.bitwiseXOR(F.lit(ZERO_HALF)).bitwiseAND(0xFFFFFFFF)))
-    return F.when(mapped, dotted).otherwise(out)
-
-
-def cidr_text(family: Column, plen: Column, hi: Column, lo: Column) -> Column:
-    """Canonical CIDR text of a prefix."""
-    address = F.when(family == 4, v4_text(v4_from_half(hi))).otherwise(v6_text(hi, lo))
-    return F.concat(address, F.lit("/"), plen.cast("string"))
+def address_text(family: str = "family", hi: str = "hi", lo: str = "lo") -> Column:
+    v4 = f"(shiftright({hi}, 32) + 2147483648L)"
+    return F.expr(f"CASE WHEN {family} = 4 THEN {_v4_text_sql(v4)} ELSE {_v6_text_sql(hi, lo)} END")
 
 
-def address_text(family: Column, hi: Column, lo: Column) -> Column:
-    return F.when(family == 4, v4_text(v4_from_half(hi))).otherwise(v6_text(hi, lo))
+def cidr_text(family: str = "family", plen: str = "plen", hi: str = "hi", lo: str = "lo") -> Column:
+    """Canonical CIDR text of a prefix."""
+    return F.concat(address_text(family, hi, lo), F.lit("/"), F.expr(f"cast({plen} AS STRING)"))
 
 
 def with_prefix(df: DataFrame, cidr: str, *, strict: bool = False) -> DataFrame:
@@ -225,49 +201,38 @@ def with_prefix(df: DataFrame, cidr: str, *, strict: bool = False) -> DataFrame:
     ``strict`` make the text malformed. A bare address is a full-length prefix;
     an IPv4 length may also be a net mask or a host mask.
     """
-    text = F.trim(F.col(cidr))
-    keep = [c for c in df.columns if c not in PREFIX]
-    staged = df.select(
+    keep = [f"`{c}`" for c in df.columns if c not in PREFIX]
+    text = f"trim(`{cidr}`)"
+    staged = df.selectExpr(
         *keep,
-        F.split_part(text, F.lit("/"), F.lit(1)).alias("_addr"),
-        F.when(text.contains("/"), F.substring_index(text, "/", -1)).alias("_len"),
-        (F.size(F.split(text, "/", -1)) <= 2).alias("_shape"),
+        f"split_part({text}, '/', 1) AS _addr",
+        f"CASE WHEN contains({text}, '/') THEN substring_index({text}, '/', -1) END AS _len",
+        f"size(split({text}, '/', -1)) <= 2 AS _shape",
     )
-    mask_int = F.when(F.col("_len").contains("."), v4_int(F.col("_len")))
-    staged = _with_v6_groups(staged, "_addr")
-    staged = staged.select("*", v4_int(F.col("_addr")).alias("_v4"), mask_int.alias("_mask"))
-    full = 0xFFFFFFFF
-    ones = lambda m: F.bit_count(m).cast("int")
-    netmask = lambda m: m == F.lit(full).bitwiseAND(_shl(F.lit(full).cast("bigint"), F.lit(32) - ones(m)))
-    inverse = F.lit(full) - F.col("_mask")
-    v4_len = (
-        F.when(F.col("_len").isNull(), 32)
-        .when(F.col("_len").rlike("^[0-9]+$"), F.col("_len").try_cast("int"))
-        .when(netmask(F.col("_mask")), ones(F.col("_mask")))
-        .when(netmask(inverse), ones(inverse))
+    staged = _with_v6_groups(staged, "_addr").selectExpr(
+        "*", f"{_v4_int_sql('_addr')} AS _v4", f"CASE WHEN contains(_len, '.') THEN {_v4_int_sql('_len')} END AS _mask"
     )
-    v6_len = F.when(F.col("_len").isNull(), 128).when(F.col("_len").rlike("^[0-9]+$"), F.col("_len").try_cast("int"))
-    hi6, lo6 = _halves_from_groups(F.col("_v6"))
-    staged = staged.select(
+    netmask = lambda m: f"{m} = 4294967295L & shiftleft(4294967295L, 32 - cast(bit_count({m}) AS INT))"
+    digits = "WHEN _len RLIKE '^[0-9]+$' THEN try_cast(_len AS INT)"
+    v4_len = f"""CASE WHEN _len IS NULL THEN 32 {digits} WHEN {netmask('_mask')} THEN cast(bit_count(_mask) AS INT)
+        WHEN {netmask('(4294967295L - _mask)')} THEN cast(bit_count(4294967295L - _mask) AS INT) END"""
+    v6_len = f"CASE WHEN _len IS NULL THEN 128 {digits} END"
+    staged = staged.selectExpr(
         *keep,
         "_shape",
-        F.when(F.col("_v4").isNotNull(), 4).when(F.col("_v6").isNotNull(), 6).alias("_family"),
-        F.when(F.col("_v4").isNotNull(), v4_len).when(F.col("_v6").isNotNull(), v6_len).alias("_plen"),
-        F.when(F.col("_v4").isNotNull(), v4_half(F.col("_v4"))).otherwise(hi6).alias("_hi"),
-        F.when(F.col("_v4").isNotNull(), F.lit(ZERO_HALF)).otherwise(lo6).alias("_lo"),
+        "CASE WHEN _v4 IS NOT NULL THEN 4 WHEN _v6 IS NOT NULL THEN 6 END AS _family",
+        f"CASE WHEN _v4 IS NOT NULL THEN {v4_len} WHEN _v6 IS NOT NULL THEN {v6_len} END AS _plen",
+        f"CASE WHEN _v4 IS NOT NULL THEN shiftleft(_v4 - 2147483648L, 32) ELSE {_half_from_groups_sql('_v6', 0)} END AS _hi",
+        f"CASE WHEN _v4 IS NOT NULL THEN {_ZERO} ELSE {_half_from_groups_sql('_v6', 4)} END AS _lo",
     )
-    limit = F.when(F.col("_family") == 4, 32).otherwise(128)
-    good = F.col("_shape") & F.col("_family").isNotNull() & (F.col("_plen") <= limit)
-    masked_hi = mask_half_hi(F.col("_hi"), F.col("_plen"))
-    masked_lo = mask_half_lo(F.col("_lo"), F.col("_plen"))
+    good = "_shape AND _family IS NOT NULL AND _plen <= CASE _family WHEN 4 THEN 32 ELSE 128 END"
     if strict:
-        good = good & (masked_hi == F.col("_hi")) & (masked_lo == F.col("_lo"))
-    fields = {"family": "_family", "plen": "_plen"}
-    values = [F.when(good, F.col(v)).alias(k) for k, v in fields.items()]
-    values += [F.when(good, masked_hi).alias("hi"), F.when(good, masked_lo).alias("lo")]
+        good += f" AND {_mask_hi_sql('_hi', '_plen')} = _hi AND {_mask_lo_sql('_lo', '_plen')} = _lo"
+    values = {"family": "_family", "plen": "_plen", "hi": _mask_hi_sql("_hi", "_plen"), "lo": _mask_lo_sql("_lo", "_plen")}
+    fields = ", ".join(f"'{name}', CASE WHEN {good} THEN {value} END" for name, value in values.items())
     # A one-row generator: a filter or join key on the parsed columns stays above it
     # instead of being pushed down as a copy of the whole parsing expression.
-    return staged.select(*keep, F.inline(F.array(F.struct(*values))))
+    return staged.selectExpr(*keep, f"inline(array(named_struct({fields})))")
 
 
 def with_address(df: DataFrame, text: str, *, family: int | None = None) -> DataFrame:
@@ -292,8 +257,10 @@ def is_canonical(original: Column, canonical: Column) -> Column:
 
 def _power_of_two(exponent: Column) -> Column:
     """2^exponent as DECIMAL(38,0); NULL above 2^126, the last that fits."""
-    powers = F.array(*[F.lit(str(2**k)).cast("decimal(38,0)") for k in range(127)])
-    return F.get(powers, exponent)
+    # Two 62-bit factors and one of at most 2 bits: exact in DECIMAL, no lookup table.
+    part = lambda low, width: _shl(F.lit(1).cast("bigint"), F.least(F.greatest(exponent - low, F.lit(0)), F.lit(width))).cast("decimal(19,0)")
+    value = (part(0, 62) * part(62, 62)).cast("decimal(38,0)") * part(124, 2).cast("decimal(1,0)")
+    return F.when(exponent.between(0, 126), value.cast("decimal(38,0)"))
 
 
 def v4_count(plen: Column) -> Column:

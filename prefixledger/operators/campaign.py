@@ -114,7 +114,7 @@ def reconstructed_origins(evidence: DataFrame, planned: DataFrame, *, timestamps
     seen = asked.join(hits, ["observed_at", *PREFIX], "left").select(
         "date", "address", "observed_at",
         F.when(F.col("scalar") & (F.col("low_origin") == F.col("high_origin")),
-               F.struct(A.cidr_text(F.col("family"), F.col("r_plen"), F.col("r_hi"), F.col("r_lo")).alias("prefix"), F.col("low_origin").cast("bigint").alias("asn"))).alias("o"),
+               F.struct(A.cidr_text("family", "r_plen", "r_hi", "r_lo").alias("prefix"), F.col("low_origin").cast("bigint").alias("asn"))).alias("o"),
     )
     per = seen.groupBy("date", "address").agg(
         F.count("*").alias("times"), F.count("o").alias("usable"), F.min("o").alias("a"), F.max("o").alias("b")

@@ -81,7 +81,7 @@ def catalogue_changes(paired: DataFrame) -> DataFrame:
         *PAIR,
         F.concat(F.lit("v"), F.col("family").cast("string")).alias("family"),
         "e.change_kind",
-        A.cidr_text(*[F.col(c) for c in PREFIX]).alias("cidr"),
+        A.cidr_text().alias("cidr"),
         *[F.col(f"e.label.{c}").alias(c) for c in LABEL],
         *[F.col(c).alias(f"_{c}") for c in PREFIX],
     )
@@ -174,8 +174,8 @@ def overlay(paired: DataFrame) -> DataFrame:
             "is_new",
             "label",
             "node",
-            A.mask_half_hi(F.col("hi"), F.col("node") - 1).alias("p_hi"),
-            A.mask_half_lo(F.col("lo"), F.col("node") - 1).alias("p_lo"),
+            A.mask_half_hi("hi", "(node - 1)").alias("p_hi"),
+            A.mask_half_lo("lo", "(node - 1)").alias("p_lo"),
             (A.node_bit(F.col("hi"), F.col("lo"), F.col("node")) + 1).alias("child"),
         )
         .groupBy(*PAIR, "family", "is_new", "node", "p_hi", "p_lo")

@@ -20,7 +20,7 @@ def source_blocks(announced: DataFrame, *, shortest: int = 8) -> DataFrame:
 
     v4 = announced.filter((F.col("family") == 4) & (F.col("plen") >= shortest))
     # Every prefix longer than /24 counts as its whole /24.
-    wide = v4.withColumn("plen", F.least("plen", F.lit(24))).withColumn("hi", A.mask_half_hi(F.col("hi"), F.col("plen")))
+    wide = v4.withColumn("plen", F.least("plen", F.lit(24))).withColumn("hi", A.mask_half_hi("hi", "plen"))
     tops = drop_covered(wide, [])
     first = F.shiftright(A.v4_from_half(F.col("hi")), 8)
     count = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(24) - F.col("plen"))

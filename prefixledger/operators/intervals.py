@@ -37,8 +37,8 @@ def at_lengths(
     return long.select(
         *keep,
         "c_plen",
-        A.mask_half_hi(F.col("hi"), F.col("c_plen")).alias("c_hi"),
-        A.mask_half_lo(F.col("lo"), F.col("c_plen")).alias("c_lo"),
+        A.mask_half_hi("hi", "c_plen").alias("c_hi"),
+        A.mask_half_lo("lo", "c_plen").alias("c_lo"),
     )
 
 
@@ -99,8 +99,8 @@ def collapse(prefixes: DataFrame, on: list[str], *, disjoint: bool = False, long
         local = rows.select(
             *on,
             "family",
-            A.mask_half_hi(F.col("hi"), F.lit(16 * tier)).alias("hi"),
-            A.mask_half_lo(F.col("lo"), F.lit(16 * tier)).alias("lo"),
+            A.mask_half_hi("hi", str(16 * tier)).alias("hi"),
+            A.mask_half_lo("lo", str(16 * tier)).alias("lo"),
             start.alias("start"),
             (start + size).alias("stop"),
         )

@@ -35,7 +35,7 @@ def _repeated(df: DataFrame, rule: str, keys: list[str], key: Column) -> DataFra
 
 
 def _cidr() -> Column:
-    return A.cidr_text(*[F.col(c) for c in PREFIX])
+    return A.cidr_text()
 
 
 def catalogue_violations(catalogue: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def catalogue_violations(catalogue: DataFrame) -> DataFrame:
         violations(valid, "ipv6_longer_than_64", (F.col("family") == 6) & (F.col("plen") > 64), dated(_cidr())),
         violations(
             overlaps(valid, ["snapshot_date"]), "overlap", F.lit(True), dated(_cidr()),
-            A.cidr_text(F.col("family"), F.col("c_plen"), F.col("c_hi"), F.col("c_lo")),
+            A.cidr_text("family", "c_plen", "c_hi", "c_lo"),
         ),
     ]
     return reduce(DataFrame.unionByName, found)

@@ -85,7 +85,7 @@ def attribute(catalogue: DataFrame, routes: DataFrame) -> DataFrame:
         *catalogue.columns,
         "outcome",
         F.when(matched, F.col("asn")).alias("asn"),
-        F.when(matched, A.cidr_text(F.col("family"), F.col("r_plen"), F.col("r_hi"), F.col("r_lo"))).alias("route"),
+        F.when(matched, A.cidr_text("family", "r_plen", "r_hi", "r_lo")).alias("route"),
     )
 
 
@@ -103,7 +103,7 @@ def with_operator(attributed: DataFrame, as_names: DataFrame) -> DataFrame:
 def strict_attribution(attributed: DataFrame) -> DataFrame:
     """The audit's rule: a failed lookup or containment is an error, not a bucket."""
     failed = F.col("outcome").isin("lookup_failure", "containment_failure")
-    message = F.concat(F.lit("route lookup failed: "), A.cidr_text(*[F.col(c) for c in PREFIX]))
+    message = F.concat(F.lit("route lookup failed: "), A.cidr_text())
     return attributed.withColumn(
         "outcome", F.when(failed, F.raise_error(message).cast("string")).otherwise(F.col("outcome"))
     )

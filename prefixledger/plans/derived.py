@@ -94,7 +94,7 @@ def catalogue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = A.with_prefix(catalogue_text(spark, sf_dir), "cidr")
-    return parsed.withColumn("canonical", A.cidr_text(*[F.col(c) for c in A.PREFIX]))
+    return parsed.withColumn("canonical", A.cidr_text())
 
 
 def lenient_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def lenient_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("b") % 50 == 49
     text = good.withColumn("cidr", F.when(bad, F.concat(F.lit("x"), "cidr")).otherwise(F.col("cidr")))
     parsed = A.with_prefix(text.withColumnRenamed("b", "_ordinal"), "cidr")
-    return parsed.withColumn("canonical", A.cidr_text(*[F.col(c) for c in A.PREFIX]))
+    return parsed.withColumn("canonical", A.cidr_text())
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:

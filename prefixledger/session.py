@@ -9,9 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Call sites are recorded per Column call by default; plans here are built from thousands of them.
+PLAN_BUILDING = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def local_session(name: str, *, cores: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -21,8 +25,10 @@ def local_session(name: str, *, cores: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for name, value in PLAN_BUILDING.items():
+        builder = builder.config(name, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

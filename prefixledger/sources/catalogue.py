@@ -44,7 +44,7 @@ def scan_lenient(spark: SparkSession, path: str) -> DataFrame:
         snapshot_date(F.col("_metadata.file_path")).alias("snapshot_date"), *[text(c).alias(c) for c in FIELDS[:4]], ordinal().alias("_ordinal")
     ).filter(F.col("cidr") != "")
     parsed = A.with_prefix(df, "cidr")
-    return parsed.withColumn("canonical", A.cidr_text(*[F.col(c) for c in A.PREFIX]))
+    return parsed.withColumn("canonical", A.cidr_text())
 
 
 def scan_strict(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +61,7 @@ def scan_strict(spark: SparkSession, path: str) -> DataFrame:
     bad = F.col("p").isNull() | F.col("p.malformed").isNotNull() | (F.coalesce("p.extra", F.lit("")) != "")
     df = df.select("snapshot_date", *[text(c).alias(c) for c in FIELDS[:4]], bad.alias("bad_shape"), "_ordinal")
     parsed = A.with_prefix(df, "cidr")
-    return parsed.withColumn("canonical", A.cidr_text(*[F.col(c) for c in A.PREFIX]))
+    return parsed.withColumn("canonical", A.cidr_text())
 
 
 def scan_snapshots(spark: SparkSession, folder: str, *, strict: bool = False) -> DataFrame:
@@ -79,7 +79,7 @@ def scan_routes(spark: SparkSession, path: str) -> DataFrame:
     """Routing table of tab-separated ``prefix, asn`` lines; ``;`` starts a comment. ``strict_ok``: no host bits set."""
     df = spark.read.schema("prefix string, asn string").option("sep", "\t").option("comment", ";").csv(path)
     parsed = A.with_prefix(df.filter(F.trim("prefix") != ""), "prefix")
-    same = F.trim(F.col("prefix")) == A.cidr_text(*[F.col(c) for c in A.PREFIX])
+    same = F.trim(F.col("prefix")) == A.cidr_text()
     return parsed.select("prefix", F.trim("asn").try_cast("bigint").alias("asn"), *A.PREFIX, F.coalesce(same | F.col("prefix").contains(":"), F.lit(False)).alias("strict_ok"))
 
 
