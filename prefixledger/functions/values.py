@@ -103,7 +103,7 @@ def contact_packet() -> Column:
 
 def single_packet_counter(text: Column) -> Column:
     """The one ``packets`` counter of a rule listing or nested JSON; NULL when absent or contradictory."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r'(?i)"?packets"?\s*:\s*"?(\d+)'), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r'(?i)\b(?:packets?|packet_count|packets_total)"?\s*[:=]\s*"?(\d+)'), F.lit(1)))
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)).try_cast("bigint"))
 
 

@@ -18,7 +18,7 @@ def flat(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, fields: list[str], *, frozen: bool = False) -> None:
     """CSV with header; a frozen output refuses to replace an existing one."""
-    flat(df, fields).write.mode("errorifexists" if frozen else "overwrite").option("header", "true").option("emptyValue", "").csv(path)
+    flat(df, fields).write.mode("errorifexists" if frozen else "overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_pairs(records: DataFrame, folder: str, fields: list[str]) -> None:
