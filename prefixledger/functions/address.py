@@ -165,14 +165,15 @@ def _v6_text_sql(hi: str, lo: str) -> str:
     cases = []
     for run in range(8, 1, -1):
         zeros = ":" + "0:" * run
-        head = f"substring_index({padded}, '{zeros}', 1)"
+        head = f"substring_index(p, '{zeros}', 1)"
         after_at = f"(length({head}) + {len(zeros) + 1})"
-        tail = f"substring({padded}, {after_at}, greatest(length({padded}) - {after_at}, 0))"
-        cases.append(f"WHEN contains({padded}, '{zeros}') THEN concat(substring({head}, 2, 40), '::', {tail})")
+        tail = f"substring(p, {after_at}, greatest(length(p) - {after_at}, 0))"
+        cases.append(f"WHEN contains(p, '{zeros}') THEN concat(substring({head}, 2, 40), '::', {tail})")
+    # The lambda binds the eight groups once; spelled out at every use they outgrow a generated method.
+    shortest = f"get(transform(array({padded}), p -> CASE {' '.join(cases)} ELSE substring(p, 2, length(p) - 2) END), 0)"
     mapped = f"{hi} = {_ZERO} AND shiftright({lo} ^ {_ZERO}, 32) = 65535"
     dotted = f"concat('::ffff:', {_v4_text_sql(f'(({lo} ^ {_ZERO}) & 4294967295L)')})"
-    plain = f"substring({padded}, 2, length({padded}) - 2)"
-    return f"CASE WHEN {mapped} THEN {dotted} {' '.join(cases)} ELSE {plain} END"
+    return f"CASE WHEN {mapped} THEN {dotted} ELSE {shortest} END"
 
 
 def _v4_text_sql(value: str) -> str:

@@ -58,7 +58,7 @@ def scan_strict(spark: SparkSession, path: str) -> DataFrame:
     parsed = F.from_csv(F.col("value"), F.lit(shape), {"escape": '"', "columnNameOfCorruptRecord": "malformed"})
     df = lines.select(snapshot_date(F.col("_metadata.file_path")).alias("snapshot_date"), F.col("value"), parsed.alias("p"), ordinal().alias("_ordinal"))
     text = lambda c: F.coalesce(F.trim(F.col(f"p.{c}")), F.lit(""))
-    bad = F.col("p").isNull() | F.col("p.malformed").isNotNull() | (F.coalesce("p.extra", F.lit("")) != "")
+    bad = (F.trim("value") == "") | F.col("p").isNull() | F.col("p.malformed").isNotNull() | (F.coalesce("p.extra", F.lit("")) != "")
     df = df.select("snapshot_date", *[text(c).alias(c) for c in FIELDS[:4]], bad.alias("bad_shape"), "_ordinal")
     parsed = A.with_prefix(df, "cidr")
     return parsed.withColumn("canonical", A.cidr_text())
