@@ -139,9 +139,9 @@ def malformed(catalogue: DataFrame, examples: int = 5) -> DataFrame:
     """Count of malformed CIDR texts and up to ``examples`` of them, in scan order."""
     bad = catalogue.filter(F.col("family").isNull())
     shown = bad.orderBy("_ordinal").limit(examples).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_ordinal", F.trim("cidr").alias("c")))), lambda x: x["c"]).alias("examples")
+        F.transform(F.array_sort(F.collect_list(F.struct("_ordinal", F.trim("cidr").alias("c")))), lambda x: x["c"])
     )
-    return bad.agg(F.count("*").alias("malformed")).crossJoin(shown)  # one row each
+    return bad.agg(F.count("*").alias("malformed")).withColumn("examples", shown.scalar())
 
 
 def overlap_report(catalogue: DataFrame, on: tuple[str, ...] = (), *, longest: int = 128) -> DataFrame:

@@ -298,9 +298,7 @@ def churn_series(catalogue: DataFrame) -> DataFrame:
 
 def churn_counters(catalogue: DataFrame, paired: DataFrame, pieces: DataFrame) -> DataFrame:
     """:func:`churn_series` from stored ``paired`` and ``pieces`` frames."""
-    grid = adjacent_dates(catalogue.select("snapshot_date")).crossJoin(
-        catalogue.sparkSession.createDataFrame([(4,), (6,)], "family int")
-    )
+    grid = adjacent_dates(catalogue.select("snapshot_date")).select("*", F.explode(F.array(F.lit(4), F.lit(6))).alias("family"))
     keys = [*PAIR, "family"]
     sized = _sizes(
         pieces,
@@ -345,7 +343,8 @@ def plot_series(series: DataFrame) -> DataFrame:
     and families are report-sized (one row per date pair, two families).
     """
     counts = ["added_pfx", "removed_pfx", "reassign_count"]
-    grid = series.select(*PAIR).distinct().crossJoin(series.select("family").distinct())
+    families = series.agg(F.collect_set("family")).scalar()  # two at most
+    grid = series.select(*PAIR).distinct().withColumn("family", F.explode(families))
     dense = grid.join(series.select("date_to", "family", *counts), ["date_to", "family"], "left")
     value = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     return dense.select(

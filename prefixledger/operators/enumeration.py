@@ -110,9 +110,12 @@ def enumeration_summary(coverage: DataFrame, outcomes: DataFrame, results: DataF
         F.count_if(F.col("state") == "skipped").alias("skipped_by_returned_scope"),
         F.count_if(F.col("state") == "failed").alias("pending_error_prefixes"),
     )
-    asked = outcomes.agg(F.coalesce(F.sum("attempts"), F.lit(0)).alias("dns_queries_sent"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors_or_timeouts"))
-    found = results.select(A.canonical_v4(F.col("answer_ip")).alias("a")).filter("a is not null").distinct().agg(F.count("*").alias("unique_ingress_ipv4_addresses"))
-    return states.crossJoin(asked).crossJoin(found)  # one row each
+    asked = outcomes.agg(F.struct(
+        F.coalesce(F.sum("attempts"), F.lit(0)).alias("dns_queries_sent"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors_or_timeouts")
+    ))
+    found = results.select(A.canonical_v4(F.col("answer_ip")).alias("a")).filter("a is not null").distinct().agg(F.count("*"))
+    facts = states.withColumn("asked", asked.scalar()).withColumn("unique_ingress_ipv4_addresses", found.scalar())
+    return facts.select("*", "asked.*").drop("asked")
 
 
 def candidate_history(attempts: DataFrame, *, before: str, days: int) -> DataFrame:

@@ -120,45 +120,3 @@ def collapse(prefixes: DataFrame, on: list[str], *, disjoint: bool = False, long
     counts.append(base.filter(F.col("plen") == 0).select(*on, "family", F.lit(1).cast("bigint").alias("blocks")))
     every = reduce(DataFrame.unionByName, counts)
     return every.groupBy(*on, "family").agg(F.sum("blocks").alias("blocks"))
-
-
-def merged_runs_v4(ranges: DataFrame, on: list[str]) -> DataFrame:
-    """Islands of arbitrary IPv4 ranges ``start, stop`` (half open): ``on, start, stop``.
-
-    Ranges are cut at /16 edges first, so a window partition never holds more than one
-    /16 of one group; runs that touch an edge are joined across edges afterwards on
-    one row per bucket side.
-    """
-    cut = ranges.select(
-        *on,
-        "start",
-        "stop",
-        F.explode(F.sequence(F.shiftright("start", 16), F.shiftright(F.col("stop") - 1, 16))).alias("bucket"),
-    ).select(
-        *on,
-        "bucket",
-        F.greatest("start", F.shiftleft("bucket", 16)).alias("start"),
-        F.least("stop", F.shiftleft(F.col("bucket") + 1, 16)).alias("stop"),
-    )
-    cut = cut.groupBy(*on, "bucket", "start").agg(F.max("stop").alias("stop"))
-    ordered = Window.partitionBy(*on, "bucket").orderBy("start")
-    seen = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    runs = (
-        cut.withColumn("is_start", F.coalesce(F.col("start") > seen, F.lit(True)).cast("int"))
-        .withColumn("run", F.sum("is_start").over(ordered))
-        .groupBy(*on, "bucket", "run")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    )
-    # At most 65,536 buckets of a group meet here, two rows each at most.
-    edge = (F.col("start") == F.shiftleft("bucket", 16)) | (F.col("stop") == F.shiftleft(F.col("bucket") + 1, 16))
-    inside = runs.filter(~edge).select(*on, "start", "stop")
-    across = Window.partitionBy(*on).orderBy("start")
-    joined = (
-        runs.filter(edge)
-        .withColumn("is_start", F.coalesce(F.lag("stop").over(across) != F.col("start"), F.lit(True)).cast("int"))
-        .withColumn("run", F.sum("is_start").over(across))
-        .groupBy(*on, "run")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-        .select(*on, "start", "stop")
-    )
-    return inside.unionByName(joined)

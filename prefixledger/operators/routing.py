@@ -142,7 +142,7 @@ def _with_share(table: DataFrame, on: list[str]) -> DataFrame:
         totals = table.groupBy(*on).agg(F.sum("total").alias("whole"))
         joined = table.join(totals, on)
     else:
-        joined = table.crossJoin(table.agg(F.sum("total").alias("whole")))  # one row
+        joined = table.withColumn("whole", table.agg(F.sum("total")).scalar())
     return joined.withColumn("share_percent", L.percent_text(F.col("total"), F.col("whole"))).drop("whole")
 
 

@@ -94,13 +94,16 @@ def temporal_intersection(sequence: DataFrame, declaration) -> DataFrame:
     grid = spark.createDataFrame([(f,) for f in wanted], "field string")
     facts = grid.join(facts, "field", "left")
     # One row over at most six fields: any blank value makes the whole rule incomplete.
-    whole = facts.agg(F.coalesce(F.max("observations"), F.lit(0)).alias("seen"), F.coalesce(F.bool_or(F.col("lo") == ""), F.lit(False)).alias("blank"))
+    whole = facts.agg(F.struct(
+        F.coalesce(F.max("observations"), F.lit(0)).alias("seen"), F.coalesce(F.bool_or(F.col("lo") == ""), F.lit(False)).alias("blank")
+    )).scalar()
+    facts = facts.withColumn("w", whole).select("*", "w.seen", "w.blank")
     verdict = (
         F.when(F.col("seen") == 0, "insufficient_accepted_unpinned_observations")
         .when(F.col("blank"), "incomplete_location_fields").otherwise("evaluated")
     )
     done = verdict == "evaluated"
-    return facts.crossJoin(whole).select(
+    return facts.select(
         verdict.alias("status"), "field", F.coalesce("observations", F.lit(0)).alias("observations"),
         F.when(done & (F.col("lo") == F.col("hi")), F.col("lo")).alias("common"),
         F.coalesce("distinct_raw", F.lit(0)).alias("distinct_raw"),
@@ -160,19 +163,20 @@ def pilot_report(attempts: DataFrame, records: DataFrame, ladder: list[str], *,
         "*", clean.alias("clean"), rank.alias("ladder_rank"), eligible.alias("eligible"),
         F.round(F.col("micros") / F.nullif(F.col("accepted"), F.lit(0)) / 1000000, 6).alias("mean_seconds"),
     ).drop("micros")
-    choice = counted.agg(F.min_by("freshness_method", F.when(F.col("eligible"), F.col("ladder_rank"))).alias("selected_method"))
-    return counted.drop("eligible").crossJoin(choice)  # one row
+    choice = counted.agg(F.min_by("freshness_method", F.when(F.col("eligible"), F.col("ladder_rank"))))
+    return counted.drop("eligible").withColumn("selected_method", choice.scalar())
 
 
 def daily_report(strata_rows: DataFrame, eligibility_rows: DataFrame, day: str) -> DataFrame:
     """One day's strict counts beside its objective counts."""
+    counts = ("attempts", "accepted", "excluded", "pending")
     strict = strata_rows.filter((F.col("day") == day) & (F.col("dimension") == "pin_mode")).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("attempts", "accepted", "excluded", "pending")]
+        F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
     )
     objective = eligibility_rows.filter((F.col("day") == day) & (F.col("value") == "eligible")).select(
         F.col("measure"), F.col("n").alias("eligible")
     )
-    return objective.crossJoin(strict).withColumn("day", F.lit(day))
+    return objective.withColumn("s", strict.scalar()).select(F.lit(day).alias("day"), "measure", "eligible", *[f"s.{c}" for c in counts])
 
 
 def validation_report(records: DataFrame) -> DataFrame:
@@ -205,7 +209,7 @@ def series_completeness(results: DataFrame, expected: DataFrame) -> DataFrame:
     merged = expected.join(
         latest.select("slot_id", F.col("_ordinal").alias("seen_at"), (F.col("acceptance") == "accepted").alias("ok")), "slot_id", "left"
     )
-    foreign = latest.join(expected, "slot_id", "left_anti").agg(F.count("*").alias("foreign_slots"))
+    foreign = latest.join(expected, "slot_id", "left_anti").agg(F.count("*"))
     # The plan is one schedule: slots in the hundreds, ordered in one window.
     before = F.max("seen_at").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
     marked = merged.withColumn("disorder", F.coalesce(F.col("seen_at") < before, F.lit(False)))
@@ -214,6 +218,6 @@ def series_completeness(results: DataFrame, expected: DataFrame) -> DataFrame:
         F.count_if(F.col("seen_at").isNull()).alias("missing"),
         F.count_if(F.coalesce(F.col("ok"), F.lit(False))).alias("accepted"),
         (~F.bool_or("disorder")).alias("exact_order"),
-    ).crossJoin(foreign).withColumn(
+    ).withColumn("foreign_slots", foreign.scalar()).withColumn(
         "complete", (F.col("missing") == 0) & (F.col("accepted") == F.col("expected")) & F.col("exact_order") & (F.col("foreign_slots") == 0)
     )

@@ -120,8 +120,8 @@ def lenient_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Announced prefixes ``PREFIX, asn``: one /16 (or /56) per 32 slots, a few /23 (or /63) inside, every eleventh absent."""
-    supplier = table(spark, sf_dir, "supplier").agg(F.count("*").alias("suppliers"))  # one row
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b")).crossJoin(F.broadcast(supplier))
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b"), suppliers.alias("suppliers"))
     block = F.floor(F.col("b") / 32).cast("bigint")
     wide = (
         customers.select(block.alias("i"), "suppliers").distinct()
@@ -164,7 +164,7 @@ CASES = {2: "no log row", 3: "second flow", 4: "stale flow", 5: "other ingress",
 
 
 def _attempt_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))  # one row
+    customers = table(spark, sf_dir, "customer").agg(F.count("*")).scalar()
     e = F.col("event_id")
     case = (e % 12).cast("int")
     slot = F.col("user_id") % F.least(F.col("n"), F.lit(V4_SLOTS))
@@ -173,7 +173,7 @@ def _attempt_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = lambda s: F.timestamp_micros(F.unix_micros("ts") + int(s * 1000000))
     iso = lambda s: F.date_format(shifted(s), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.crossJoin(F.broadcast(customers)).select(
+    return events.withColumn("n", customers).select(
         e.alias("e"), case.alias("case"), "ts", "user_id", "event_type",
         F.concat(F.lit("r"), e.cast("string")).alias("run_id"),
         F.concat(F.lit("day/"), e.cast("string")).alias("attempt_path"),
@@ -279,11 +279,13 @@ def client_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first snapshot's IPv4 rows as the feed of every day on which an attempt was served."""
-    days = _attempt_base(spark, sf_dir).select(F.col("day").alias("date")).distinct()
+    served = _attempt_base(spark, sf_dir)
+    first, last = served.agg(F.min("day")).scalar(), served.agg(F.max("day")).scalar()
     rows = catalogue(spark, sf_dir).filter((F.col("family") == 4) & (F.col("snapshot_date") == DAYS[0])).select(
         *A.PREFIX, F.col("canonical").alias("ip_prefix"), "country", "region", "city", F.lit(0).alias("_ordinal")
     )
-    return rows.crossJoin(days)  # a feed per day is what a feed archive holds
+    # A feed per day is what a feed archive holds.
+    return rows.withColumn("date", F.explode(F.sequence(first, last)))
 
 
 def feed_days(spark: SparkSession, sf_dir: str) -> DataFrame:

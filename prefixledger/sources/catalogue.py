@@ -101,12 +101,17 @@ def scan_announced(spark: SparkSession, path: str) -> DataFrame:
 def scan_source_list(spark: SparkSession, path: str) -> DataFrame:
     """``position, prefix, PREFIX`` of a source-block list without comments, strictly parsed.
 
-    The list is one file of at most 2^24 lines; numbering its lines is one ordered pass.
+    Lines are numbered within their file block; the blocks' sizes, one row each, give the offsets.
     """
     from pyspark.sql import Window
 
     lines = spark.read.text(path).select(ordinal().alias("o"), F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("prefix")).filter("prefix <> ''")
-    numbered = lines.select("prefix", F.row_number().over(Window.orderBy("o")).alias("position"))
+    block = ["o.file", "o.block"]
+    local = lines.select("prefix", *block, F.row_number().over(Window.partitionBy(*block).orderBy("o.row")).alias("n"))
+    sizes = lines.groupBy(*block).agg(F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("file", "block", F.coalesce(before, F.lit(0)).alias("offset"))
+    numbered = local.join(offsets, ["file", "block"]).select("prefix", (F.col("offset") + F.col("n")).alias("position"))
     return A.with_prefix(numbered, "prefix", strict=True)
 
 
