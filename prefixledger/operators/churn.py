@@ -51,15 +51,14 @@ def observation_interval(date_from: Column, date_to: Column) -> Column:
 def paired_prefixes(catalogue: DataFrame) -> DataFrame:
     """One row per (pair of dates, prefix): ``old`` and ``new`` label structs, NULL where absent.
 
-    Written as a union and one aggregation, not as a join of two sides: a single
-    shuffle, combined before it, serves every consumer.
+    Not a join of two sides: a row meets the (at most two) pairs its date takes part in, a
+    report-sized table, and one aggregation brings the sides together. One scan, one shuffle.
     """
     pairs = adjacent_dates(catalogue.select("snapshot_date"))
     labelled = catalogue.select("snapshot_date", *PREFIX, label_struct().alias("label"))
-    side = lambda date, is_new: labelled.join(
-        pairs.withColumnRenamed(date, "snapshot_date").withColumn(date, F.col("snapshot_date")), "snapshot_date"
-    ).select(*KEY, F.lit(is_new).alias("is_new"), "label")
-    both = side("date_from", False).unionByName(side("date_to", True))
+    role = lambda date, is_new: F.struct(F.col(date).alias("snapshot_date"), F.lit(is_new).alias("is_new"))
+    roles = pairs.select(*PAIR, F.inline(F.array(role("date_from", False), role("date_to", True))))
+    both = labelled.join(roles, "snapshot_date")
     return both.groupBy(*KEY).agg(
         F.max(F.when(~F.col("is_new"), F.col("label"))).alias("old"),
         F.max(F.when(F.col("is_new"), F.col("label"))).alias("new"),

@@ -39,7 +39,7 @@ def _series(spark, sf):
 
 
 def _pieces(spark, sf):
-    paired = cut_lineage(churn.paired_prefixes(D.catalogue(spark, sf)))
+    paired = cut_lineage(churn.paired_prefixes(cut_lineage(D.catalogue(spark, sf))))
     return cut_lineage(churn.overlay(paired))
 
 
@@ -71,7 +71,7 @@ def top_transitions(spark, sf):
 
 @query
 def catalogue_changes(spark, sf):
-    changes = churn.catalogue_changes(churn.paired_prefixes(D.catalogue(spark, sf)))
+    changes = churn.catalogue_changes(churn.paired_prefixes(cut_lineage(D.catalogue(spark, sf))))
     return _text(
         changes.select("date_from", "date_to", "family", "change_kind", "cidr", "country", "region", "city"),
         "date_from", "date_to",
