@@ -125,10 +125,12 @@ def candidate_history(attempts: DataFrame, *, before: str, days: int) -> DataFra
     dns_ingress_candidates, macos_effective_ingress_candidates, effective_dns``. Inherited scope columns are no evidence.
     """
     have = set(attempts.columns)
-    sources = [
-        F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, c=c: F.struct(F.lit(c).alias("source"), x.alias("address")))
-        for c in ("dns_ingress_candidates", "macos_effective_ingress_candidates") if c in have
-    ]
+
+    def named(column: str) -> Column:
+        values = F.coalesce(F.col(column), F.array().cast("array<string>"))
+        return F.transform(values, lambda x: F.struct(F.lit(column).alias("source"), x.alias("address")))
+
+    sources = [named(c) for c in ("dns_ingress_candidates", "macos_effective_ingress_candidates") if c in have]
     hosts = F.transform(
         F.coalesce(F.map_entries("effective_dns.hostnames"), F.array()),
         lambda e: F.transform(F.coalesce(e["value"]["A"], F.array()), lambda a: F.struct(
