@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 
@@ -14,7 +13,7 @@ PLAN_BUILDING = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def local_session(name: str, *, cores: int = 8) -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+    """A local session for tests and the bench, where one machine holds all files; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -22,6 +21,7 @@ def local_session(name: str, *, cores: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -33,21 +33,33 @@ def local_session(name: str, *, cores: int = 8) -> SparkSession:
     return spark
 
 
+def stored_path(spark: SparkSession) -> str:
+    """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Raises where the setting is absent: a machine-local folder would give each executor its own files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder.rstrip('/')}/prefixledger-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table and read it back.
 
     Used where one frame feeds several joins: the plan restarts from stored files, so
     a lost executor costs a re-read and not a recomputation, and the optimizer knows
-    the real size when it picks a join. The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset (tests) one of our own is taken.
+    the real size when it picks a join.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{folder.rstrip('/')}/prefixledger-{uuid.uuid4().hex}"
+    path = stored_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+def remove_stored(df: DataFrame) -> None:
+    """Delete the files of a frame made by ``cut_lineage`` once nothing reads them any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/prefixledger-" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
