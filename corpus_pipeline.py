@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefixledger.llm import bpe, mixing, pseudonyms, quality_rules
+from prefixledger.llm import bpe, mixing, ngram_join, pseudonyms, quality_rules
 from prefixledger.llm.registry import PSEUDONYM_KEY, WORD_BPE
 from prefixledger.session import cut_lineage
 
@@ -16,8 +16,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of every group of near duplicates."""
-    from prefixledger.llm import ngram_join
-
     return ngram_join.one_of_each(docs)
 
 

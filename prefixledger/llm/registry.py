@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefixledger.llm import bpe, mixing, pseudonyms, quality_rules, token_counts, url_filters
+from prefixledger.llm import ball_tree, bpe, id_planes, mixing, ngram_join, pseudonyms, quality_cnn, quality_rules, token_counts, url_filters
 from prefixledger.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,17 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality_cnn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_cnn.score(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op2_id_planes(spark, sf_dir):
+    return id_planes.written_and_read(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 @query
 def op3_bpe_round_trip(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -50,6 +61,12 @@ def op7_source_mix(spark, sf_dir):
 ORACLES["op7_source_mix"] = mixing.ORACLE
 
 
+@query
+def op8_ngram_join(spark, sf_dir):
+    out = ngram_join.join(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 @query
 def op9_url_rules(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
@@ -58,3 +75,11 @@ def op9_url_rules(spark, sf_dir):
 
 
 ORACLES["op9_url_rules"] = url_filters.ORACLE
+
+
+@query
+def op10_top_k(spark, sf_dir):
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op10_top_k"] = ball_tree.ORACLE
