@@ -366,11 +366,11 @@ FROM long GROUP BY GROUPING SETS ((day, dimension, value), (dimension, value))""
     "disposition_counts": f"""WITH {ATTEMPTS}
 SELECT 'disposition' AS kind, disposition AS value, count(*) AS n FROM rec GROUP BY 2
 UNION ALL SELECT 'exclusion', exclusion_reason, count(*) FROM rec WHERE exclusion_reason IS NOT NULL GROUP BY 2""",
-    "temporal_intersection": f"""WITH {ATTEMPTS}, seq AS (SELECT country, region FROM rec WHERE NOT pinned AND disposition = 'accepted' AND country = 'EU'),
-v AS (SELECT 'country' AS field, country AS raw FROM seq UNION ALL SELECT 'region', region FROM seq),
+    "temporal_intersection": f"""WITH {ATTEMPTS}, seq AS (SELECT country, region FROM rec WHERE NOT pinned AND disposition = 'accepted'),
+v AS (SELECT 'country' AS field, coalesce(country, '') AS raw FROM seq UNION ALL SELECT 'region', coalesce(region, '') FROM seq),
 g AS (SELECT field, count(*) AS n, count(DISTINCT raw) AS d, min(lower(trim(raw))) AS lo, max(lower(trim(raw))) AS hi FROM v GROUP BY field)
-SELECT CASE WHEN n IS NULL THEN 'insufficient_accepted_unpinned_observations' ELSE 'evaluated' END AS status, k.field, coalesce(n, 0) AS observations,
-  CASE WHEN lo = hi THEN lo END AS common, coalesce(d, 0) AS distinct_raw FROM (VALUES ('country'), ('region')) k(field) LEFT JOIN g USING (field)""",
+SELECT CASE WHEN n IS NULL THEN 'insufficient_accepted_unpinned_observations' WHEN (SELECT bool_or(lo = '') FROM g) THEN 'incomplete_location_fields' ELSE 'evaluated' END AS status, k.field, coalesce(n, 0) AS observations,
+  CASE WHEN lo = hi AND NOT (SELECT bool_or(lo = '') FROM g) THEN lo END AS common, coalesce(d, 0) AS distinct_raw FROM (VALUES ('country'), ('region')) k(field) LEFT JOIN g USING (field)""",
     "origin_gaps": f"""WITH {ATTEMPTS}, gap AS (SELECT * FROM rec WHERE pending_reason IS NOT NULL)
 SELECT DISTINCT day::VARCHAR AS date, 'run_id' AS kind, run_id AS value, NULL::BIGINT AS sort_key FROM gap
 UNION SELECT DISTINCT day::VARCHAR, 'ingress', '{D.PIN}', 3325256711 FROM gap UNION SELECT DISTINCT day::VARCHAR, 'egress', remote_ip, ip FROM gap""",
@@ -460,14 +460,14 @@ WITH a AS (
     CASE WHEN k % 20 = 3 AND retry = 1 THEN 'timeout' ELSE 'success' END AS outcome, (CASE WHEN k % 40 = 11 THEN k + 10 ELSE k END) * 10 + retry AS begun FROM supplier),
 m AS (SELECT * FROM a WHERE mine),
 slot AS (SELECT 'slot' || s_suppkey AS slot_id, s_suppkey AS pos FROM supplier),
-st AS (SELECT slot_id, pos, coalesce((SELECT bool_or(outcome <> 'timeout' OR retry >= 2) FROM m WHERE m.slot_id = slot.slot_id), false) AS complete,
+st AS (SELECT slot_id, pos, (SELECT min(begun) FROM m WHERE m.slot_id = slot.slot_id AND (outcome = 'success' OR retry = 2)) AS complete_at,
   (SELECT min(begun) FROM m WHERE m.slot_id = slot.slot_id) AS first_at FROM slot),
 v AS (
   SELECT 'foreign_plan' AS rule FROM a WHERE NOT mine
   UNION ALL SELECT 'unknown_slot' FROM m WHERE slot_id NOT IN (SELECT slot_id FROM slot)
   UNION ALL SELECT 'repeated_retry' FROM (SELECT slot_id, retry FROM m GROUP BY ALL HAVING count(*) > 1)
   UNION ALL SELECT 'retry_not_allowed' FROM m WHERE retry > 1 AND NOT coalesce((SELECT count(*) = 1 AND max(outcome) = 'timeout' FROM m p WHERE p.slot_id = m.slot_id AND p.retry = m.retry - 1), false)
-  UNION ALL SELECT 'earlier_slot_open' FROM m JOIN st USING (slot_id) WHERE EXISTS (SELECT 1 FROM st x WHERE x.pos < st.pos AND NOT x.complete)
+  UNION ALL SELECT 'earlier_slot_open' FROM m JOIN st USING (slot_id) WHERE EXISTS (SELECT 1 FROM st x WHERE x.pos < st.pos AND coalesce(x.complete_at >= m.begun, true))
   UNION ALL SELECT 'back_fill' FROM m JOIN st USING (slot_id) WHERE m.begun > (SELECT min(first_at) FROM st x WHERE x.pos > st.pos))
 SELECT rule, count(*) AS n FROM v GROUP BY rule""",
     "reconstructed_origins": f"""

@@ -257,11 +257,12 @@ def is_canonical(original: Column, canonical: Column) -> Column:
 
 
 def _power_of_two(exponent: Column) -> Column:
-    """2^exponent as DECIMAL(38,0); NULL above 2^126, the last that fits."""
+    """2^exponent as DECIMAL(38,0). Above 2^126, the last that fits, it raises: a NULL would drop out of sums in silence."""
     # Two 62-bit factors and one of at most 2 bits: exact in DECIMAL, no lookup table.
     part = lambda low, width: _shl(F.lit(1).cast("bigint"), F.least(F.greatest(exponent - low, F.lit(0)), F.lit(width))).cast("decimal(19,0)")
     value = (part(0, 62) * part(62, 62)).cast("decimal(38,0)") * part(124, 2).cast("decimal(1,0)")
-    return F.when(exponent.between(0, 126), value.cast("decimal(38,0)"))
+    too_large = F.raise_error(F.lit("an IPv6 prefix shorter than /2 has more addresses than a decimal holds")).cast("decimal(38,0)")
+    return F.when(exponent.between(0, 126), value.cast("decimal(38,0)")).when(exponent > 126, too_large)
 
 
 def v4_count(plen: Column) -> Column:

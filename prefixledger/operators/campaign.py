@@ -22,8 +22,9 @@ def plan_violations(attempts: DataFrame, slots: DataFrame, *, plan_sha256: str,
     ``attempts``: ``slot_id, retry_number, outcome, execution_plan_sha256, started_at``;
     ``slots``: ``slot_id, position``. Rules: foreign plan, unknown slot, repeated
     slot and retry, retry number out of range, retry without its predecessor or after
-    a success, an attempt while an earlier slot was still open, and an attempt
-    after a later slot had been started (back-fill). Positions and times are
+    a success, an attempt that began while an earlier slot was still open, and an attempt
+    after a later slot had been started (back-fill). A slot is complete with its first success or
+    with a technical failure on the last retry. Positions and times are
     compared through running maxima over the slots of one plan.
     """
     key = F.concat_ws(" ", "slot_id", F.col("retry_number").cast("string"))
@@ -34,16 +35,17 @@ def plan_violations(attempts: DataFrame, slots: DataFrame, *, plan_sha256: str,
         F.count("*").alias("n"), F.max("outcome").alias("before")
     )
     retries = mine.filter("retry_number > 1").join(previous, ["slot_id", "retry_number"], "left")
-    done = (~F.col("outcome").isin(*retryable)) | (F.col("retry_number") >= maximum)
+    done = (F.col("outcome") == "success") | (F.col("outcome").isin(*retryable) & (F.col("retry_number") == maximum))
     per_slot = slots.join(
-        mine.groupBy("slot_id").agg(F.max(done).alias("complete"), F.min("started_at").alias("first_at"), F.max("started_at").alias("last_at")),
+        mine.groupBy("slot_id").agg(F.min(F.when(done, F.col("started_at"))).alias("complete_at"), F.min("started_at").alias("first_at"), F.max("started_at").alias("last_at")),
         "slot_id", "left",
     )
     # One row per slot of one plan (a day's schedule).
     up, down = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("position").rowsBetween(1, Window.unboundedFollowing)
     ordered = per_slot.select(
         "slot_id",
-        F.coalesce(F.min(F.coalesce("complete", F.lit(False))).over(up), F.lit(True)).alias("earlier_complete"),
+        F.coalesce(F.min(F.col("complete_at").isNotNull()).over(up), F.lit(True)).alias("earlier_complete"),
+        F.max("complete_at").over(up).alias("earlier_complete_at"),
         F.min("first_at").over(down).alias("later_started"),
     )
     placed = known.join(ordered, "slot_id")
@@ -53,7 +55,7 @@ def plan_violations(attempts: DataFrame, slots: DataFrame, *, plan_sha256: str,
         violations(repeated, "repeated_retry", F.col("n") > 1, key),
         violations(mine, "retry_out_of_range", ~F.col("retry_number").between(1, maximum), key),
         violations(retries, "retry_not_allowed", ~F.coalesce((F.col("n") == 1) & F.col("before").isin(*retryable), F.lit(False)), key),
-        violations(placed, "earlier_slot_open", ~F.col("earlier_complete"), key),
+        violations(placed, "earlier_slot_open", ~F.col("earlier_complete") | F.coalesce(F.col("earlier_complete_at") >= F.col("started_at"), F.lit(False)), key),
         violations(placed, "back_fill", F.col("started_at") > F.col("later_started"), key),
     ])
 

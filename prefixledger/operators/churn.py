@@ -22,6 +22,8 @@ from prefixledger.session import cut_lineage
 PAIR = ["date_from", "date_to", "interval_days"]
 LABEL = ["country", "region", "city"]
 KEY = [*PAIR, *PREFIX]
+#: Snapshot dates up to which the table of date pairs is broadcast.
+MOST_DATES = 20_000
 
 
 def label_struct() -> Column:
@@ -52,13 +54,15 @@ def paired_prefixes(catalogue: DataFrame) -> DataFrame:
     """One row per (pair of dates, prefix): ``old`` and ``new`` label structs, NULL where absent.
 
     Not a join of two sides: a row meets the (at most two) pairs its date takes part in, a
-    report-sized table, and one aggregation brings the sides together. One scan, one shuffle.
+    report-sized table, and one aggregation brings the sides together.
     """
     pairs = adjacent_dates(catalogue.select("snapshot_date"))
     labelled = catalogue.select("snapshot_date", *PREFIX, label_struct().alias("label"))
     role = lambda date, is_new: F.struct(F.col(date).alias("snapshot_date"), F.lit(is_new).alias("is_new"))
     roles = pairs.select(*PAIR, F.inline(F.array(role("date_from", False), role("date_to", True))))
-    both = labelled.join(roles, "snapshot_date")
+    # A date has at most two roles. Broadcast while the dates are counted to be few, so that no row is dealt by its date.
+    few = catalogue.select("snapshot_date").distinct().limit(MOST_DATES + 1).count() <= MOST_DATES
+    both = labelled.join(F.broadcast(roles) if few else roles, "snapshot_date")
     return both.groupBy(*KEY).agg(
         F.max(F.when(~F.col("is_new"), F.col("label"))).alias("old"),
         F.max(F.when(F.col("is_new"), F.col("label"))).alias("new"),

@@ -13,7 +13,10 @@ PERMITTED, BLOCKED = "udp_permitted", "udp_blocked"
 
 
 def exact_log_pair(attempts: DataFrame, responses: DataFrame, logs: DataFrame) -> DataFrame:
-    """``attempt_path, row, pairing_errors``: exactly one tagged row that the response confirms."""
+    """``attempt_path, row, pairing_errors``: exactly one tagged row that the response confirms.
+
+    Without a response there is no row; that is an error only if tagged rows exist.
+    """
     keyed = attempts.select("attempt_path", "run_id")
     tagged = logs.join(keyed, "run_id").filter(F.col("uri") == F.concat(F.lit("/probe/"), F.col("run_id")))
     row = F.struct("run_id", "request_uuid", "ts", "status", "remote_ip", "remote_port", "proto", "method", "host", "uri",
@@ -37,7 +40,9 @@ def exact_log_pair(attempts: DataFrame, responses: DataFrame, logs: DataFrame) -
     n = F.coalesce("n", F.lit(0))
     count_error = lambda what, k: F.array(F.concat(F.lit(f"expected one {what} row, found "), k.cast("string")))
     errors = (
-        F.when((F.col("run_id") == "") | uuid.isNull(), F.array(F.lit("missing run_id or response request_uuid")))
+        F.when(F.col("r").isNull() & (n == 0), F.array().cast("array<string>"))
+        .when(F.col("r").isNull(), F.array(F.concat(F.lit("the response is absent but "), n.cast("string"), F.lit(" tagged log row(s) exist"))))
+        .when((F.col("run_id") == "") | uuid.isNull(), F.array(F.lit("missing run_id or response request_uuid")))
         .when(n != 1, count_error("tagged", n))
         .when(~F.coalesce(F.col("row.request_uuid") == uuid, F.lit(False)), count_error("exact", F.lit(0)))
         .otherwise(field_errors)
@@ -53,20 +58,25 @@ def exact_log_pair(attempts: DataFrame, responses: DataFrame, logs: DataFrame) -
 def server_flow(paired: DataFrame, server_packets: DataFrame, private_ipv4: str) -> DataFrame:
     """Freshness of the paired row's five-tuple: its earliest start lies in the window and not after the log time.
 
-    ``paired`` has ``attempt_path, row, t_from, t_to``. The earliest start of a
-    five-tuple is one aggregate over the packets, so the join sees one row per tuple.
+    ``paired`` has ``attempt_path, row, t_from, t_to``. Only captures that start 0 to 2 hours before the
+    log time count (a packet without a dated capture counts by its own time), so a port used again
+    later is judged by its own captures. The starts of a five-tuple are first reduced to one per capture.
     """
+    started = F.unix_timestamp(F.try_to_timestamp(F.regexp_extract(F.col("artifact"), r"_(\d{14})\.(?:pcap|pcapng)", 1), F.lit("yyyyMMddHHmmss")))
+    capture = F.coalesce(started.cast("double"), F.floor(F.col("time_epoch") / 60) * 60.0) if "artifact" in server_packets.columns else F.floor(F.col("time_epoch") / 60) * 60.0
     transport = V.transport_of(F.col("row.proto"), exact=True)
     starts = server_packets.filter(
         V.setup_packet(server_side=True) & F.col("time_epoch").isNotNull() & (F.col("dst_ip") == private_ipv4) & (F.col("dst_port") == 443)
-    ).groupBy("transport", F.col("src_ip").alias("ip"), F.col("src_port").cast("int").alias("port")).agg(
+    ).groupBy("transport", F.col("src_ip").alias("ip"), F.col("src_port").cast("int").alias("port"), capture.alias("capture")).agg(
         F.min("time_epoch").alias("earliest")
     )
     wanted = paired.filter(F.col("row").isNotNull()).select(
         "attempt_path", transport.alias("transport"), F.col("row.remote_ip").alias("ip"), F.col("row.remote_port").cast("int").alias("port"),
         F.col("row.ts").alias("log_ts"), "t_from", "t_to",
     )
-    seen = wanted.join(starts, ["transport", "ip", "port"], "left")
+    near = wanted.select("attempt_path", "transport", "ip", "port", "log_ts").join(starts, ["transport", "ip", "port"])
+    near = near.filter(F.col("capture").between(F.col("log_ts") - 7200, F.col("log_ts"))).groupBy("attempt_path").agg(F.min("earliest").alias("earliest"))
+    seen = wanted.join(near, "attempt_path", "left")
     at, log = V.epoch_timestamp(F.col("earliest")), V.epoch_timestamp(F.col("log_ts"))
     fresh = F.coalesce((F.col("t_from") <= at) & (at <= log) & (log <= F.col("t_to")), F.lit(False))
     kind = F.when(F.col("transport") == "udp", "udp_quic_initial").otherwise("tcp_syn")

@@ -59,14 +59,19 @@ class PairingRules:
     group_asns: dict[str, tuple[int, ...]] = field(default_factory=dict)
     fallback_name: str = ""
     true_country: str = ""
+    true_time_zone: str = ""
+    intersection_rule: str = ""
     permitted_locations: tuple[tuple[str, str, str], ...] = ()
+    allowed_countries: tuple[str, ...] = ()
+    allowed_regions: tuple[str, ...] = ()
     allowed_cities: tuple[str, ...] = ()
 
     @property
     def ground_truth_complete(self) -> bool:
-        return bool(self.true_country and self.permitted_locations and self.allowed_cities) and all(
-            any(rule) for rule in self.permitted_locations
-        )
+        """Country, time zone, rule, permitted places and a boundary of any kind; cities only for the city boundary."""
+        declared = self.true_country and self.true_time_zone and self.intersection_rule and self.permitted_locations
+        boundary = self.allowed_countries or self.allowed_regions or self.allowed_cities
+        return bool(declared and boundary) and all(any(rule) for rule in self.permitted_locations)
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
@@ -89,9 +94,12 @@ def lifecycle(events: DataFrame) -> DataFrame:
 
 
 def with_metadata_checks(attempts: DataFrame, events: DataFrame) -> DataFrame:
-    """Attempts with parsed times, ``metadata_problems`` and ``corrupt`` (duplicate run id or event)."""
-    runs = attempts.groupBy("run_id").agg((F.count("*") > 1).alias("duplicate_run"))
-    df = attempts.join(lifecycle(events), "attempt_path", "left").join(runs, "run_id")
+    """Attempts with parsed times, ``metadata_problems`` and ``corrupt`` (unreadable document, duplicate run id or event).
+
+    An attempt without a run id stays and has the problem "run_id". ``malformed`` is an optional column of the documents scan.
+    """
+    runs = attempts.filter("run_id is not null").groupBy("run_id").agg((F.count("*") > 1).alias("duplicate_run"))
+    df = attempts.join(lifecycle(events), "attempt_path", "left").join(runs, "run_id", "left")
     df = df.withColumns({
         "client_start_utc": F.coalesce("started_utc", "client_start_utc"),
         "safari_launch_utc": F.coalesce("safari_launch_utc", "safari_launch_requested_utc"),
@@ -110,7 +118,12 @@ def with_metadata_checks(attempts: DataFrame, events: DataFrame) -> DataFrame:
         (~F.coalesce(F.col("clock_evidence.network_time").contains("On"), F.lit(False)), "network time state is not enabled"),
         (V.present(F.col("end_condition_confirmation")).isNull(), "end condition confirmation is missing"),
     )
-    corrupt = F.when(F.col("duplicate_event"), "duplicate lifecycle event").when(F.col("duplicate_run"), "duplicate client run_id")
+    unreadable = F.coalesce(F.col("malformed"), F.lit(False)) if "malformed" in attempts.columns else F.lit(False)
+    corrupt = (
+        F.when(unreadable, "unreadable attempt document")
+        .when(F.col("duplicate_event"), "duplicate lifecycle event")
+        .when(F.col("duplicate_run"), "duplicate client run_id")
+    )
     return df.withColumn("metadata_problems", problems).withColumn("corrupt", corrupt)
 
 
@@ -118,9 +131,12 @@ def tagged_rows(attempts: DataFrame, logs: DataFrame, rules: PairingRules) -> Da
     """Log rows of each attempt's run id with ``is_exact``, ``is_bad`` (schema), ``transport`` and ``flow_key``.
 
     ``logs`` has the flattened fields ``run_id, request_uuid, ts, status, remote_ip,
-    remote_port, proto, method, host, uri`` and provenance columns.
+    remote_port, proto, method, host, uri`` and provenance columns. A malformed log line stops the job: a part of
+    the log would decide attempts wrongly. A run id of several attempts (corrupt anyway) meets no rows.
     """
-    keyed = attempts.select("attempt_path", "run_id")
+    keyed = attempts.groupBy("run_id").agg(F.count("*").alias("k"), F.min("attempt_path").alias("attempt_path")).filter("k = 1").drop("k")
+    if "malformed" in logs.columns:
+        logs = logs.withColumn("run_id", F.when(F.col("malformed"), F.raise_error(F.lit("malformed access-log line")).cast("string")).otherwise(F.col("run_id")))
     joined = logs.join(keyed, "run_id")
     uri_ok = F.col("uri") == F.concat(F.lit("/probe/"), F.col("run_id"))
     host_ok = V.host_without_port(F.col("host")) == rules.hostname
@@ -476,7 +492,7 @@ def disclosure_class(rules: PairingRules) -> Column:
         permitted = permitted | hit
     country = rules.true_country.strip().lower()
     cities = [c.strip().lower() for c in rules.allowed_cities]
-    boundary = (
+    boundary = F.lit(None).cast("string") if not any(cities) else (
         F.when((loc["country"] == "") | (loc["city"] == ""), "unclassifiable")
         .when(loc["country"] != country, "inconsistent")
         .when(loc["city"].isin(cities), "city_level_consistent")

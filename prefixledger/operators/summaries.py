@@ -52,10 +52,10 @@ def strata(records: DataFrame) -> DataFrame:
 
 
 def unpinned_sequence(records: DataFrame) -> DataFrame:
-    """Unpinned relay-on records with their order key: server time, else client time, then run id."""
+    """Unpinned relay-on records with ``order_time`` (server time, else client time); sort by it and ``run_id`` at the sink."""
     rows = records.filter((F.col("intended_ingress_group") == "unpinned") & (F.col("private_relay_state") == "on"))
     key = F.coalesce(V.present(F.col("server_time_utc")), V.present(F.col("client_start_utc")), F.lit(""))
-    return rows.withColumn("order_time", key).orderBy("order_time", "run_id")
+    return rows.withColumn("order_time", key)
 
 
 def temporal_intersection(sequence: DataFrame, declaration) -> DataFrame:
@@ -155,14 +155,15 @@ def pilot_report(attempts: DataFrame, records: DataFrame, ladder: list[str], *,
         F.count_if(ok & F.col("paired").isNull()).alias("unpaired"),
         F.count_if(ok & F.col("observed_ingress_ip").isNotNull() & ~reason.isin(E04, E07)).alias("reliable"),
         F.sum(F.when(accepted, F.col("micros"))).alias("micros"),
+        F.count(F.when(accepted, F.col("micros"))).alias("timed"),
     )
     rank = F.array_position(F.array(*[F.lit(m) for m in ladder]), F.col("freshness_method"))
     clean = (F.col("invalid") == 0) & (F.col("unpaired") == 0) & (F.col("reliable") == F.col("attempts"))
     eligible = clean & (F.col("accepted") >= minimum_accepts) & (rank > 0)
     counted = counted.select(
         "*", clean.alias("clean"), rank.alias("ladder_rank"), eligible.alias("eligible"),
-        F.round(F.col("micros") / F.nullif(F.col("accepted"), F.lit(0)) / 1000000, 6).alias("mean_seconds"),
-    ).drop("micros")
+        F.round(F.col("micros") / F.nullif(F.col("timed"), F.lit(0)) / 1000000, 6).alias("mean_seconds"),
+    ).drop("micros", "timed")
     choice = counted.agg(F.min_by("freshness_method", F.when(F.col("eligible"), F.col("ladder_rank"))))
     return counted.drop("eligible").withColumn("selected_method", choice.scalar())
 
@@ -196,28 +197,40 @@ def latest_retry(rows: DataFrame, slot: list[str], *, ties: str = "last") -> Dat
 
 
 def condition_summary(results: DataFrame) -> DataFrame:
-    """Latest retry per slot counted by acceptance and classification, with all attempts per condition."""
-    latest = latest_retry(results, ["slot_id"])
+    """Latest retry per slot counted by acceptance and classification, with all attempts per condition.
+
+    A result without a slot id stands for itself: its run id takes the slot's place.
+    """
+    own = V.present(F.col("slot_id"))
+    by_slot = results.withColumn("slot_key", F.coalesce(own, F.col("run_id")) if "run_id" in results.columns else own)
+    latest = latest_retry(by_slot, ["slot_key"])
     counts = latest.groupBy("condition", "acceptance", "classification").agg(F.count("*").alias("slots"))
     attempts = results.groupBy("condition").agg(F.count("*").alias("attempts"))
     return counts.join(attempts, "condition")
 
 
 def series_completeness(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected slots (``slot_id, position``) against the latest accepted rows: missing, out of order, complete."""
-    latest = latest_retry(results, ["slot_id"])
-    merged = expected.join(
-        latest.select("slot_id", F.col("_ordinal").alias("seen_at"), (F.col("acceptance") == "accepted").alias("ok")), "slot_id", "left"
-    )
-    foreign = latest.join(expected, "slot_id", "left_anti").agg(F.count("*"))
-    # The plan is one schedule: slots in the hundreds, ordered in one window.
-    before = F.max("seen_at").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
-    marked = merged.withColumn("disorder", F.coalesce(F.col("seen_at") < before, F.lit(False)))
-    return marked.agg(
-        F.count("*").alias("expected"),
-        F.count_if(F.col("seen_at").isNull()).alias("missing"),
-        F.count_if(F.coalesce(F.col("ok"), F.lit(False))).alias("accepted"),
-        (~F.bool_or("disorder")).alias("exact_order"),
-    ).withColumn("foreign_slots", foreign.scalar()).withColumn(
-        "complete", (F.col("missing") == 0) & (F.col("accepted") == F.col("expected")) & F.col("exact_order") & (F.col("foreign_slots") == 0)
+    """Planned slots (``slot_id, condition``) against the latest retry of each: one row of counts.
+
+    A series is complete when every planned slot has a result and each has its planned condition;
+    acceptance plays no part, and results of other slots are no part of the series.
+    """
+    latest = latest_retry(results, ["slot_id"]).select("slot_id", F.col("condition").alias("seen"), F.lit(True).alias("has"))
+    merged = expected.select("slot_id", F.col("condition").alias("planned")).join(latest, "slot_id", "left")
+    return merged.agg(
+        F.count("*").alias("planned_total"),
+        F.count("has").alias("finalized_slot_count"),
+        F.count_if(F.col("has").isNull()).alias("missing"),
+        F.bool_and(F.coalesce(F.col("seen") == F.col("planned"), F.lit(False))).alias("exact_condition_order"),
+    ).withColumn("final_complete", (F.col("missing") == 0) & F.col("exact_condition_order"))
+
+
+def probe_summary(results: DataFrame, slot: str) -> DataFrame:
+    """The single-slot probe: its latest retry (the first of equal ones), never counted in a series; one row."""
+    mine = results.filter(F.col("slot_id") == slot)
+    best = mine.agg(F.max_by(F.struct("classification", "acceptance", "response_evidence_preserved"), F.struct(F.coalesce("retry_number", F.lit(0)), -F.col("_ordinal"))).alias("b"), F.count("*").alias("n"))
+    return best.select(
+        F.lit(1).alias("planned_total"), F.least("n", F.lit(1)).cast("int").alias("finalized_observation_count"),
+        F.coalesce("b.response_evidence_preserved", F.lit(False)).alias("response_evidence_preserved"),
+        F.col("b.classification").alias("classification"), F.col("b.acceptance").alias("acceptance"), (F.col("n") > 0).alias("final_complete"),
     )

@@ -304,7 +304,7 @@ def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").filter("s_suppkey < 4").select(
+    return table(spark, sf_dir, "supplier").select(
         (F.lit(FIRST_ASN) + F.col("s_suppkey")).alias("asn"), F.concat(F.lit("op"), (F.col("s_suppkey") % 2).cast("string")).alias("operator_id")
     )
 

@@ -130,20 +130,21 @@ def scan_feed(spark: SparkSession, path: str) -> DataFrame:
 
     ``file, date, ip_prefix, country, region, city, PREFIX, bad_shape, _ordinal``. The first
     non-blank line of each file decides; one line per file is joined back. Rows of a
-    headerless file need four fields and no text after them.
+    headerless file need four fields and no text after them. Lines may have any number of cells;
+    quoted cells may hold commas and doubled quotes.
     """
     names = ["ip_prefix", "country", "region", "city"]
-    width = 24
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    cells = F.from_csv(F.regexp_replace("value", "^﻿", ""), F.lit(schema), {"escape": '"'})
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), cells.alias("p"), F.size(F.split("value", ",", -1)).alias("n"), ordinal().alias("_ordinal"))
-    lines = lines.select("file", "_ordinal", "n", F.array(*[F.coalesce(F.col(f"p.c{i}"), F.lit("")) for i in range(width)]).alias("cells"))
+    line = F.concat(F.lit(","), F.regexp_replace("value", "^﻿", ""))
+    cells = F.regexp_extract_all(line, F.lit(r',("(?:[^"]|"")*"[^,]*|[^,]*)'), F.lit(1))
+    plain = lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"[^"]*$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.transform(cells, plain).alias("cells"), ordinal().alias("_ordinal"))
+    lines = lines.withColumn("n", F.size("cells"))
     lines = lines.filter(F.exists("cells", lambda c: F.trim(c) != ""))
     head = lines.groupBy("file").agg(F.min("_ordinal").alias("first"), F.min_by(F.transform("cells", lambda c: F.lower(F.trim(c))), "_ordinal").alias("head"))
     is_header = F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains("head", n))
     df = lines.join(head.withColumn("has_header", is_header), "file").filter(~F.col("has_header") | (F.col("_ordinal") != F.col("first")))
     at = lambda n, i: F.coalesce(F.when(F.col("has_header"), F.get("cells", F.array_position("head", n).cast("int") - 1)).otherwise(F.get("cells", F.lit(i))), F.lit(""))
-    trailing = F.exists(F.slice("cells", 5, width), lambda c: F.trim(c) != "")
+    trailing = F.exists(F.slice("cells", 5, F.greatest(F.size("cells"), F.lit(0))), lambda c: F.trim(c) != "")
     rows = df.select(
         "file", inferred_date(F.col("file")).try_cast("date").alias("date"), *[at(n, i).alias(n) for i, n in enumerate(names)],
         (~F.col("has_header") & ((F.col("n") < 4) | trailing)).alias("bad_shape"), "_ordinal",

@@ -8,14 +8,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from prefixledger.functions import address as A
 from prefixledger.operators import churn
+from prefixledger.session import cut_lineage
 from prefixledger.sources.evidence import log_lines
 
 
 def stream_access_log(spark: SparkSession, path: str, *, lateness: str = "2 hours") -> DataFrame:
     """Access-log rows as they arrive, identical lines once within the watermark.
 
-    State is one hash per line for ``lateness``; a copy that arrives later than that
-    may reappear, so the batch scan stays the authority.
+    State is one hash per line for ``lateness``; lines that arrive later than that are
+    dropped. Where late files matter, use ``store_access_log``.
     """
     lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(path)
     named = lines.select("value", F.col("_metadata.file_path").alias("artifact"))
@@ -24,6 +25,33 @@ def stream_access_log(spark: SparkSession, path: str, *, lateness: str = "2 hour
     return timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["row_sha256"])
 
 
+def store_access_log(spark: SparkSession, path: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Append each new access-log line to ``table`` once, however late it arrives.
+
+    A batch is reduced to one copy of a line and compared with the stored lines of the same days, so
+    state is the table and not a watermark, and a replayed batch adds nothing. Lines without a readable time
+    share one day (null).
+    """
+    lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(path)
+    named = lines.select("value", F.col("_metadata.file_path").alias("artifact"))
+    rows = log_lines(named.filter(~F.col("artifact").rlike(r"\.packets\.jsonl(\.gz)?$")))
+    dated = rows.withColumn("day", F.to_date(F.timestamp_micros((F.col("ts") * 1000000).cast("bigint"))))
+
+    def step(batch: DataFrame, _: int) -> None:
+        fresh = batch.dropDuplicates(["row_sha256"])
+        if _exists(batch.sparkSession, table):
+            stored = batch.sparkSession.read.schema(batch.schema).parquet(table).select(F.col("day").alias("d"), F.col("row_sha256").alias("h"))
+            fresh = fresh.join(stored, F.col("day").eqNullSafe(F.col("d")) & (F.col("row_sha256") == F.col("h")), "left_anti")
+        cut_lineage(fresh).write.mode("append").partitionBy("day").parquet(table)
+
+    return dated.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def stream_unique_addresses(spark: SparkSession, path: str) -> DataFrame:
     """First occurrence of every IPv4 answer in an arriving results folder (state: one entry per address)."""
     schema = "query_utc string, ecs_prefix string, returned_scope string, answer_ip string"
@@ -44,7 +72,8 @@ def compare_arrivals(arrivals: DataFrame, table: str, series: str, checkpoint: s
     """Store each arriving snapshot and append its churn against the previous date.
 
     ``arrivals``: stream of parsed catalogue rows with ``snapshot_date``. Both tables are partitioned by
-    date and a batch overwrites only its own dates, so a replayed batch changes nothing.
+    date; the rows of a date that arrive in several batches are merged with those stored, and a batch rewrites only
+    its own dates, so a replayed batch changes nothing.
     """
 
     def step(batch: DataFrame, _: int) -> None:
@@ -52,6 +81,9 @@ def compare_arrivals(arrivals: DataFrame, table: str, series: str, checkpoint: s
         dates = [r.snapshot_date for r in batch.select("snapshot_date").distinct().collect()]  # one per arriving file
         if not dates:
             return
+        if _exists(spark, table):
+            held = spark.read.schema(batch.schema).parquet(table).filter(F.col("snapshot_date").isin(*dates))
+            batch = cut_lineage(batch.unionByName(held).distinct())
         batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(table)
         stored = spark.read.schema(batch.schema).parquet(table)
         # The neighbour on either side of every new date is compared again: a late file splits an interval.

@@ -184,28 +184,18 @@ def snapshot_report(spark, sf):
     return routing.snapshot_report(_lenient(spark, sf), "EU")
 
 
-# Evidence queries. The decided records are stored once per session and table folder and read by every report.
+# Evidence queries. Each stands alone: it decides the records it reports on.
 from prefixledger.functions import address as A  # noqa: E402
 from prefixledger.functions import values as V  # noqa: E402
 from prefixledger.operators import campaign, diagnostics, eligibility, enumeration, manifests, pairing, quality, summaries  # noqa: E402
 from prefixledger.sources import evidence  # noqa: E402
 
 RULES = pairing.PairingRules(
-    hostname=D.HOST, private_ipv4=D.PRIVATE, group_asns={"pinned_group": (D.FIRST_ASN,)}, true_country="EU",
+    hostname=D.HOST, private_ipv4=D.PRIVATE, group_asns={"pinned_group": (D.FIRST_ASN,)}, true_country="EU", true_time_zone="Europe/London", intersection_rule="exact_value_intersection",
     permitted_locations=(("EU", "", ""), ("AS", "", "")), allowed_cities=("BUILDING", "MACHINERY"),
 )
-_STORED = {}
-
-
-def stored(name, spark, sf, build):
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _STORED:
-        _STORED[key] = cut_lineage(build())
-    return _STORED[key]
-
-
 def _pairs(spark, sf):
-    return stored("pairs", spark, sf, lambda: pairing.pair_attempts(
+    return cut_lineage(pairing.pair_attempts(
         D.attempts(spark, sf), D.attempt_events(spark, sf), D.responses(spark, sf), D.log_rows(spark, sf), D.server_packets(spark, sf),
         D.client_packets(spark, sf), D.feed(spark, sf), D.feed_days(spark, sf), D.origins(spark, sf), D.operators(spark, sf), RULES,
     ))
@@ -238,7 +228,7 @@ def server_freshness(spark, sf):
 
 
 def _eligibility(spark, sf):
-    return stored("eligibility", spark, sf, lambda: eligibility.eligibility(eligibility.records_for_eligibility(_pairs(spark, sf))))
+    return cut_lineage(eligibility.eligibility(eligibility.records_for_eligibility(_pairs(spark, sf))))
 
 
 @query
@@ -268,8 +258,7 @@ def disposition_counts(spark, sf):
 @query
 def temporal_intersection(spark, sf):
     rule = {"rule_id": "exact_value_intersection", "comparison_normalization": "trim_casefold_preserve_raw", "fields": ["country", "region"]}
-    rows = summaries.unpinned_sequence(_pairs(spark, sf)).filter("advertised_country = 'EU'")
-    return summaries.temporal_intersection(rows, rule)
+    return summaries.temporal_intersection(summaries.unpinned_sequence(_pairs(spark, sf)), rule)
 
 
 @query
@@ -318,7 +307,7 @@ def source_blocks(spark, sf):
 
 
 def _blocks(spark, sf):
-    return stored("blocks", spark, sf, lambda: enumeration.source_blocks(D.announced(spark, sf)))
+    return cut_lineage(enumeration.source_blocks(D.announced(spark, sf)))
 
 
 @query
@@ -392,7 +381,7 @@ def _trials(spark, sf):
             D.trial_firewall(spark, sf), days, private_ipv4=D.PRIVATE, anchor=D.ANCHOR, label=D.LABEL,
         ).join(t.select("attempt_path", "_ordinal"), "attempt_path")
 
-    return stored("trials", spark, sf, build)
+    return cut_lineage(build())
 
 
 @query

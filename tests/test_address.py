@@ -1,6 +1,8 @@
 import ipaddress
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from prefixledger.functions import address as A
@@ -89,3 +91,10 @@ def test_global_test_matches_the_standard_library(spark):
     df = spark.createDataFrame([(s,) for s in starts], "s bigint")
     for r in df.select("s", A.is_global_v4(F.col("s"), F.lit(24)).alias("g")).collect():
         assert r.g == ipaddress.ip_network((r.s, 24)).is_global, r
+
+
+def test_counts_too_large_raise(spark):
+    df = spark.createDataFrame([(6, 2), (6, 128), (4, 0)], "family int, plen int").select(A.address_count(F.col("family"), F.col("plen")).alias("n"))
+    assert sorted(int(r.n) for r in df.collect()) == [1, 2**32, 2**126]
+    with pytest.raises(Exception, match="more addresses than a decimal holds"):
+        spark.createDataFrame([(6, 1)], "family int, plen int").select(A.address_count(F.col("family"), F.col("plen")).alias("n")).collect()

@@ -123,11 +123,25 @@ def test_retry_ties_and_completeness(spark):
     df = spark.createDataFrame(rows, "slot_id string, retry_number int, condition string, classification string, acceptance string, _ordinal int")
     assert {r.slot_id: r.classification for r in summaries.latest_retry(df, ["slot_id"]).collect()} == {"s1": "y", "s2": "z"}
     assert {r.slot_id: r.classification for r in summaries.latest_retry(df, ["slot_id"], ties="first").collect()} == {"s1": "x", "s2": "z"}
-    expected = spark.createDataFrame([("s1", 1), ("s2", 2)], "slot_id string, position int")
-    row = summaries.series_completeness(df, expected).first()
-    assert (row.missing, row.exact_order, row.complete) == (0, True, True)
-    row = summaries.series_completeness(df, expected.union(spark.createDataFrame([("s3", 3)], expected.schema))).first()
-    assert (row.missing, row.complete) == (1, False)
+    plan = lambda *slots: spark.createDataFrame(list(slots), "slot_id string, condition string")
+    first, second = ("s1", "udp_permitted"), ("s2", "udp_blocked")
+    row = summaries.series_completeness(df, plan(first, second)).first()
+    assert tuple(row) == (2, 2, 0, True, True)
+    # acceptance plays no part: only a missing slot or another condition leaves a series open
+    row = summaries.series_completeness(df.withColumn("acceptance", F.lit("excluded")), plan(first, second)).first()
+    assert row.final_complete
+    assert tuple(summaries.series_completeness(df, plan(first, second, ("s3", "udp_permitted"))).first()) == (3, 2, 1, False, False)
+    assert tuple(summaries.series_completeness(df, plan(first, ("s2", "udp_permitted"))).first()) == (2, 2, 0, False, False)
+
+
+def test_probe_summary_and_slots_without_id(spark):
+    schema = "slot_id string, run_id string, retry_number int, condition string, classification string, acceptance string, response_evidence_preserved boolean, _ordinal int"
+    rows = [("probe", "r1", 1, "c", "x", "a", False, 0), ("probe", "r2", 2, "c", "y", "b", True, 1), (None, "r3", 1, "c", "z", "a", None, 2), ("", "r4", 1, "c", "z", "a", None, 3)]
+    df = spark.createDataFrame(rows, schema)
+    assert tuple(summaries.probe_summary(df, "probe").first()) == (1, 1, True, "y", "b", True)
+    assert tuple(summaries.probe_summary(df, "other").first()) == (1, 0, False, None, None, False)
+    counts = {(r.classification, r.slots, r.attempts) for r in summaries.condition_summary(df).collect()}
+    assert counts == {("y", 1, 4), ("z", 2, 4)}
 
 
 def test_safety_stops_dns_and_counters(spark):
@@ -142,3 +156,26 @@ def test_safety_stops_dns_and_counters(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(ints)], "i int, t string").select(
         "i", V.lenient_integer(F.col("t")).alias("a"), V.lenient_integer(F.col("t"), allow_decimal=False).alias("b")).collect()
     assert [(r.a, r.b) for r in sorted(rows)] == [(16, 16), (1, None), (12, 12), (-3, -3), (7, None), (None, None), (None, None), (3, 3), (100, None)]
+
+
+def test_log_pair_without_a_response(spark):
+    attempts = spark.createDataFrame([("quiet", "q"), ("seen", "s")], "attempt_path string, run_id string")
+    logs = spark.createDataFrame([("s", "u", 5.0, 200, "1.1.1.1", "5", "HTTP/3.0", "GET", "h", "/probe/s", "log", 1, "x")],
+                                 "run_id string, request_uuid string, ts double, status int, remote_ip string, remote_port string, proto string, method string, host string, uri string, artifact string, line_number bigint, row_sha256 string")
+    answers = spark.createDataFrame([], "attempt_path string, run_id string, request_uuid string, server_unix_ms bigint, remote_ip string, remote_port string, http_protocol string, request_host string, request_uri string")
+    got = {r.attempt_path: r for r in diagnostics.exact_log_pair(attempts, answers, logs).collect()}
+    assert got["quiet"].pairing_errors == [] and got["quiet"].row is None and not got["quiet"].response_evidence_preserved
+    assert len(got["seen"].pairing_errors) == 1 and "1 tagged" in got["seen"].pairing_errors[0]
+
+
+def test_a_port_used_again_is_judged_by_its_own_capture(spark):
+    day, event = 86400.0, 1_767_225_600.0 + 3600  # 2026-01-01 01:00 UTC
+    row = "struct<proto:string,remote_ip:string,remote_port:string,ts:double>"
+    paired = spark.createDataFrame([("a", ("HTTP/3.0", "1.1.1.1", "50000", event), event - 60, event + 60)], f"attempt_path string, row {row}, t_from double, t_to double")
+    paired = paired.withColumns({c: V.epoch_timestamp(F.col(c)) for c in ("t_from", "t_to")})
+    packets = [(event - day, "x_20251231001500.pcap"), (event - 30, "x_20260101001500.pcap")]
+    df = spark.createDataFrame([(t, "udp", "1.1.1.1", 50000, "10.0.0.1", 443, False, False, True, "d", f) for t, f in packets],
+                               "time_epoch double, transport string, src_ip string, src_port int, dst_ip string, dst_port int, tcp_syn boolean, tcp_ack boolean, quic_initial boolean, quic_dcid string, artifact string")
+    assert diagnostics.server_flow(paired, df, "10.0.0.1").first().fresh
+    assert not diagnostics.server_flow(paired, df.filter(F.col("time_epoch") < event - 60), "10.0.0.1").first().fresh
+    assert diagnostics.server_flow(paired, df.drop("artifact"), "10.0.0.1").first().fresh

@@ -14,7 +14,7 @@ EPOCH = T0.timestamp()
 HOST, PRIVATE, PIN, OTHER, EGRESS, REAL = "probe.example.net", "10.0.0.5", "198.51.100.7", "198.51.100.8", "203.0.113.20", "192.0.2.9"
 RULES = pairing.PairingRules(
     hostname=HOST, private_ipv4=PRIVATE, group_asns={"pinned": (64500,)}, true_country="GB",
-    permitted_locations=(("GB", "", ""),), allowed_cities=("london",))
+    permitted_locations=(("GB", "", ""),), allowed_cities=("london",), true_time_zone="Europe/London", intersection_rule="exact_value_intersection")
 
 
 def iso(seconds):
@@ -136,6 +136,8 @@ SCENARIOS = {
     "fresh_only": ("udp", all_of(set_attempt(ingress_attribution_policy="fresh_handshake_v1"), lambda c: c.client[0].update(quic_initial=False)), X_, "E04", "ambiguous"),
     "bounded_old_tunnel": ("udp", lambda c: c.client[0].update(quic_initial=False), A_, None, "http3_preserved"),
     "fallback_bare": ("tcp", set_attempt(quic_block_state="targeted_ingress_udp_443"), X_, "E04", "ambiguous"),
+    "no_run_id": ("udp", set_attempt(run_id=None), X_, "E07", "ambiguous"),
+    "unreadable": ("udp", set_attempt(malformed=True), X_, "E07", "ambiguous"),
     "missing_field": ("udp", set_attempt(url=""), X_, "E07", "ambiguous"),
 }
 
@@ -149,7 +151,7 @@ def records(spark):
             "url", "macos_version", "safari_version", "active_interface", "network_type", "real_public_ipv4", "freshness_method", "ingress_attribution_policy",
             "operator_condition_confirmation"]
     schema = ", ".join(f"{c} string" for c in text) + (
-        ", attempt_number int, clock_evidence struct<network_time:string>, approved_ingress_candidates array<string>, approved_pin_group_addresses array<string>, "
+        ", malformed boolean, attempt_number int, clock_evidence struct<network_time:string>, approved_ingress_candidates array<string>, approved_pin_group_addresses array<string>, "
         "effective_dns struct<hostnames:map<string,struct<A:array<struct<address:string>>>>>")
     make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
     with_path = lambda c, rows: [{"attempt_path": c.path, **r} for r in rows]
@@ -182,7 +184,9 @@ def test_scenarios(records):
         if (r.disposition, reason, r.protocol_classification) != (disposition, why, protocol):
             wrong[name] = (r.disposition, r.exclusion_reason, r.pending_reason, r.protocol_classification, r.triggered_exclusions, r.metadata_problems, r.response_problems)
     assert not wrong
+    assert len(got) == len(SCENARIOS) + 2  # no attempt is lost
     assert all(got[t].triggered_exclusions == [pairing.E07] for t in ("twin_1", "twin_2"))
+    assert got["no_run_id"].metadata_problems and got["unreadable"].triggered_exclusions == [pairing.E07]
     good = got["valid_quic"]
     assert (str(good.feed_date), good.matched_prefix, good.disclosure_class) == ("2026-03-02", "203.0.113.0/26", "city_level_consistent")
     assert (good.ingress_operator, good.egress_operator, good.same_operator) == ("one", "two", False)
@@ -206,3 +210,18 @@ def test_eligibility_and_summaries(records):
     # Strata days come from the client clock, one day before the feed.
     days = {r.day for r in summaries.strata(records).select("day").distinct().collect()}
     assert days == {None, "2026-03-01"}
+
+
+def test_ground_truth_needs_any_boundary():
+    rules = lambda **more: pairing.PairingRules(**{**dict(hostname=HOST, private_ipv4=PRIVATE, true_country="GB", true_time_zone="Europe/London", intersection_rule="r", permitted_locations=(("GB", "", ""),)), **more})
+    assert rules(allowed_countries=("GB",)).ground_truth_complete and rules(allowed_regions=("ENG",)).ground_truth_complete
+    assert not rules().ground_truth_complete and not rules(allowed_cities=("x",), true_time_zone="").ground_truth_complete
+    assert not rules(allowed_cities=("x",), permitted_locations=(("", "", ""),)).ground_truth_complete
+
+
+def test_a_malformed_log_line_stops_the_job(spark):
+    attempts = spark.createDataFrame([("a", "r")], "attempt_path string, run_id string")
+    fields = "run_id string, request_uuid string, ts double, status int, remote_ip string, remote_port string, proto string, method string, host string, uri string, malformed boolean"
+    logs = spark.createDataFrame([(None,) * 10 + (True,)], fields)
+    with pytest.raises(Exception, match="malformed access-log line"):
+        pairing.tagged_rows(attempts, logs, RULES).collect()

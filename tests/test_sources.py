@@ -71,6 +71,13 @@ def test_feeds_with_and_without_header(spark, tmp_path):
     assert rows[("2026-01-01", "10.0.0.0/24", "A, B")] == ("US", "R", False)
     assert rows[("2026-01-01", "10.0.1.0/24", "")][2] and rows[("2026-01-01", "10.0.2.0/24", "C")][2]
     assert rows[("2026-01-02", "10.0.0.0/24", "Rome")] == ("IT", "RM", False) and len(rows) == 5
+    wide = tmp_path / "wide"
+    wide.mkdir()
+    head = ",".join([f"x{i}" for i in range(40)] + ["city", "region", "country", "ip_prefix"])
+    write(wide, "feed-2026-01-03.csv", head + "\n" + "," * 40 + 'Bonn,"N,W",DE,10.0.3.0/24\n')
+    write(wide, "feed-2026-01-04.csv", '10.0.4.0/24,US,"R, S"\n10.0.5.0/24,US,R,"say ""hi"""\n10.0.6.0/24,US,R,C' + "," * 30 + "late\n")
+    rows = {r.ip_prefix: (r.country, r.region, r.city, r.bad_shape) for r in catalogue.scan_feed(spark, str(wide)).collect()}
+    assert rows == {"10.0.3.0/24": ("DE", "N,W", "Bonn", False), "10.0.4.0/24": ("US", "R, S", "", True), "10.0.5.0/24": ("US", "R", 'say "hi"', False), "10.0.6.0/24": ("US", "R", "C", True)}
     files = spark.createDataFrame([("2026-01-01", 2), ("2026-01-02", 1)], "d string, files int").select(F.col("d").cast("date").alias("date"), "files")
     found = rules(quality.feed_violations(catalogue.scan_feed(spark, str(tmp_path)), files))
     assert found == {"conflicting_prefix": ["2026-01-02 10.0.0.0/24"], "not_one_feed": ["2026-01-01"]}

@@ -58,3 +58,30 @@ def test_arriving_snapshots_match_the_batch_series(spark, tmp_path):
     want = churn.churn_series(A.with_prefix(whole.withColumn("snapshot_date", F.col("snapshot_date").cast("date")), "cidr"))
     key = lambda df: sorted(tuple(str(r[c]) for c in want.columns) for r in df.collect())
     assert key(spark.read.parquet(str(series)).select(want.columns)) == key(want)
+
+
+def test_late_log_files_are_kept(spark, tmp_path):
+    logs, table, cp = (tmp_path / n for n in ("logs", "table", "cp"))
+    logs.mkdir()
+    line = lambda ts: json.dumps({"ts": ts, "status": 200, "run_id": f"r{ts}", "request_uuid": "u", "request": {"uri": "/"}}) + "\n"
+    arrive = lambda: arrivals.store_access_log(spark, str(logs), str(table), str(cp)).awaitTermination(120)
+    (logs / "new.jsonl").write_text(line(1_000_000.0) + line(1_000_001.0) + "{broken\n")
+    arrive()
+    (logs / "old.jsonl").write_text(line(1_000.0) + line(1_000_001.0) + line(1_000.0))  # days late, and copies
+    arrive()
+    stored = spark.read.parquet(str(table))
+    batch = evidence.scan_access_log(spark, str(logs))
+    assert sorted(r.row_sha256 for r in stored.collect()) == sorted(r.row_sha256 for r in batch.collect()) and stored.count() == 4
+
+
+def test_a_date_in_two_batches_is_merged(spark, tmp_path):
+    inbox, table, series, cp = (tmp_path / n for n in ("in", "table", "series", "cp"))
+    schema = "snapshot_date date, cidr string, country string, region string, city string"
+    for part in ([("2026-01-01", "10.0.0.0/24"), ("2026-01-02", "10.0.0.0/24")], [("2026-01-02", "10.0.1.0/24")]):
+        rows = spark.createDataFrame([(d, c, "US", "", "") for d, c in part], schema.replace("date date", "date string"))
+        rows.coalesce(1).write.mode("append").json(str(inbox))
+        stream = A.with_prefix(spark.readStream.schema(schema).json(str(inbox)), "cidr")
+        arrivals.compare_arrivals(stream, str(table), str(series), str(cp)).awaitTermination(240)
+    assert spark.read.parquet(str(table)).count() == 3
+    row = spark.read.parquet(str(series)).filter("family = 'v4'").first()
+    assert (row.added_pfx, int(row.added_addrs), row.removed_pfx) == (1, 256, 0)
