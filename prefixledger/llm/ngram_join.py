@@ -289,57 +289,57 @@ def _linked(sets: list[tuple[int, bool, int | None, list[int]]]) -> list[tuple[i
     return [(names[x], names[y]) for x, y in trie.links]
 
 
-def _links(groups: DataFrame) -> DataFrame:
-    """Links ``u, v`` found in each group of rows ``cluster, part, a, searches, root, tokens``."""
+def _links(groups: DataFrame, order, size: int, bits: int) -> DataFrame:
+    """Links ``u, v`` found in each group of rows ``cluster, part, a, searches, root, text``."""
 
     def run(group: pa.Table) -> pa.Table:
-        sets = [
-            (a, searches, root, np.frombuffer(tokens.as_py(), dtype="<u8").tolist())
-            for a, searches, root, tokens in zip(group.column("a").to_pylist(), group.column("searches").to_pylist(), group.column("root").to_pylist(), group.column("tokens"), strict=True)
-        ]
-        links = _linked(sets)
+        level = np.frombuffer(order.value, dtype=np.uint8)
+        texts = group.column("text").combine_chunks()
+        tokens = (_ordered(s, level, bits).tolist() for s in shingle_sets(texts, size))
+        links = _linked(list(zip(group.column("a").to_pylist(), group.column("searches").to_pylist(), group.column("root").to_pylist(), tokens, strict=True)))
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
     return groups.groupBy("cluster", "part").applyInArrow(run, "u long, v long")
 
 
-def _with_tokens(docs: DataFrame, wanted: DataFrame, order, size: int, bits: int) -> DataFrame:
-    """``a, cluster, n, tokens`` (ordered set, binary) of one document of every wanted class (rows ``rep, a, cluster``)."""
+def _with_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``a, cluster, text``: the text of one document of every wanted class (rows ``rep, a, cluster``).
+
+    Texts travel instead of their sets: they compress, hashes do not.
+    """
     only = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("rep")), wanted.count()))
 
     def run(batches):
-        level = np.frombuffer(order.value, dtype=np.uint8)
         bitmap, width = np.frombuffer(only.value[0], dtype=np.uint8), only.value[1]
         for batch in batches:
             batch = batch.filter(pa.array(_may_hold(bitmap, width, np.asarray(batch.column("h")).view(np.uint64))))
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                sets = list(shingle_sets(part.column("text"), size))
-                marks = [_class_of(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(marks, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_ordered(s, level, bits).tobytes() for s in sets], pa.binary())], names=["id", "ia", "n", "tokens"])
+            marks = [_class_of(s) for s in shingle_sets(batch.column("text"), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marks, pa.int64()), batch.column("text")], names=["id", "ia", "text"])
 
-    sets = docs.filter("id is not null").select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, ia long, n long, tokens binary")
-    # a repeated id may bring another text along, so the class must agree too
-    return sets.join(wanted, (F.col("id") == F.col("rep")) & (F.col("ia") == F.col("a"))).select("a", "cluster", "n", "tokens").dropDuplicates(["a"])
+    texts = docs.filter("id is not null").select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, ia long, text string")
+    # joined by class alone, so that the same exchange serves to keep one row of each class
+    here = texts.join(wanted, (F.col("ia") == F.col("a")) & (F.col("id").bitwiseXOR(F.col("rep")) == 0))
+    return here.select("a", "cluster", "text").dropDuplicates(["a"])
 
 
-def _cluster_links(sets: DataFrame, block_classes: int) -> DataFrame:
-    """All links that components need, from stored rows ``a, cluster, n, tokens``."""
+def _cluster_links(sets: DataFrame, block_classes: int, order, size: int, bits: int) -> DataFrame:
+    """All links that components need, from stored rows ``a, cluster, text``."""
+    links_of = lambda groups: _links(groups, order, size, bits)
     none = F.lit(None).cast("long")
     sizes = cut_lineage(sets.groupBy("cluster").agg(F.count("*").alias("members")))
     large = cut_lineage(sizes.filter(F.col("members") > block_classes).select(F.col("cluster").alias("c"), F.ceil(F.col("members") / block_classes).cast("int").alias("blocks")))
     small = sets.join(large, F.col("cluster") == F.col("c"), "left_anti")
-    columns = ["cluster", "part", "a", "searches", "root", "tokens"]
+    columns = ["cluster", "part", "a", "searches", "root", "text"]
     # light clusters share tasks by hash; each is a group of its own
-    links = cut_lineage(_links(small.select("cluster", F.lit(0).alias("part"), "a", F.lit(True).alias("searches"), none.alias("root"), "tokens")))
+    links = cut_lineage(links_of(small.select("cluster", F.lit(0).alias("part"), "a", F.lit(True).alias("searches"), none.alias("root"), "text")))
     if large.isEmpty():
         return links
     placed = cut_lineage(sets.join(large, F.col("cluster") == F.col("c")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).drop("c"))
     ranks = placed.groupBy("cluster").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("a", F.lit(1)), F.greatest(F.lit(1), F.col("blocks") * block_classes / (4 * PIVOTS)).cast("int")) == 0, F.col("a")))), 1, PIVOTS).alias("pivots"))
     pivots = placed.join(ranks.select("cluster", F.explode("pivots").alias("a")), ["cluster", "a"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    first = placed.select("cluster", "part", "a", F.lit(True).alias("searches"), none.alias("root"), "tokens")
-    first = first.unionByName(pivots.select("cluster", "part", "a", F.lit(True).alias("searches"), none.alias("root"), "tokens")).dropDuplicates(["cluster", "part", "a"])
-    inner = cut_lineage(_links(first.select(*columns)))
+    first = placed.select("cluster", "part", "a", F.lit(True).alias("searches"), none.alias("root"), "text")
+    first = first.unionByName(pivots.select("cluster", "part", "a", F.lit(True).alias("searches"), none.alias("root"), "text")).dropDuplicates(["cluster", "part", "a"])
+    inner = cut_lineage(links_of(first.select(*columns)))
     roots = cut_lineage(components(inner))
     known = cut_lineage(placed.join(roots, F.col("a") == F.col("node"), "left").withColumn("root", F.coalesce("root", "a")).drop("node"))
     counts = known.groupBy("cluster", "root").agg(F.count("*").alias("m"))
@@ -349,9 +349,9 @@ def _cluster_links(sets: DataFrame, block_classes: int) -> DataFrame:
     chunks = outside.withColumn("chunk", F.floor(F.pmod(F.xxhash64("a", F.lit(2)), F.lit(1 << 20)) / F.lit((1 << 20)) * F.col("blocks")).cast("int"))
     used = cut_lineage(chunks.select("cluster", "chunk").distinct())
     pair = lambda block, chunk: (F.col(block) * F.lit(1 << 15) + F.col(chunk)).cast("int")
-    found = known.join(used, "cluster").select("cluster", pair("part", "chunk").alias("part"), "a", F.lit(False).alias("searches"), "root", "tokens")
-    asking = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", pair("block", "chunk").alias("part"), "a", F.lit(True).alias("searches"), "root", "tokens")
-    outer = _links(found.unionByName(asking).select(*columns))
+    found = known.join(used, "cluster").select("cluster", pair("part", "chunk").alias("part"), "a", F.lit(False).alias("searches"), "root", "text")
+    asking = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", pair("block", "chunk").alias("part"), "a", F.lit(True).alias("searches"), "root", "text")
+    outer = links_of(found.unionByName(asking).select(*columns))
     return cut_lineage(links.unionByName(inner).unionByName(outer))
 
 
@@ -376,8 +376,8 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int
     shared = cut_lineage(wide.join(met, F.col("t") == F.col("mt")).select("t", "a", "n", "reach").distinct())
     clusters = cut_lineage(components(_ties(shared)).select(F.col("node"), F.col("root").alias("cluster")))
     wanted = cut_lineage(classes.join(clusters, F.col("a") == F.col("node")).filter("rep is not null").select("rep", "a", "cluster"))
-    sets = cut_lineage(_with_tokens(rows, wanted, order, size, sketch_bits))
-    roots = cut_lineage(components(_cluster_links(sets, block_classes)))
+    texts = cut_lineage(_with_texts(rows, wanted, size))
+    roots = cut_lineage(components(_cluster_links(texts, block_classes, order, size, sketch_bits)))
     linked = classes.join(roots, F.col("a") == F.col("node"))
     names = cut_lineage(linked.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("least")))
     named = linked.join(names, F.col("root") == F.col("r")).select(F.col("a").alias("k"), "least")
