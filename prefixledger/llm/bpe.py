@@ -19,6 +19,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,7 +192,7 @@ def with_ids(df: DataFrame, path: str, *, text: str = "text", ids: str = "token_
 
 def _parts(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     """Slices of a batch that hold about ``most`` bytes of text, so ids of many long texts never stand together."""
-    sizes = np.cumsum(pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
+    sizes = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
     row = 0
     while row < batch.num_rows:
         stop = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + most, side="right")))

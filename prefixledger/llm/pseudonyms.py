@@ -120,7 +120,7 @@ def pseudonymised(df: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     a text without values stays as it is, byte for byte. An empty table gives an empty result.
     """
     rows = packed(df, _text=text).select("row", "_text", F.lit(key).alias("_key"))
-    may = F.col("_text").rlike("[0-9@]")
+    may = F.col("_text").rlike("[0-9@]|[A-Fa-f]{32}")
     rows = rows.select("*", F.when(may, F.regexp_extract_all("_text", F.lit(PATTERN), F.lit(0))).alias("_found"))
     rows = rows.select("row", "_text", "_key", F.when(F.size("_found") > 0, F.col("_found")).alias("_found"))
     rows = rows.select("*", F.expr(_prepared()).alias("_values"))

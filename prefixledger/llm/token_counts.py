@@ -12,6 +12,7 @@ import functools
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,7 +130,7 @@ def token_counts(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "
         words, lengths = shared.value
         counts = _counts(path, words, tuple(lengths))
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column("_text")).fill_null(0).cast(pa.int64())
+            sizes = pc.binary_length(batch.column("_text")).fill_null(0).cast(pa.int64())
             tokens = [counts.count(t.as_py()) for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column(key), sizes, pa.array(tokens, pa.int64())], names=[key, "n_bytes", "n_tokens"])
 
