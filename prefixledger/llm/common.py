@@ -34,15 +34,20 @@ def unpacked(df: DataFrame, *extra: str) -> DataFrame:
     return df.select("row.*", *extra)
 
 
-def with_group_values(rows: DataFrame, groups: DataFrame, keys: list[str], *, salts: int = 32, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def few_rows(groups: DataFrame) -> bool:
+    """Whether a table is small enough to be broadcast."""
+    return groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def with_group_values(rows: DataFrame, groups: DataFrame, keys: list[str], *, salts: int = 32, few: bool | None = None) -> DataFrame:
     """Left join of ``rows`` to a stored table with one row for each (null-safe) key.
 
-    The table is broadcast only while it is counted to be small. Beyond that both sides are
-    salted, so a key that holds a third of all rows is spread over ``salts`` tasks.
+    The table is broadcast only while it is counted to be small (``few`` hands on a count already made).
+    Beyond that both sides are salted, so a key that holds a third of all rows is spread over ``salts`` tasks.
     """
     held = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
-    if groups.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if few_rows(groups) if few is None else few:
         out = rows.join(F.broadcast(held), on=same, how="left")
     else:
         held = held.withColumn("_g_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -51,4 +56,4 @@ def with_group_values(rows: DataFrame, groups: DataFrame, keys: list[str], *, sa
     return out.drop(*[f"_g_{k}" for k in keys])
 
 
-__all__ = ["BROADCAST_ROWS", "WORD", "cut_lineage", "packed", "table", "unpacked", "with_group_values", "word_count", "words"]
+__all__ = ["BROADCAST_ROWS", "WORD", "cut_lineage", "few_rows", "packed", "table", "unpacked", "with_group_values", "word_count", "words"]

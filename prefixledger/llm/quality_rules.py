@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefixledger.llm.common import cut_lineage, packed, unpacked, with_group_values, words
+from prefixledger.llm.common import cut_lineage, few_rows, packed, unpacked, with_group_values, words
 
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats")
 SCALE = 256
@@ -115,11 +115,11 @@ def _distance() -> Column:
     return total
 
 
-def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _start(rows: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """Medians and median absolute deviations of each feature."""
     half = [F.percentile(F.col(f), F.lit(0.5)).alias(f"m{i}") for i, f in enumerate(FEATURES)]
     medians = cut_lineage(rows.groupBy(*keys).agg(*half))
-    off = with_group_values(rows, medians, keys)
+    off = with_group_values(rows, medians, keys, few=few)
     mads = off.groupBy(*keys).agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(FEATURES))],
         *[F.percentile(F.floor(F.abs(F.col(f) - F.col(f"m{i}"))), F.lit(0.5)).alias(f"d{i}") for i, f in enumerate(FEATURES)],
@@ -129,13 +129,13 @@ def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
     return _factor(mads.select(*keys, *[(F.col(f"m{i}") / SCALE).alias(f"m{i}") for i in range(len(FEATURES))], *[f"d{i}" for i in range(len(FEATURES))]), cov, keys)
 
 
-def _concentrate(rows: DataFrame, model: DataFrame, keys: list[str], support: float) -> DataFrame:
+def _concentrate(rows: DataFrame, model: DataFrame, keys: list[str], support: float, few: bool) -> DataFrame:
     """One concentration step: mean and covariance of the rows nearest to the current centre."""
     p = len(FEATURES)
     bin_of = F.floor(F.log2(_distance() + 1.0) * 16).cast("long")
-    near = with_group_values(rows, model, keys).select(*keys, *FEATURES, bin_of.alias("bin"))
+    near = with_group_values(rows, model, keys, few=few).select(*keys, *FEATURES, bin_of.alias("bin"))
     reach = cut_lineage(near.groupBy(*keys).agg(F.ceil(F.percentile("bin", F.lit(support))).alias("reach")))
-    inside = with_group_values(near, reach, keys).filter("bin <= reach")
+    inside = with_group_values(near, reach, keys, few=few).filter("bin <= reach")
     sums = inside.groupBy(*keys).agg(
         F.count("*").alias("n"),
         *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)],
@@ -150,9 +150,10 @@ def _concentrate(rows: DataFrame, model: DataFrame, keys: list[str], support: fl
 
 def estimates(rows: DataFrame, keys: list[str], *, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
     """Centre (m0..) and Cholesky factor (l00..) of every group of the stored ``rows``."""
-    model = cut_lineage(_start(rows, keys))
+    few = few_rows(rows.select(*keys).distinct())
+    model = cut_lineage(_start(rows, keys, few))
     for _ in range(steps):
-        model = cut_lineage(_concentrate(rows, model, keys, support))
+        model = cut_lineage(_concentrate(rows, model, keys, support, few))
     return model
 
 
@@ -181,32 +182,27 @@ def _judged(stats: DataFrame, names: list[str], least_rows: int, cutoff: float)
     return out.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), distance.alias("distance"))
 
 
-def keep_good(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id", least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+def keep_good(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``df``, all columns unchanged, that ``judge`` keeps.
 
-    The second pass computes the statistics again and decides each row with the estimate of its
-    group, so texts are never shuffled or joined by key and repeated or null keys do no harm.
+    Rows are stored once with their statistics and read again for the estimates and the verdict, so no text is
+    shuffled or measured twice, and repeated or null keys do no harm.
     """
-    model = _model_by_pair(df, text, lang, source, least_rows)
-    rows = packed(df, _text=text, _lang=lang, _source=source)
-    stats = with_statistics(rows, "_text", keep=("row", "_lang", "_source")).withColumn("base_failed", _base_failed())
-    out = with_group_values(stats.select("*", *[c.alias(k) for k, c in _features().items()]), model, ["_lang", "_source"])
+    stats = with_statistics(packed(df, _text=text, _lang=lang, _source=source), "_text", keep=("row", "_lang", "_source"))
+    # stored before it is filtered: a filter would be moved below and repeat the array expressions for every element
+    stats = cut_lineage(stats.withColumn("base_failed", _base_failed()).select("*", *[c.alias(k) for k, c in _features().items()]))
+    model = pair_estimates(stats.filter(~F.col("base_failed")).select("_lang", "_source", *FEATURES), least_rows)
+    out = with_group_values(stats, model, ["_lang", "_source"])
     return unpacked(out.filter(~F.col("base_failed") & F.coalesce(_distance() <= cutoff, F.lit(True))))
 
 
-def _model_by_pair(df: DataFrame, text: str, lang: str, source: str, least_rows: int) -> DataFrame:
-    taken = df.select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text).alias("_text"))
-    stats = with_statistics(taken, "_text", keep=("_lang", "_source")).filter(~_base_failed())
-    good = cut_lineage(stats.select("_lang", "_source", *[c.alias(k) for k, c in _features().items()]))
-    return pair_estimates(good, least_rows)
-
-
 def pair_estimates(good: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Stored centre and factor for every language and source of the stored feature rows (null where there is no verdict)."""
     sizes = good.groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
     groups = cut_lineage(sizes.select("_lang", "_source", (F.col("_n") < least_rows).alias("g_rest"), F.when(F.col("_n") >= least_rows, F.col("_source")).alias("g_source")))
-    keys = ["_lang", "g_source", "g_rest"]
-    grouped = cut_lineage(with_group_values(good, groups, ["_lang", "_source"]).select(*keys, *FEATURES))
-    counts = cut_lineage(grouped.groupBy(*keys).agg(F.count("*").alias("_rows")))
-    model = with_group_values(estimates(grouped, keys), counts, keys).filter(F.col("_rows") >= least_rows).drop("_rows")
-    return cut_lineage(with_group_values(groups, cut_lineage(model), keys).drop("g_rest", "g_source"))
+    keys, few = ["_lang", "g_source", "g_rest"], few_rows(groups)
+    grouped = with_group_values(good, groups, ["_lang", "_source"], few=few).select(*keys, *FEATURES)
+    counts = cut_lineage(grouped.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= least_rows))
+    # rows of groups without a verdict take no part in the steps
+    used = cut_lineage(with_group_values(grouped, counts, keys, few=few).filter("_rows is not null").drop("_rows"))
+    return cut_lineage(with_group_values(groups, estimates(used, keys), keys, few=few).drop("g_rest", "g_source"))
