@@ -108,8 +108,8 @@ tags AS (SELECT node AS u, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\br
 targets AS (SELECT u, regexp_extract(tag, '(?i)(?:href\s*=\s*["'']?|url\s*=\s*["'']?)\s*([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1) AS dst FROM tags),
 ends AS (SELECT u, substr(dst, strpos(dst, '://') + 3) AS rest FROM targets WHERE dst <> ''),
 links AS (SELECT u, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS v FROM ends),
-both AS (SELECT u, v FROM links WHERE u <> '' AND v <> '' UNION SELECT v, u FROM links WHERE u <> '' AND v <> ''),
-hosts AS (SELECT u AS node, regexp_extract(u, '^[^/?#]*') AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT DISTINCT u FROM both)),
-reach AS (SELECT node FROM (SELECT node, {_sql_parts()} FROM hosts) WHERE own = 'block' UNION SELECT b.v FROM reach r JOIN both b ON r.node = b.u)
+edges AS (SELECT u, v FROM links WHERE u <> '' AND v <> '' UNION SELECT v, u FROM links WHERE u <> '' AND v <> ''),
+hosts AS (SELECT u AS node, regexp_extract(u, '^[^/?#]*') AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT DISTINCT u FROM edges)),
+reach AS (SELECT node FROM (SELECT node, {_sql_parts()} FROM hosts) WHERE own = 'block' UNION SELECT b.v FROM reach r JOIN edges b ON r.node = b.u)
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN node IN (SELECT node FROM reach) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
 """
