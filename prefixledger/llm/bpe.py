@@ -14,8 +14,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import operator
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +69,9 @@ class Encoder:
         # two generations of words: a full one becomes the old one, from which words in use come back
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
+        # fragments that end a piece are pieces themselves
         self.pieces: dict[str, bytes] = {}
-        self.fragments: dict[tuple[str, bool], bytes] = {}
+        self.fragments: dict[str, bytes] = {}
 
     def _inner_pairs(self, vocab: dict[str, int]) -> set[str]:
         """Pairs of byte symbols that stand side by side inside some token, the suffix left out."""
@@ -79,56 +82,61 @@ class Encoder:
         return pairs
 
     def _fragment(self, text: str, ends: bool) -> bytes:
-        ids = self.fragments.get((text, ends))
+        known = self.pieces if ends else self.fragments
+        ids = known.get(text)
         if ids is None:
             ids = _packed([t.id for t in (self.last if ends else self.inner).tokenize(text)])
-            if len(text) <= LONGEST_CACHED:
-                if len(self.fragments) >= PIECE_CACHE:
-                    self.fragments.clear()
-                self.fragments[text, ends] = ids
+            _keep(known, text, ids)
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        """A pre-token in byte symbols, cut at every pair that no token holds."""
+        """A pre-token in byte symbols, cut at every pair that no token holds; without a cut it is one fragment."""
+        pairs = self.pairs
+        if pairs.issuperset(map(operator.add, piece, piece[1:])):
+            return self._fragment(piece, True)
         ids = self.pieces.get(piece)
         if ids is None:
-            out, begin, pairs = [], 0, self.pairs
+            out, begin = [], 0
             for i in range(1, len(piece)):
                 if piece[i - 1 : i + 1] not in pairs:
                     out.append(self._fragment(piece[begin:i], False))
                     begin = i
             out.append(self._fragment(piece[begin:], True))
             ids = b"".join(out)
-            if len(piece) <= LONGEST_CACHED:
-                if len(self.pieces) >= PIECE_CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
+            _keep(self.pieces, piece, ids)
         return ids
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words: normalized and split in one call each, then piece by piece."""
-        known = self.words
+        known, old = self.words, self.old_words
         plain = []
         for word in words:
-            if word in self.old_words:
-                known[word] = self.old_words[word]
-            elif any(s in word for s in self.special):
-                known[word] = _packed(self.library.encode(word, add_special_tokens=False).ids)
+            if word in old:
+                known[word] = old[word]
             else:
                 plain.append(word)
+        joined = " ".join(plain)
+        if any(s in joined for s in self.special):
+            special = {w for w in plain if any(s in w for s in self.special)}
+            for word in special:
+                known[word] = _packed(self.library.encode(word, add_special_tokens=False).ids)
+            plain = [w for w in plain if w not in special]
+            joined = " ".join(plain)
         if not plain:
             return
         # no word holds white space, so the spaces between them stay cuts through both steps
-        text = self.library.normalizer.normalize_str(" ".join(plain))
-        ends = np.cumsum([len(w) + 1 for w in text.split(" ")]).tolist()
-        out: list[list[bytes]] = [[] for _ in plain]
-        at = 0
-        for piece, (begin, _) in self.library.pre_tokenizer.pre_tokenize_str(text):
-            while begin >= ends[at]:
+        text = self.library.normalizer.normalize_str(joined)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(text)
+        get, piece_ids = self.pieces.get, self._piece
+        ids = [get(piece) or piece_ids(piece) for piece, _ in pieces]
+        begins = [begin for _, (begin, _) in pieces]
+        begins.append(len(text) + 2)
+        at, end = 0, 0
+        for word, normal in zip(plain, text.split(" "), strict=True):
+            first, end = at, end + len(normal) + 1
+            while begins[at] < end:
                 at += 1
-            out[at].append(self._piece(piece))
-        for word, ids in zip(plain, out, strict=True):
-            known[word] = b"".join(ids)
+            known[word] = ids[first] if at == first + 1 else b"".join(ids[first:at])
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 32-bit integers; null and empty texts have none."""
@@ -158,7 +166,15 @@ class Encoder:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _keep(known: dict[str, bytes], text: str, ids: bytes) -> None:
+    """Adds to a cache of at most ``PIECE_CACHE`` short texts, which starts anew when full."""
+    if len(text) <= LONGEST_CACHED:
+        if len(known) >= PIECE_CACHE:
+            known.clear()
+        known[text] = ids
 
 
 @functools.lru_cache(maxsize=2)
