@@ -5,7 +5,8 @@ half in turn is shifted by a keyed hash of the other. That is a permutation of t
 equal values get equal pseudonyms in every document, different ones stay different, and the
 result passes the same validation. Text between the values is untouched. Expressions only.
 
-Formats: payment cards (13 to 19 digits, Luhn), telephone numbers (+country and 7 to 14 digits), IPv4 addresses,
+Formats: payment cards (13 to 19 digits, Luhn), telephone numbers (+country and 7 to 14 digits, at most one space, hyphen, dot
+or slash between two digits, area in parentheses or not), IPv4 addresses,
 US social security numbers, dates (yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy, mm/dd/yyyy, years 1601 to 2400, permuted
 within 1601 to 2000 or 2001 to 2400). E-mail addresses and quoted hexadecimal tokens have no such numbering; keyed digests in the same
 format stand for them. Numbers that fail validation stay as they are.
@@ -21,10 +22,22 @@ from prefixledger.llm.common import packed
 ROUNDS = 8
 KINDS = ("email", "card", "phone", "ip", "ssn", "date", "token")
 
+#: Between two digits of a telephone number: a closing bracket, one separator, an opening bracket.
+_GAP = "(?:(?<=\\([0-9]{1,6})\\))?[ \u00a0\u2011./-]?"
+_OPEN = _GAP + r"(?:\((?=[0-9]{1,6}\)))?"
+#: What a telephone number of eight digits or more does not run on into.
+_OTHER = (
+    r"[ \u00a0](?:(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|[./-][0-9])"
+    r"|(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.(?=[0-9])|(?![0-9]))){4}(?<![.])(?!\.[0-9])"
+    r"|(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))"
+)
+#: +1 and ten digits in groups of 3, 3, 4; eleven digits or more without a gap; else as many as fit.
+_PHONES = (rf"1{_OPEN}[0-9]{{3}}{_OPEN}[0-9]{{3}}{_GAP}[0-9]{{4}}", r"[1-9][0-9]{10,16}(?![./-][0-9])", rf"[1-9](?:{_OPEN}[0-9]){{7}}(?:(?!{_OTHER}){_GAP}[0-9]){{0,9}}")
+
 #: One alternative a kind; look-behinds let each be tried only where a run begins.
 _PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "phone": r"(?<![\p{L}\p{N}+])\+[1-9][0-9]{0,2} ?(?:\([0-9]{2,4}\) ?)?[0-9]{2,4}(?:[ -][0-9]{2,4}){0,3}(?![0-9])",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])\+(?:{'|'.join(x + '(?![0-9])' for x in _PHONES)})",
     "token": r"(?<=\")[0-9A-Fa-f]{32,64}(?=\")",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])",
@@ -36,6 +49,8 @@ _SQL_KIND = {
     "email": "m LIKE '%@%'", "phone": "m LIKE '+%'", "token": "rlike(m, '^[0-9A-Fa-f]{32,64}$')",
     "ip": r"rlike(m, '^[0-9]{1,3}([.][0-9]{1,3}){3}$')", "date": "length(m) = 10", "ssn": "rlike(m, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$')",
 }
+#: Country codes of one and two digits (E.164); all others have three.
+COUNTRY = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
 _LUHN = "aggregate(sequence(1, length({d})), 0L, (s, i) -> s + if(pmod(i, 2) = {odd}, CAST(substring({d}, length({d}) + 1 - i, 1) AS INT), pmod(2 * CAST(substring({d}, length({d}) + 1 - i, 1) AS INT), 10) + 2 * CAST(substring({d}, length({d}) + 1 - i, 1) AS INT) DIV 10))"
 
@@ -60,7 +75,9 @@ def _numbered() -> str:
     digits = lambda d: f"CAST({d} AS BIGINT)"
     half = lambda n: f"CAST(power(10, {n}) AS BIGINT)"
     body = "substring(v.d, 1, length(v.d) - 1)"
-    keep = "length(regexp_extract(v.m, '^[+]([0-9]{1,3}?)(?=[ (]|[0-9]{7})', 1))"
+    # the country code follows from the digits (E.164), not from the gaps, so all ways to write a number have one pseudonym
+    code = f"length(regexp_extract(v.d, '^(?:{COUNTRY}|...)', 0))"
+    keep = f"greatest(length(v.d) - 14, least({code}, length(v.d) - 7))"
     rest = f"substring(v.d, {keep} + 1)"
     octet = lambda i: f"CAST(element_at(split(v.m, '[.]'), {i}) AS INT)"
     octets = [octet(i) for i in range(1, 5)]
@@ -69,7 +86,7 @@ def _numbered() -> str:
     area_number = f"({area} - 1 - if({area} > 666, 1, 0))"
     cases = {
         "card": (f"length(v.d) BETWEEN 13 AND 19 AND pmod({_LUHN.format(d='v.d', odd=1)}, 10) = 0", digits(body), half("(length(v.d) - 1) DIV 2"), half("length(v.d) - 1 - (length(v.d) - 1) DIV 2")),
-        "phone": (f"length({rest}) BETWEEN 7 AND 14", digits(rest), half(f"length({rest}) DIV 2"), half(f"length({rest}) - length({rest}) DIV 2")),
+        "phone": ("length(v.d) BETWEEN 8 AND 17", digits(rest), half(f"length({rest}) DIV 2"), half(f"length({rest}) - length({rest}) DIV 2")),
         "ip": (" AND ".join(f"{o} <= 255" for o in octets), f"(({octets[0]} * 256 + {octets[1]}) * 65536L + {octets[2]} * 256 + {octets[3]})", "65536L", "65536L"),
         "date": ("year(v.day) BETWEEN 1601 AND 2400", f"CAST({cycle} AS BIGINT)", "189L", "773L"),
         "ssn": (f"{area} BETWEEN 1 AND 899 AND {area} <> 666 AND {group} > 0 AND {serial} > 0", f"({area_number} * 989901L + ({group} - 1) * 9999L + {serial} - 1)", "898L", "989901L"),

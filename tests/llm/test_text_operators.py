@@ -136,6 +136,34 @@ def test_pseudonyms_stay_valid_and_linked(spark):
     assert pseudonyms.pseudonymised(rows, "other").filter("row.doc_id = 0").first().new_text != got[0]
 
 
+def test_phones_in_all_written_forms(spark):
+    one = ["+14155552671", "+1-415-555-2671", "+1.415.555.2671", "+1 415 555 2671", "+1 (415) 555-2671", "+1(415)5552671", "+1/415/555-2671"]
+    two = ["+4915112345678", "+49 151 12345678", "+49-151-12345678", "+49 (151) 12345678", "+49 151 1234 5678", "+49151/12345678", "+49 15 11 23 45 67 8"]
+    more = ["+358401234567", "+33 1.42.68.53.00", "+44 20 7946 0958", "+81-3-1234-5678", "+99 5551234", "+1 4155552", "+999 12345678901234", "+498912345678-90"]
+    rows = spark.createDataFrame(list(enumerate(f"call {t}, please" for t in one + two + more)), "doc_id long, text string")
+    got = {r.row.doc_id: r for r in pseudonyms.pseudonymised(rows, "k").collect()}
+    digits = lambda t: re.sub(r"\D", "", t)
+    for k, t in enumerate(one + two + more):
+        new = re.fullmatch("call (.*), please", got[k].new_text)[1]
+        assert got[k].n_phone == 1 and digits(new) != digits(t) and digits(new)[0] == digits(t)[0], t
+        assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", t)
+    assert len({digits(got[k].new_text) for k in range(len(one))}) == len({digits(got[k].new_text) for k in range(len(one), len(one + two))}) == 1
+    assert digits(got[0].new_text)[:1] == "1" and digits(got[len(one)].new_text)[:2] == "49"
+    # neighbours keep their own kind; too few or too many digits are no number
+    texts = ["+49 151 12345678 2001-02-28", "+49 151 12345678 4111 1111 1111 1111", "+44 20 7946 0958 10.0.0.255", "+49 151 12345678 123-45-6789", "+1 (415) 555-2671 99", "+4915112345678 99", "(+44 20 7946 0958) 99"]
+    out = [(r.new_text, r.n_phone, r.n_date + r.n_card + r.n_ip + r.n_ssn) for r in pseudonyms.pseudonymised(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "k").collect()]
+    assert [n[1:] for n in out] == [(1, 1)] * 4 + [(1, 0)] * 3 and all(t.endswith(("99", ") 99")) for t, _, n in out if not n)
+    plain = ["+1234567", "+123456789012345678", "x+14155552671", "+0 415 555 2671", "a + 14155552671"]
+    assert sorted(r.new_text for r in pseudonyms.pseudonymised(spark.createDataFrame([(t,) for t in plain], "text string"), "k").collect()) == sorted(plain)
+
+
+def test_phones_are_a_permutation(spark):
+    """Written with and without gaps, all numbers of some ranges map one to one."""
+    rows = spark.range(10_000).selectExpr("explode(array(concat('+1415555', lpad(id, 4, '0')), concat('+', 10000000 + id * 8999), concat('+', 200000000 + id * 79999))) as text")
+    out = pseudonyms.pseudonymised(rows, "k").select("new_text", "n_phone")
+    assert out.distinct().count() == 30_000 and out.filter("n_phone <> 1").count() == 0
+
+
 def test_pseudonyms_are_a_permutation(spark):
     """All values of a small format: 10,000 addresses and 1,000 days map one to one within their format."""
     ips = spark.range(10_000).selectExpr("id as doc_id", "concat('10.1.', id div 256, '.', id % 256) as text")
