@@ -161,8 +161,8 @@ def judge(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str
     """Statistics, ``base_failed``, ``distance`` (squared) and ``kept`` for every row, beside the columns ``keep`` (new name: column).
 
     The estimate of a language and source uses the rows that pass the base rules. A pair with fewer
-    than ``least_rows`` of them shares the estimate of such pairs of its language; where that
-    has too few too, there is no verdict (distance null) and the base rules alone decide. Null
+    than ``least_rows`` of them shares the estimate of such pairs of its language, or of all languages
+    where that has too few too (``pair_estimates``), so every such row has a distance. Null
     languages and sources are groups like any other; a null or empty text fails the base rules.
     Repeated rows are judged alike, an empty table gives an empty result.
     """
@@ -178,7 +178,7 @@ def _judged(stats: DataFrame, names: list[str], least_rows: int, cutoff: float)
     model = pair_estimates(stats.filter(~F.col("base_failed")).select("_lang", "_source", *FEATURES), least_rows)
     out = with_group_values(stats, model, ["_lang", "_source"])
     distance = F.when(~F.col("base_failed"), _distance())
-    verdict = ~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))
+    verdict = ~F.col("base_failed") & (distance <= cutoff)
     return out.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), distance.alias("distance"))
 
 
@@ -193,16 +193,27 @@ def keep_good(df: DataFrame, *, text: str = "text", lang: str = "lang", source:
     stats = cut_lineage(stats.withColumn("base_failed", _base_failed()).select("*", *[c.alias(k) for k, c in _features().items()]))
     model = pair_estimates(stats.filter(~F.col("base_failed")).select("_lang", "_source", *FEATURES), least_rows)
     out = with_group_values(stats, model, ["_lang", "_source"])
-    return unpacked(out.filter(~F.col("base_failed") & F.coalesce(_distance() <= cutoff, F.lit(True))))
+    return unpacked(out.filter(~F.col("base_failed") & (_distance() <= cutoff)))
 
 
 def pair_estimates(good: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """Stored centre and factor for every language and source of the stored feature rows (null where there is no verdict)."""
-    sizes = good.groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
-    groups = cut_lineage(sizes.select("_lang", "_source", (F.col("_n") < least_rows).alias("g_rest"), F.when(F.col("_n") >= least_rows, F.col("_source")).alias("g_source")))
-    keys, few = ["_lang", "g_source", "g_rest"], few_rows(groups)
+    """Stored centre and factor for every language and source of the stored feature rows.
+
+    Tier 0 is a pair of ``least_rows`` rows or more, tier 1 the other pairs of a language, tier 2 what is left of all
+    languages. Where even that is less than ``least_rows``, all rows of the table stand for it; a table smaller than
+    that has no concentration steps, only the start: medians, and variances from median deviations and ``FLOORS``.
+    """
+    pairs = cut_lineage(good.groupBy("_lang", "_source").agg(F.count("*").alias("_n")))
+    rest = cut_lineage(pairs.filter(F.col("_n") < least_rows).groupBy("_lang").agg(F.sum("_n").alias("_rest")))
+    tier = F.when(F.col("_n") >= least_rows, 0).when(F.col("_rest") >= least_rows, 1).otherwise(2)
+    tiers = with_group_values(pairs, rest, ["_lang"]).select("_lang", "_source", "_n", tier.alias("g_tier"))
+    groups = cut_lineage(tiers.select("*", F.when(F.col("g_tier") < 2, F.col("_lang")).alias("g_lang"), F.when(F.col("g_tier") == 0, F.col("_source")).alias("g_source")))
+    total, left = groups.agg(F.sum("_n"), F.sum(F.when(F.col("g_tier") == 2, F.col("_n")))).first()
+    groups = groups.drop("_n")
+    keys, few = ["g_lang", "g_source", "g_tier"], few_rows(groups)
     grouped = with_group_values(good, groups, ["_lang", "_source"], few=few).select(*keys, *FEATURES)
-    counts = cut_lineage(grouped.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= least_rows))
-    # rows of groups without a verdict take no part in the steps
-    used = cut_lineage(with_group_values(grouped, counts, keys, few=few).filter("_rows is not null").drop("_rows"))
-    return cut_lineage(with_group_values(groups, estimates(used, keys), keys, few=few).drop("g_rest", "g_source"))
+    if left and left < least_rows:
+        none = [F.lit(None).cast(groups.schema[k].dataType).alias(k) for k in keys[:2]]
+        grouped = grouped.filter("g_tier < 2").unionByName(good.select(*none, F.lit(2).alias("g_tier"), *FEATURES))
+    steps = 0 if total and total < least_rows else STEPS
+    return cut_lineage(with_group_values(groups, estimates(cut_lineage(grouped), keys, steps=steps), keys, few=few).drop(*keys))

@@ -249,6 +249,48 @@ def test_outliers_equal_numpy(spark):
     assert sorted(r.doc_id for r in quality_rules.keep_good(frame).collect()) == sorted(k for k, r in got.items() if r.kept)
 
 
+def _shares(sizes, least=quality_rules.LEAST_ROWS):
+    """Pairs whose rows make the estimate of each pair, and the number of steps, in plain Python."""
+    rest = collections.Counter()
+    for (lang, _), n in sizes.items():
+        rest[lang] += n if n < least else 0
+    left = {p for p, n in sizes.items() if n < least and rest[p[0]] < least}
+    pool = left if sum(sizes[p] for p in left) >= least else set(sizes)
+    return {p: ({p} if n >= least else pool if p in left else {q for q in sizes if q[0] == p[0] and sizes[q] < least}) for p, n in sizes.items()}, 0 if sum(sizes.values()) < least else quality_rules.STEPS
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        {("en", "s"): 60, ("en", "t"): 8, ("de", "s"): 30, ("de", "t"): 25, ("fr", "s"): 20, ("es", "s"): 18, (None, None): 14},
+        {("en", "s"): 60, ("fr", "s"): 9, ("es", "s"): 1},
+        {("en", "s"): 7, ("fr", None): 5},
+        {("en", "s"): 60},
+    ],
+)
+def test_every_row_has_a_distance(spark, sizes):
+    rng, rows = random.Random(6), []
+    for (lang, source), n in sizes.items():
+        for k in range(n):
+            body = [rng.choice(["ab", "cde", "fghi", "jklmn"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(30, 80))]
+            rows.append((len(rows), " ".join(w + "###" if k % 9 == 4 else w for w in body), lang, source))
+    frame = spark.createDataFrame([*rows, (-1, "too short", "it", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(frame, keep={"doc_id": "doc_id"}).collect()}
+    assert got.pop(-1).distance is None and len(got) == len(rows)
+    x = {}
+    for key, text, _, _ in rows:
+        n, chars, symbols, lines, repeats = _statistics(text)
+        x[key] = [np.floor(v * quality_rules.SCALE + 0.5) for v in (np.log((chars + 1.0) / (n + 1.0)), (symbols / n) ** 0.5, (lines / n) ** 0.5, (repeats / n) ** 0.5)]
+    shares, steps = _shares(sizes)
+    for pair, pool in shares.items():
+        members = [r[0] for r in rows if r[2:] in pool]
+        for key, distance in zip(members, _mcd(np.array([x[k] for k in members]), steps=steps), strict=True):
+            if rows[key][2:] == pair:
+                assert got[key].distance == pytest.approx(distance, rel=1e-6) and got[key].kept == (distance <= quality_rules.CUTOFF)
+    assert all(r.kept == ("###" not in rows[k][1]) for k, r in got.items())
+    assert sorted(r.doc_id for r in quality_rules.keep_good(frame).collect()) == sorted(k for k, r in got.items() if r.kept)
+
+
 def test_few_rows_give_no_verdict(odd):
     got = quality_rules.judge(odd, keep={"doc_id": "doc_id"}).collect()
     assert all(r.kept != r.base_failed and r.distance is None for r in got)
