@@ -45,15 +45,66 @@ def _match(host_of: Column, path_of: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in any quotes or none, entities of ``& / :`` resolved; empty where absent."""
+    quoted = rf"(?is)(?<![\w-]){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*[F.regexp_extract(tag, quoted, k) for k in (1, 2, 3)])
+    for entity, char in (("&sol;|&#0*47;|&#x0*2f;", "/"), ("&colon;|&#0*58;|&#x0*3a;", ":"), ("&amp;|&#0*38;|&#x0*26;", "&")):
+        value = F.regexp_replace(value, f"(?i){entity}", char)
+    return F.trim(F.regexp_replace(value, r"[\t\r\n]", ""))
+
+
+def _without_dots(rest: Column) -> Column:
+    """``host/path?query`` with the segments ``.`` and ``..`` of its path resolved."""
+    segments = F.split(F.regexp_extract(rest, r"^[^/?#]*/?([^?#]*)", 1), "/")
+    resolved = F.transform(F.array(segments), lambda s: F.aggregate(s, F.array().cast("array<string>"), lambda k, x: F.when(x == ".", k).when(x == "..", F.slice(k, F.lit(1), F.greatest(F.size(k) - 1, F.lit(0)))).otherwise(F.concat(k, F.array(x))), lambda k: F.when(F.element_at(s, -1).isin(".", ".."), F.concat(k, F.array(F.lit("")))).otherwise(k)))
+    return F.concat(F.regexp_extract(rest, r"^[^/?#]*", 0), F.lit("/"), F.array_join(F.get(resolved, F.lit(0)), "/"), F.regexp_extract(rest, r"^[^?#]*(.*)$", 1))
+
+
+def _with_resolved(df: DataFrame, target: str, base: str) -> DataFrame:
+    """``df`` with column ``target`` made an absolute url, read from the url ``base``; empty where it names none or the page itself.
+
+    In steps of plain columns, as each of them is used many times.
+    """
+    value, rest = F.col(target), F.col("_rest")
+    others = [c for c in df.columns if c != target]
+    df = df.select("*", F.substring_index(base, "://", 1).alias("_scheme"), _after_scheme(F.col(base)).alias("_rest"))
+    df = df.select(*others, target, "_scheme", F.regexp_extract(rest, r"^[^/?#]*", 0).alias("_host"), F.regexp_extract(rest, r"^[^?#]*", 0).alias("_page"))
+    folder = F.when(F.col("_page").contains("/"), F.regexp_extract("_page", r"^(.*/)[^/]*$", 1)).otherwise(F.concat("_page", F.lit("/")))
+    below = (
+        F.when(value.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | (value == "") | value.startswith("#") | (F.col("_host") == ""), F.lit(None).cast("string"))
+        .when(value.startswith("//"), F.substring(value, 3, 1 << 30))
+        .when(value.startswith("/"), F.concat("_host", value))
+        .when(value.startswith("?"), F.concat("_page", value))
+        .otherwise(F.concat(folder, value))
+    )
+    df = df.select(*others, target, "_scheme", below.alias("_below"))
+    below = F.when(F.col("_below").rlike(r"^[^?#]*/\.\.?(?:[/?#]|$)"), _without_dots(F.col("_below"))).otherwise(F.col("_below"))
+    df = df.select(*others, target, "_scheme", below.alias("_below"))
+    whole = F.when(value.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), value).otherwise(F.coalesce(F.concat("_scheme", F.lit("://"), "_below"), F.lit("")))
+    return df.select(*others, whole.alias(target))
+
+
 def html_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """``src, dst``: canonical links and refresh redirects to absolute urls in whole pages.
+    """``src, dst``: canonical links and refresh redirects in whole pages, as absolute urls.
 
-    Attributes may stand in any order and quotes; null urls or pages give none.
+    Attributes may stand in any order and quotes; relative targets are read from the page's url or its ``<base>``,
+    a refresh may omit ``url=``. Null urls or pages give none.
     """
     tag = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-    found = pages.filter(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)\b(canonical|refresh)\b")).select(F.col(url).alias("src"), F.explode(F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(0))).alias("tag"))
-    target = F.regexp_extract("tag", r"(?i)(?:href\s*=\s*[\"']?|url\s*=\s*[\"']?)\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)", 1)
-    return found.select("src", target.alias("dst")).filter("dst <> ''")
+    found = pages.filter(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)\b(canonical|refresh)\b"))
+    first_base = F.regexp_extract(F.col(html), r"(?is)<base\b[^>]*\bhref\b[^>]*>", 0)
+    found = found.select(F.col(url).alias("src"), first_base.alias("base"), F.explode(F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(0))).alias("tag"))
+    found = found.select("src", "tag", _attribute(F.col("base"), "href").alias("base"), _attribute(F.col("tag"), "content").alias("content"), _attribute(F.col("tag"), "href").alias("href"))
+    after = r"(?i)^[0-9.]+(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(?:'([^']*)|\"([^\"]*)|([^'\"].*))"
+    refresh = F.trim(F.concat(*[F.regexp_extract("content", after, k) for k in (1, 2, 3)]))
+    # broken markup, as an unquoted content with a gap, still gives its absolute url
+    bare = F.regexp_extract("tag", r"(?i)(?:href\s*=\s*[\"']?|url\s*=\s*[\"']?)\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)", 1)
+    found = found.select("src", "base", bare.alias("bare"), F.when(F.col("tag").rlike("(?i)^<meta"), refresh).otherwise(F.col("href")).alias("dst"))
+    found = _with_resolved(found.select("src", "base", F.when(F.col("dst") == "", F.col("bare")).otherwise(F.col("dst")).alias("dst")), "base", "src")
+    found = found.select("src", "dst", F.when(F.col("base") == "", F.col("src")).otherwise(F.col("base")).alias("base"))
+    # a filter on a column would be moved below and repeat all steps; one within an array is not
+    return _with_resolved(found, "dst", "base").select("src", F.explode(F.filter(F.array("dst"), lambda x: x != "")).alias("dst"))
 
 
 def _node(url: Column) -> Column:

@@ -158,6 +158,35 @@ def test_url_rules_and_redirects(spark):
     assert url_filters.judge(pages.limit(0), url_filters.html_links(pages.limit(0))).count() == 0
 
 
+def test_links_to_relative_targets(spark):
+    link, refresh = '<link rel=canonical href="{}">', '<meta http-equiv="refresh" content="{}">'
+    cases = [
+        ("http://a.net/x", link.format("/es/x"), "http://a.net/es/x"),
+        ("https://a.net/d/x?q=1#f", link.format("y.html"), "https://a.net/d/y.html"),
+        ("https://a.net", link.format("y"), "https://a.net/y"),
+        ("https://a.net/d/e/x", link.format("../y?z=../1"), "https://a.net/d/y?z=../1"),
+        ("https://a.net/d/e/x", link.format("./"), "https://a.net/d/e/"),
+        ("https://a.net/d/x?q=1", link.format("?q=2"), "https://a.net/d/x?q=2"),
+        ("https://a.net/x", link.format("//b.net/es/x"), "https://b.net/es/x"),
+        ("https://a.net/x", link.format("http://b.net/?p=1&amp;q=2"), "http://b.net/?p=1&q=2"),
+        ("https://a.net/x", "<link rel=canonical data-href='http://c.net/' href=http://b.net/y>", "http://b.net/y"),
+        ("https://a.net/x", '<base href="/deep/er/">' + link.format("y"), "https://a.net/deep/er/y"),
+        ("https://a.net/x", refresh.format("0;http://b.net/es/"), "http://b.net/es/"),
+        ("https://a.net/x", refresh.format("5; URL='/es/y'"), "https://a.net/es/y"),
+        ("https://a.net/x", refresh.format("0, url=y"), "https://a.net/y"),
+        ("https://a.net/x", "<meta http-equiv=refresh content=0; url=http://b.net/>", "http://b.net/"),
+        ("https://a.net/x", refresh.format("30"), None),
+        ("https://a.net/x", link.format("#top"), None),
+        ("https://a.net/x", link.format("mailto:a@b.net"), None),
+        ("no scheme", link.format("/x"), None),
+    ]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = collections.Counter((r.src, r.dst) for r in url_filters.html_links(pages).collect())
+    assert got == collections.Counter((u, want) for u, _, want in cases if want)
+    one = pages.filter("page_id = 0")
+    assert [r.verdict for r in url_filters.judge(one, url_filters.html_links(one)).collect()] == ["block"]
+
+
 def _best(vectors, asks, k=5):
     ids = [i for i, v in vectors if v is not None]
     x = np.floor(256 * np.array([v for _, v in vectors if v is not None], dtype=np.float64))
