@@ -5,10 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prefixledger.llm import ball_tree, bpe, id_planes, mixing, ngram_join, pseudonyms, quality_cnn, quality_rules, token_counts, url_filters
+from prefixledger.llm import (
+    alignment,
+    ball_tree,
+    bpe,
+    id_planes,
+    merkle,
+    mixing,
+    ngram_join,
+    permutation_index,
+    pseudonyms,
+    quality_cnn,
+    quality_rules,
+    token_counts,
+    url_filters,
+)
 from prefixledger.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 PSEUDONYM_KEY = "corpus-key-1"
 
@@ -83,3 +98,21 @@ def op10_top_k(spark, sf_dir):
 
 
 ORACLES["op10_top_k"] = ball_tree.ORACLE
+
+
+@query
+def op11_merkle(spark, sf_dir):
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_merkle"] = merkle.ORACLE
+
+
+@query
+def op12_permutation_index(spark, sf_dir):
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    return alignment.digests(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
