@@ -238,7 +238,7 @@ def _texts():
 
 
 @pytest.mark.parametrize("frequent", [1_000_000, 40, 0])
-def test_alignment_equals_plain_python(spark, sf_dir, monkeypatch, frequent):
+def test_alignment_equals_plain_python(spark, sf_dir, frequent):
     rows = list(enumerate(_texts())) + [(None, "no key"), (3, "again")]
     rows += [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").limit(25).collect()]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pairs", F.lit(1)).withColumn("row", F.lit(2))

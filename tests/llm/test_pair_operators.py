@@ -234,5 +234,5 @@ def test_pipeline_stages(spark, sf_dir):
 
 def test_registry(spark):
     names = list(registry.QUERIES)
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "pseudonyms", "mix", "encode"]
