@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -44,6 +46,44 @@ def stored_path(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/prefixledger-{uuid.uuid4().hex}"
 
 
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("stored_frames", default=None)
+
+
+@contextlib.contextmanager
+def stored_frames(spark: SparkSession):
+    """Removes the tables that ``cut_lineage`` writes inside the block, but for those given to the function it yields.
+
+    For work whose result is itself a stored table: everything on the way to it is of no use afterwards. Kept tables
+    belong to the surrounding block, if there is one.
+    """
+    outer, paths, kept = _SCOPE.get(), [], []
+    token = _SCOPE.set(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.extend(_stored_folders(df))
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            if any(k.endswith(path.rsplit("/", 1)[-1]) for k in kept):
+                if outer is not None:
+                    outer.append(path)
+            else:
+                _delete(spark, path)
+
+
+def _stored_folders(df: DataFrame) -> set[str]:
+    return {name for f in df.inputFiles() if "/prefixledger-" in (name := f.rsplit("/", 1)[0])}
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table and read it back.
 
@@ -52,14 +92,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the real size when it picks a join.
     """
     path = stored_path(df.sparkSession)
+    if (paths := _SCOPE.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove_stored(df: DataFrame) -> None:
     """Delete the files of a frame made by ``cut_lineage`` once nothing reads them any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/prefixledger-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for name in _stored_folders(df):
+        _delete(df.sparkSession, name)
