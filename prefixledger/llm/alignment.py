@@ -15,10 +15,10 @@ multiplicity; counts are one pre-aggregated shuffle. Counts of frequent pairs ar
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefixledger.llm.bpe import byte_symbols
-from prefixledger.llm.common import cut_lineage
+from prefixledger.llm.common import cut_lineage, worker_object
 
 #: Bytes of text that one block-diagonal product takes, and entries a product expands at a time.
 BLOCK_BYTES = 1 << 20
@@ -36,6 +36,12 @@ PRODUCT_ENTRIES = 1 << 22
 FREQUENT = 1_000_000
 
 
+#: Fixed value: how byte-level files of this kind split a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The faster library's look-ahead keeps a stack over white space; texts with longer runs go to the other one.
+_LONG_GAP = re.compile(r"\s{500}")
+
+
 class CSR(NamedTuple):
     """A sparse matrix: the columns of row i are ``indices[indptr[i]:indptr[i + 1]]``; all values are 1."""
 
@@ -110,6 +116,7 @@ class Aligner:
         self.a.no_padding()
         value = {c: b for b, c in enumerate(byte_symbols())}
         special = {t["content"] for t in json.loads(self.a.to_str())["added_tokens"]}
+        self.fast = self._by_ranks(value)
         spelled = {i: t.encode() if t in special else bytes(value[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.a_bytes = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
         self.b = SentencePieceProcessor(model_file=path_b)
@@ -120,13 +127,43 @@ class Aligner:
         self.a_text = np.array([[f"{i},", f"{i}|"] for i in range(len(self.a_bytes))], dtype=object)
         self.b_text = np.array([[f"{i},", f"{i};"] for i in range(len(self.b_bytes))], dtype=object)
 
+    def _by_ranks(self, value: dict[str, int]):
+        """The same encoder in a faster library that merges by rank, or None where it might differ.
+
+        It joins any two neighbours whose bytes make a token, the file only listed pairs. Where ids follow the merges
+        and every token comes out of its own bytes, a state (x, y) of some text over the bytes of a token occurs when
+        that token is merged alone too, so x and y are its listed pair, and both libraries do the same.
+        """
+        import tiktoken
+        from tokenizers import models
+
+        spec = json.loads(self.a.to_str())
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+        special = {t["content"] for t in spec["added_tokens"]}
+        vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+        if not plain or any(vocab.get(x + y) != 256 + k for k, (x, y) in enumerate(merges)) or sorted(vocab.values()) != list(range(len(merges) + 256)):
+            return None
+        alone = models.BPE(vocab=model["vocab"], merges=merges)
+        if any([x.id for x in alone.tokenize(t)] != [i] for t, i in vocab.items()):
+            return None
+        return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={bytes(value[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
+
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        slow = {k: t for k, t in enumerate(texts) if self.fast is None or _LONG_GAP.search(t)}
+        out = [[] if k in slow else self.fast.encode_ordinary(t) for k, t in enumerate(texts)] if self.fast else [[] for _ in texts]
+        for k, found in zip(slow, self.a.encode_batch_fast(list(slow.values()), add_special_tokens=False), strict=True):
+            out[k] = found.ids
+        return out
+
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of both sides of each text; None where joined token bytes are not a space and the text."""
-        fast = [f" {t}" for t in texts]
-        first = [e.ids for e in self.a.encode_batch_fast(fast, add_special_tokens=False)]
+        spaced = [f" {t}" for t in texts]
+        first = self._encode_a(spaced)
         second = self.b.encode(texts, num_threads=1)
         out: list[tuple[list[int], list[int]] | None] = []
-        for text, x, y in zip(fast, first, second, strict=True):
+        for text, x, y in zip(spaced, first, second, strict=True):
             raw = text.encode()
             fine = b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw
             out.append((x, y) if fine else None)
@@ -176,10 +213,9 @@ class Aligner:
         return ["".join(words[x:y])[:-1] for x, y in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
 
 
-@functools.lru_cache(maxsize=1)
 def aligner(path_a: str, path_b: str) -> Aligner:
-    """One aligner a worker process."""
-    return Aligner(path_a, path_b)
+    """The aligner of a worker process."""
+    return worker_object(("alignment", path_a, path_b), lambda: Aligner(path_a, path_b))
 
 
 def _slices(texts: pa.Array, most: int = BLOCK_BYTES):

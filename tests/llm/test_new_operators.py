@@ -246,6 +246,17 @@ def test_alignment_equals_plain_python(spark, sf_dir, frequent):
     assert sorted((tuple(r) for r in got), key=str) == _plain_alignment(rows)
 
 
+def test_both_encoders_give_the_same_ids():
+    own = alignment.aligner(registry.BYTE_BPE, registry.PIECE_BPE)
+    assert own.fast is not None
+    rng = random.Random(3)
+    parts = ["a", "B", "the", "ing", "é", "ß", "日", "🙂", "1", "²", "\u0300", "'s", "'", "<|endoftext|>", "\x00", "\u200d", "\ufeff", "\u3000", "\x85", "\xa0", " ", "  ", "\n", "\t", "\x1c", "ſ", "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    texts += [" " * 100_000 + "x", "\n" * 3000, "a" * 50_000, "x" + " " * 499 + "y", "q" * 3 + "\u3000" * 700]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0xD800)])) for _ in range(50)) for _ in range(500)]
+    assert own._encode_a(texts) == [e.ids for e in own.a.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_alignment_of_no_rows_and_of_small_runs(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.digests(frame, registry.BYTE_BPE, registry.PIECE_BPE).count() == 0
