@@ -3,10 +3,11 @@
 A byte pair that occurs inside no vocabulary token can never be merged, so the cut between its
 bytes is certain: both sides encode independently and the ids are concatenated. White space is
 in no token, which cuts texts into words; a word the worker has not met is split by the file's own
-normalizer and pre-tokenizer (all new words of a text in one call), and each piece is cut again at
+normalizer and pre-tokenizer (all new words of a text in one call; words of Latin letters need no call where
+a probe shows what the file does with them), and each piece is cut again at
 every such pair. Fragments that end a piece are encoded by the file's model, the others by the same
-merges without the word-end suffix, as the suffix belongs to the last symbol alone. Workers keep
-bounded caches of words, pieces and fragments, as bytes of little-endian unsigned 32-bit ids.
+merges without the word-end suffix, as the suffix belongs to the last symbol alone. Workers keep caches of
+words, pieces and fragments, bounded in bytes, as bytes of little-endian unsigned 32-bit ids.
 """
 
 from __future__ import annotations
@@ -26,12 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD_CACHE = 300_000
-PIECE_CACHE = 200_000
+from prefixledger.llm.common import worker_object
+
+#: Bytes of a worker's cached words (each of two generations), pieces and fragments, with what an entry costs besides its text.
+WORD_BYTES = 30 << 20
+PIECE_BYTES = 16 << 20
+FRAGMENT_BYTES = 4 << 20
+ENTRY_BYTES = 190
 LONGEST_CACHED = 64
 #: White space as the file's normalizer sees it (fixed values: the Unicode property).
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(f"[{_WHITE}]+")
+#: Latin letters, each one code point in normal form with a lower case of one code point, and a mark that may follow them.
+_LATIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+_MARKS = ".,;:!?"
+_LATIN_WORD = re.compile(f"([{_LATIN}]+)([{_MARKS}]?)")
 #: str.split() also cuts at these, the normalizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -48,7 +58,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
         spec = json.loads(Tokenizer.from_file(path).to_str())
         self.library = Tokenizer.from_file(path)
@@ -56,10 +66,8 @@ class Encoder:
         self.library.no_padding()
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        # the same vocabulary and merges, for fragments that do not end a piece
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.inner = models.BPE(vocab=model["vocab"], merges=merges)
-        self.last = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix or None)
+        self.path = path
+        self.last = self.library.model
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.pairs = self._inner_pairs(model["vocab"])
         tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
@@ -69,9 +77,30 @@ class Encoder:
         # two generations of words: a full one becomes the old one, from which words in use come back
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
+        self.word_bytes = 0
         # fragments that end a piece are pieces themselves
-        self.pieces: dict[str, bytes] = {}
-        self.fragments: dict[str, bytes] = {}
+        self.pieces = _Cache(PIECE_BYTES)
+        self.fragments = _Cache(FRAGMENT_BYTES)
+        self.symbols = byte_symbols()
+        self.spell = str.maketrans({c: "".join(self.symbols[b] for b in c.lower().encode()) for c in _LATIN})
+        self.latin = _LATIN_WORD.fullmatch if self._latin_words_are_pieces() else None
+
+    @functools.cached_property
+    def inner(self):
+        """The same vocabulary and merges without the suffix, for fragments that do not end a piece."""
+        from tokenizers import Tokenizer, models
+
+        model = json.loads(Tokenizer.from_file(self.path).to_str())["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        return models.BPE(vocab=model["vocab"], merges=merges)
+
+    def _latin_words_are_pieces(self) -> bool:
+        """Whether Latin letters side by side, in every pairing, make one lower-case piece, and a mark after them a second one."""
+        every = "".join(x + y for k, x in enumerate(_LATIN) for y in _LATIN[k:]) + "".join(x + y for k, x in enumerate(_LATIN) for y in _LATIN[:k])
+        probes = [every, *[x + m for x in _LATIN for m in _MARKS]]
+        wants = [[every.translate(self.spell)], *[[x.translate(self.spell), m] for x in _LATIN for m in _MARKS]]
+        cut = lambda word: [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
+        return all(cut(probe) == want for probe, want in zip(probes, wants, strict=True))
 
     def _inner_pairs(self, vocab: dict[str, int]) -> set[str]:
         """Pairs of byte symbols that stand side by side inside some token, the suffix left out."""
@@ -86,7 +115,7 @@ class Encoder:
         ids = known.get(text)
         if ids is None:
             ids = _packed([t.id for t in (self.last if ends else self.inner).tokenize(text)])
-            _keep(known, text, ids)
+            known.keep(text, ids)
         return ids
 
     def _piece(self, piece: str) -> bytes:
@@ -103,7 +132,7 @@ class Encoder:
                     begin = i
             out.append(self._fragment(piece[begin:], True))
             ids = b"".join(out)
-            _keep(self.pieces, piece, ids)
+            self.pieces.keep(piece, ids)
         return ids
 
     def _learn(self, words: list[str]) -> None:
@@ -113,6 +142,11 @@ class Encoder:
         for word in words:
             if word in old:
                 known[word] = old[word]
+            elif self.latin and (found := self.latin(word)):
+                letters, mark = found.groups()
+                piece = letters.translate(self.spell)
+                ids = self.pieces.get(piece) or self._piece(piece)
+                known[word] = ids + self._fragment(mark, True) if mark else ids
             else:
                 plain.append(word)
         joined = " ".join(plain)
@@ -143,8 +177,8 @@ class Encoder:
         if not text:
             return np.zeros(0, dtype="<u4")
         parts = [p for p in _SPLIT.split(text) if p] if _ODD.search(text) else text.split()
-        if len(self.words) >= WORD_CACHE:
-            self.words, self.old_words = {}, self.words
+        if self.word_bytes >= WORD_BYTES:
+            self.words, self.old_words, self.word_bytes = {}, self.words, 0
         new = set(parts).difference(self.words)
         if new:
             self._learn(list(new))
@@ -152,6 +186,7 @@ class Encoder:
         for word in new:
             if len(word) > LONGEST_CACHED:
                 del self.words[word]
+        self.word_bytes += 2 * sum(map(len, new)) + ENTRY_BYTES * len(new)
         return np.frombuffer(ids, dtype="<u4")
 
     def decode(self, ids: list[int]) -> str:
@@ -169,18 +204,25 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _keep(known: dict[str, bytes], text: str, ids: bytes) -> None:
-    """Adds to a cache of at most ``PIECE_CACHE`` short texts, which starts anew when full."""
-    if len(text) <= LONGEST_CACHED:
-        if len(known) >= PIECE_CACHE:
-            known.clear()
-        known[text] = ids
+class _Cache(dict):
+    """Ids of short texts, at most so many bytes of them; starts anew when full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.bytes = most, 0
+
+    def keep(self, text: str, ids: bytes) -> None:
+        if len(text) <= LONGEST_CACHED:
+            if self.bytes >= self.most:
+                self.clear()
+                self.bytes = 0
+            self[text] = ids
+            self.bytes += len(text) + len(ids) + ENTRY_BYTES
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
-    return Encoder(path)
+    """The encoder of a worker process and file."""
+    return worker_object(("bpe", path), lambda: Encoder(path))
 
 
 def with_ids(df: DataFrame, path: str, *, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:

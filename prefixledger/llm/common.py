@@ -11,6 +11,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
+_HELD: dict = {}
+
+
+def worker_object(name, build):
+    """A heavy object of this worker process, built once and kept until another one is asked for or ``release`` is called.
+
+    Workers are reused by later stages: one at a time stays, so the memory of stages does not add up.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = build()
+    return _HELD[name]
+
+
+def release() -> None:
+    """Let go of what an earlier stage left in this worker process."""
+    _HELD.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,4 +75,4 @@ def with_group_values(rows: DataFrame, groups: DataFrame, keys: list[str], *, sa
     return out.drop(*[f"_g_{k}" for k in keys])
 
 
-__all__ = ["BROADCAST_ROWS", "WORD", "cut_lineage", "few_rows", "packed", "table", "unpacked", "with_group_values", "word_count", "words"]
+__all__ = ["BROADCAST_ROWS", "WORD", "cut_lineage", "few_rows", "packed", "release", "table", "unpacked", "with_group_values", "word_count", "worker_object", "words"]
