@@ -25,15 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefixledger.llm.common import cut_lineage
+from prefixledger.llm.common import cut_lineage, release
 from prefixledger.llm.components import components
 from prefixledger.llm.shingles import mix, shingle_sets
+from prefixledger.session import stored_frames
 
 SIZE = 5
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
-#: Classes a task takes from one cluster; larger clusters are worked in blocks.
+#: Classes, and shingles of these, that a task takes from one cluster; larger clusters are worked in blocks.
 BLOCK_CLASSES = 3_000
+BLOCK_SHINGLES = 2_000_000
 PIVOTS = 8
 
 
@@ -52,6 +54,7 @@ def _scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
     schema = T.StructType([docs.schema["id"], T.StructField("a", T.LongType()), T.StructField("n", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
+        release()
         sketch = np.zeros(1 << bits, dtype=np.uint32)
         shift = np.uint64(64 - bits)
         for batch in batches:
@@ -136,6 +139,7 @@ def _prefixes(docs: DataFrame, order, size: int, bits: int, only=None) -> DataFr
     schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
     def run(batches):
+        release()
         level = np.frombuffer(order.value, dtype=np.uint8)
         for batch in batches:
             held, rows = [], 0
@@ -303,31 +307,35 @@ def _links(groups: DataFrame, order, size: int, bits: int) -> DataFrame:
 
 
 def _with_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``a, cluster, text``: the text of one document of every wanted class (rows ``rep, a, cluster``).
+    """``a, n, cluster, text``: the text of one document of every wanted class (rows ``rep, a, n, cluster``).
 
-    Texts travel instead of their sets: they compress, hashes do not.
+    Texts travel instead of their sets: they compress, hashes do not. A class whose ids are all null has a null ``rep``
+    and is found by it like any other.
     """
     only = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("rep")), wanted.count()))
 
     def run(batches):
+        release()
         bitmap, width = np.frombuffer(only.value[0], dtype=np.uint8), only.value[1]
         for batch in batches:
             batch = batch.filter(pa.array(_may_hold(bitmap, width, np.asarray(batch.column("h")).view(np.uint64))))
             marks = [_class_of(s) for s in shingle_sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marks, pa.int64()), batch.column("text")], names=["id", "ia", "text"])
 
-    texts = docs.filter("id is not null").select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, ia long, text string")
+    texts = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, ia long, text string")
     # joined by class alone, so that the same exchange serves to keep one row of each class
-    here = texts.join(wanted, (F.col("ia") == F.col("a")) & (F.col("id").bitwiseXOR(F.col("rep")) == 0))
-    return here.select("a", "cluster", "text").dropDuplicates(["a"])
+    same = F.coalesce(F.col("id").bitwiseXOR(F.col("rep")) == 0, F.col("id").isNull() & F.col("rep").isNull())
+    here = texts.join(wanted, (F.col("ia") == F.col("a")) & same)
+    return here.select("a", "n", "cluster", "text").dropDuplicates(["a"])
 
 
-def _cluster_links(sets: DataFrame, block_classes: int, order, size: int, bits: int) -> DataFrame:
-    """All links that components need, from stored rows ``a, cluster, text``."""
+def _cluster_links(sets: DataFrame, block_classes: int, block_shingles: int, order, size: int, bits: int) -> DataFrame:
+    """All links that components need, from stored rows ``a, n, cluster, text``."""
     links_of = lambda groups: _links(groups, order, size, bits)
     none = F.lit(None).cast("long")
-    sizes = cut_lineage(sets.groupBy("cluster").agg(F.count("*").alias("members")))
-    large = cut_lineage(sizes.filter(F.col("members") > block_classes).select(F.col("cluster").alias("c"), F.ceil(F.col("members") / block_classes).cast("int").alias("blocks")))
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("members") / block_classes), F.ceil(F.col("shingles") / block_shingles)).cast("int"))
+    large = cut_lineage(sizes.filter((F.col("blocks") > 1) & (F.col("members") > 1)).select(F.col("cluster").alias("c"), "members", "blocks"))
     small = sets.join(large, F.col("cluster") == F.col("c"), "left_anti")
     columns = ["cluster", "part", "a", "searches", "root", "text"]
     # light clusters share tasks by hash; each is a group of its own
@@ -335,7 +343,7 @@ def _cluster_links(sets: DataFrame, block_classes: int, order, size: int, bits:
     if large.isEmpty():
         return links
     placed = cut_lineage(sets.join(large, F.col("cluster") == F.col("c")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).drop("c"))
-    ranks = placed.groupBy("cluster").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("a", F.lit(1)), F.greatest(F.lit(1), F.col("blocks") * block_classes / (4 * PIVOTS)).cast("int")) == 0, F.col("a")))), 1, PIVOTS).alias("pivots"))
+    ranks = placed.groupBy("cluster").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("a", F.lit(1)), F.greatest(F.lit(1), F.col("members") / (4 * PIVOTS)).cast("int")) == 0, F.col("a")))), 1, PIVOTS).alias("pivots"))
     pivots = placed.join(ranks.select("cluster", F.explode("pivots").alias("a")), ["cluster", "a"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first = placed.select("cluster", "part", "a", F.lit(True).alias("searches"), none.alias("root"), "text")
     first = first.unionByName(pivots.select("cluster", "part", "a", F.lit(True).alias("searches"), none.alias("root"), "text")).dropDuplicates(["cluster", "part", "a"])
@@ -355,59 +363,70 @@ def _cluster_links(sets: DataFrame, block_classes: int, order, size: int, bits:
     return cut_lineage(links.unionByName(inner).unionByName(outer))
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, sketch_bits: int = SKETCH_BITS, block_classes: int = BLOCK_CLASSES) -> DataFrame:
+def _components_of(docs: DataFrame, key: str, text: str, size: int, sketch_bits: int, block_classes: int, block_shingles: int) -> DataFrame:
+    """Stored rows ``id, a, n, root, component`` for every document: ``join``, and the class that stands for the component."""
+    spark = docs.sparkSession
+    with stored_frames(spark) as keep:
+        rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+        scanned = cut_lineage(_scan(rows, size, sketch_bits))
+        members = scanned.filter("block is null").select("id", "a", "n")
+        classes = cut_lineage(members.filter("n > 0").groupBy("a").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
+        order = spark.sparkContext.broadcast(_order(scanned, sketch_bits))
+        narrow = _prefixes(rows, order, size, sketch_bits)
+        met = cut_lineage(narrow.groupBy("t").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select(F.col("t").alias("mt")))
+        only = spark.sparkContext.broadcast(_bitmap(met, met.count()))
+        wide = _prefixes(rows, order, size, sketch_bits, only)
+        shared = cut_lineage(wide.join(met, F.col("t") == F.col("mt")).select("t", "a", "n", "reach").distinct())
+        clusters = cut_lineage(components(_ties(shared)).select(F.col("node"), F.col("root").alias("cluster")))
+        wanted = cut_lineage(classes.join(clusters, F.col("a") == F.col("node")).select("rep", "a", "n", "cluster"))
+        texts = cut_lineage(_with_texts(rows, wanted, size))
+        roots = cut_lineage(components(_cluster_links(texts, block_classes, block_shingles, order, size, sketch_bits)))
+        linked = classes.join(roots, F.col("a") == F.col("node"))
+        names = cut_lineage(linked.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("least")))
+        named = linked.join(names, F.col("root") == F.col("r")).select(F.col("a").alias("k"), "root", "least")
+        per_class = cut_lineage(classes.join(named, F.col("a") == F.col("k"), "left").select(F.col("a").alias("ca"), F.coalesce("root", "a").alias("root"), F.coalesce("least", "rep").alias("component")))
+        out = members.join(per_class, F.col("a") == F.col("ca"), "left")
+        return keep(cut_lineage(out.select("id", "a", "n", "root", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))))
+
+
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, sketch_bits: int = SKETCH_BITS, block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Stored rows ``id, a, n, component`` for every document: class, set size, smallest id reachable by links.
 
     Two documents link when their sets' Jaccard similarity is 0.8 or more; equal sets are one class and need no
     pairs. A text without words (null included) has n 0 and its own id as component. A
-    null id belongs to the component of its class and never names one (null if no other is there).
-    Repeated rows are one class. An empty table gives an empty result. Keys are integers.
+    null id links like any other, belongs to the component of its class and never names one (null if no other id is there).
+    Repeated rows are one class; where unlike texts repeat an id, components may share their name. An empty table
+    gives an empty result. Keys are integers. Columns of other names play no part.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    scanned = cut_lineage(_scan(rows, size, sketch_bits))
-    members = scanned.filter("block is null").select("id", "a", "n")
-    classes = cut_lineage(members.filter("n > 0").groupBy("a").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
-    order = spark.sparkContext.broadcast(_order(scanned, sketch_bits))
-    narrow = _prefixes(rows, order, size, sketch_bits)
-    met = cut_lineage(narrow.groupBy("t").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select(F.col("t").alias("mt")))
-    only = spark.sparkContext.broadcast(_bitmap(met, met.count()))
-    wide = _prefixes(rows, order, size, sketch_bits, only)
-    shared = cut_lineage(wide.join(met, F.col("t") == F.col("mt")).select("t", "a", "n", "reach").distinct())
-    clusters = cut_lineage(components(_ties(shared)).select(F.col("node"), F.col("root").alias("cluster")))
-    wanted = cut_lineage(classes.join(clusters, F.col("a") == F.col("node")).filter("rep is not null").select("rep", "a", "cluster"))
-    texts = cut_lineage(_with_texts(rows, wanted, size))
-    roots = cut_lineage(components(_cluster_links(texts, block_classes, order, size, sketch_bits)))
-    linked = classes.join(roots, F.col("a") == F.col("node"))
-    names = cut_lineage(linked.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("least")))
-    named = linked.join(names, F.col("root") == F.col("r")).select(F.col("a").alias("k"), "least")
-    per_class = cut_lineage(classes.join(named, F.col("a") == F.col("k"), "left").select(F.col("a").alias("ca"), F.coalesce("least", "rep").alias("component")))
-    out = members.join(per_class, F.col("a") == F.col("ca"), "left")
-    return cut_lineage(out.select("id", "a", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component")))
-
-
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, **options) -> DataFrame:
+    return _components_of(docs, key, text, size, sketch_bits, block_classes, block_shingles).select("id", "a", "n", "component")
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, sketch_bits: int = SKETCH_BITS, block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, one for each component: that of the smallest id.
 
-    Rows without words are linked with nothing and all stay. Of rows that repeat the kept
-    id and set, one stays; null ids yield to others, and where all are null one of each class stays.
+    Rows without words are linked with nothing and all stay. Null ids yield to others; of several sets under the kept id the
+    smallest class stays, of rows that repeat id and set one. Components count by their links alone: where unlike
+    texts repeat an id, each keeps a row. An empty table gives an empty one.
     """
-    found = join(docs, key=key, text=text, size=size, **options)
-    kept = found.filter((F.col("n") > 0) & F.col("id").eqNullSafe(F.col("component")))
-    # ids that repeat with several sets of one component: the smallest class stays
-    kept = cut_lineage(kept.groupBy("id").agg(F.min("a").alias("ka"))).filter("id is not null").unionByName(kept.filter("id is null").select("id", F.col("a").alias("ka")).distinct())
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_class_of_row", T.LongType())])
+    found = _components_of(docs, key, text, size, sketch_bits, block_classes, block_shingles)
+    best = found.filter("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "a")).alias("k"))
+    kept = cut_lineage(best.select(F.col("k.id").alias("kid"), F.col("k.a").alias("ka")))
+    names, mark = docs.columns, "_class"
+    while mark.lower() in {c.lower() for c in names}:
+        mark += "_"
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
 
     def run(batches):
+        release()
         for batch in batches:
             marks = [_class_of(s) if len(s) else None for s in shingle_sets(batch.column(text), size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*names, "_class_of_row"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*names, mark])
 
     marked = docs.mapInArrow(run, schema)
-    chosen = kept.select(F.col("id").alias("_kept_id"), F.col("ka").alias("_kept_class"))
-    stay = marked.filter("_class_of_row is not null").join(chosen, (F.col("_class_of_row") == F.col("_kept_class")) & F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    chosen = kept.select(F.col("kid").alias(f"{mark}_id"), F.col("ka").alias(f"{mark}_kept"))
+    here = (F.col(mark) == F.col(f"{mark}_kept")) & F.col(f"`{key}`").cast("long").eqNullSafe(F.col(f"{mark}_id"))
+    stay = marked.filter(F.col(mark).isNotNull()).join(chosen, here, "left_semi")
     # seen in the narrow table first: only rows that repeat an id and a text need another shuffle
-    repeated = found.join(kept.withColumnRenamed("id", "kid"), (F.col("a") == F.col("ka")) & F.col("id").eqNullSafe(F.col("kid"))).groupBy("a").count().filter("count > 1")
-    one = stay if repeated.isEmpty() else stay.dropDuplicates(["_class_of_row"])
-    return one.unionByName(marked.filter("_class_of_row is null")).drop("_class_of_row")
+    repeated = found.join(kept, (F.col("a") == F.col("ka")) & F.col("id").eqNullSafe(F.col("kid"))).groupBy("a").count().filter("count > 1")
+    one = stay if repeated.isEmpty() else stay.dropDuplicates([mark])
+    return one.unionByName(marked.filter(F.col(mark).isNull())).drop(mark)

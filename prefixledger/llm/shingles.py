@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20_250_101))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _LANE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)

@@ -124,6 +124,29 @@ def test_join_odd_rows(spark):
     assert ngram_join.join(frame.limit(0)).count() == 0
 
 
+def test_no_text_is_lost_on_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").withColumn("_class", F.lit("clash"))
+    kept = lambda rows: sorted((str(r.doc_id), r.text) for r in ngram_join.one_of_each(frame(rows)).collect())
+    assert kept([(1, a), (1, b), (2, a + " x"), (3, b + " y")]) == [("1", a), ("1", b)]
+    assert kept([(None, a), (2, a + " x")]) == [("2", a + " x")]
+    # a null-id set bridges two that do not link with each other
+    left, right = a + " " + " ".join(f"l{k}" for k in range(4)), a + " " + " ".join(f"r{k}" for k in range(4))
+    rows = [(7, left), (None, a), (5, right)]
+    assert _near([(7, left), (5, right)]) == {7: (30, 7), 5: (30, 5)}
+    assert {r.component for r in ngram_join.join(frame(rows)).collect()} == {5}
+    assert kept(rows) == [("5", right)]
+    # the same where all ids are null: one of the group stays
+    assert len(kept([(None, left), (None, a), (None, right), (None, b)])) == 2
+
+
+def test_join_in_blocks_by_shingles(spark):
+    rows = _made(6)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: (r.n, r.component) for r in ngram_join.join(frame, block_shingles=120).collect()}
+    assert got == _near(rows)
+
+
 def test_url_rules_and_redirects(spark):
     page = lambda url: f'<html><head><LINK  href="{url}" rel=canonical></head>'
     rows = [
