@@ -14,6 +14,8 @@ from prefixledger.operators.quality import violations
 
 # Outcomes after which another attempt of a slot is allowed.
 RETRYABLE = ("error", "timeout", "prepare_error", "aborted")
+#: Plan positions that one task orders at a time.
+PLAN_RANGE = 4096
 
 
 def plan_violations(attempts: DataFrame, slots: DataFrame, *, plan_sha256: str, maximum: int, retryable=RETRYABLE) -> DataFrame:
@@ -25,7 +27,7 @@ def plan_violations(attempts: DataFrame, slots: DataFrame, *, plan_sha256: str,
     a success, an attempt that began while an earlier slot was still open, and an attempt
     after a later slot had been started (back-fill). A slot is complete with its first success or
     with a technical failure on the last retry. Positions and times are
-    compared through running maxima over the slots of one plan.
+    compared through running maxima over ranges of positions and inside each range.
     """
     key = F.concat_ws(" ", "slot_id", F.col("retry_number").cast("string"))
     mine = attempts.filter(F.col("execution_plan_sha256") == plan_sha256)
@@ -40,14 +42,7 @@ def plan_violations(attempts: DataFrame, slots: DataFrame, *, plan_sha256: str,
         mine.groupBy("slot_id").agg(F.min(F.when(done, F.col("started_at"))).alias("complete_at"), F.min("started_at").alias("first_at"), F.max("started_at").alias("last_at")),
         "slot_id", "left",
     )
-    # One row per slot of one plan (a day's schedule).
-    up, down = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("position").rowsBetween(1, Window.unboundedFollowing)
-    ordered = per_slot.select(
-        "slot_id",
-        F.coalesce(F.min(F.col("complete_at").isNotNull()).over(up), F.lit(True)).alias("earlier_complete"),
-        F.max("complete_at").over(up).alias("earlier_complete_at"),
-        F.min("first_at").over(down).alias("later_started"),
-    )
+    ordered = _around(per_slot)
     placed = known.join(ordered, "slot_id")
     return reduce(DataFrame.unionByName, [
         violations(attempts, "foreign_plan", ~F.coalesce(F.col("execution_plan_sha256") == plan_sha256, F.lit(False)), key),
@@ -60,6 +55,32 @@ def plan_violations(attempts: DataFrame, slots: DataFrame, *, plan_sha256: str,
     ])
 
 
+def _around(per_slot: DataFrame) -> DataFrame:
+    """``slot_id`` with what holds for all slots before and after its position.
+
+    Running values go over ranges of positions first (one row each), then over the slots of one range, so no task
+    holds more than ``PLAN_RANGE`` positions. Slots without a position come first.
+    """
+    ranged = per_slot.withColumn("range", F.coalesce(F.floor(F.col("position") / PLAN_RANGE), F.lit(-(2**62))))
+    done = F.col("complete_at").isNotNull()
+    edges = ranged.groupBy("range").agg(F.min(done).alias("all_done"), F.max("complete_at").alias("last_done"), F.min("first_at").alias("first_begun"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    after = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    ranges, inside = Window.orderBy("range"), Window.partitionBy("range").orderBy("position")
+    carried = edges.select(
+        "range",
+        F.min("all_done").over(before(ranges)).alias("ranges_done"),
+        F.max("last_done").over(before(ranges)).alias("ranges_done_at"),
+        F.min("first_begun").over(after(ranges)).alias("ranges_begun"),
+    )
+    return ranged.join(carried, "range").select(
+        "slot_id",
+        (F.coalesce(F.min(done).over(before(inside)), F.lit(True)) & F.coalesce("ranges_done", F.lit(True))).alias("earlier_complete"),
+        F.greatest(F.max("complete_at").over(before(inside)), "ranges_done_at").alias("earlier_complete_at"),
+        F.least(F.min("first_at").over(after(inside)), "ranges_begun").alias("later_started"),
+    )
+
+
 def safety_stops(attempts: DataFrame) -> DataFrame:
     """Latched safety-stop reasons, one row each: real-address bypass, changed condition, explicit code."""
     bypass = F.coalesce(F.col("outcome") == "direct_bypass", F.lit(False)) | F.coalesce(

@@ -2,20 +2,59 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def file_hashes(spark: SparkSession, path: str, *, glob: str = "*", root: str | None = None) -> DataFrame:
-    """``path, bytes, sha256`` of the files under ``path``; names are relative to ``root``.
+#: Files up to this size are hashed whole inside Spark; longer ones are streamed.
+WHOLE_BYTES = 64 << 20
+CHUNK_BYTES = 8 << 20
+
+
+def _relative(path: Column, root: str | None) -> Column:
+    name = F.regexp_replace(path, "^[a-z0-9]+:/+", "/")
+    return name if root is None else F.substring(name, F.lit(len(root.rstrip("/")) + 2), F.length(name))
+
+
+def _streamed(files: DataFrame, chunk: int) -> DataFrame:
+    """``uri, bytes, sha256`` of ``uri, bytes``: one task a few files, each read in chunks through its own file system."""
+
+    def run(batches):
+        for batch in batches:
+            sums = []
+            for uri in batch.column("uri").to_pylist():
+                system, place = pafs.FileSystem.from_uri(quote(uri, safe=":/"))
+                digest = hashlib.sha256()
+                with system.open_input_stream(place) as source:
+                    while data := source.read(chunk):
+                        digest.update(data)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("uri"), batch.column("bytes"), pa.array(sums, pa.string())], names=["uri", "bytes", "sha256"])
 
-    ``binaryFile`` holds one file in memory, so this is for artifacts below 2 GiB.
+    return files.mapInArrow(run, "uri string, bytes bigint, sha256 string")
+
+
+def file_hashes(spark: SparkSession, path: str, *, glob: str = "*", root: str | None = None, whole: int = WHOLE_BYTES, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """``path, bytes, sha256`` of the files under ``path``, of any size but zero (Spark's scans skip empty files); names are relative to ``root``.
+
+    Files up to ``whole`` bytes are hashed as ``binaryFile`` contents (the size filter reaches the scan, so others
+    are not opened there). Longer ones are listed without content, dealt to tasks by name and read in chunks of ``chunk``
+    bytes, so memory does not depend on a file's size; this needs a file system that Arrow can open.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    name = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    if root is not None:
-        name = F.substring(name, len(root.rstrip("/")) + 2, 4096)
-    return df.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = df.filter(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = _streamed(df.filter(F.col("length") > whole).select(_uri(F.col("path")).alias("uri"), F.col("length").alias("bytes")).repartition("uri"), chunk)
+    return small.unionByName(large.withColumnRenamed("uri", "path")).withColumn("path", _relative(F.col("path"), root))
+
+
+def _uri(path: Column) -> Column:
+    """``scheme:/a`` as ``scheme:///a``."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/(?!/)", "$1:///")
 
 
 def manifest_lines(lines: DataFrame) -> DataFrame:

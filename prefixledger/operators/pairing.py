@@ -18,6 +18,7 @@ from prefixledger.functions import labels as L
 from prefixledger.functions import values as V
 from prefixledger.operators import routing
 from prefixledger.operators.intervals import PREFIX
+from prefixledger.operators.time_tiles import join_points
 from prefixledger.session import cut_lineage
 
 # Exclusion codes, in the usual order of precedence.
@@ -249,7 +250,7 @@ def connection_identity() -> Column:
     return (
         F.when(F.col("transport") == "udp", "quic-five-tuple")
         .when(F.col("tcp_seq_raw").isNotNull(), F.concat(F.lit("tcp-sequence|"), F.col("tcp_seq_raw").cast("string")))
-        .when(stream.isNotNull(), F.concat_ws("|", F.lit("tcp-stream"), F.coalesce("artifact_sha256", F.lit("")), stream))
+        .when(stream.isNotNull(), F.concat_ws("|", F.lit("tcp-stream"), F.coalesce("artifact_sha256", "artifact", F.lit("")), stream))
         .otherwise("tcp-five-tuple")
     )
 
@@ -259,8 +260,8 @@ def fresh_flows(selected: DataFrame, server_packets: DataFrame, rules: PairingRu
 
     ``identities`` with a start packet between launch and the earlier of capture
     stop and log time, ``fresh`` when there is exactly one and its first packet is
-    not before launch. The join is on five-tuple and minute; an attempt covers the
-    minutes of its own window only.
+    not before launch. The join is on five-tuple and time tile, so a
+    capture that stops late costs a few rows more and not one for each minute.
     """
     starts = server_packets.filter(
         V.setup_packet(server_side=True) & F.col("time_epoch").isNotNull()
@@ -283,11 +284,7 @@ def fresh_flows(selected: DataFrame, server_packets: DataFrame, rules: PairingRu
         seconds("t_launch").alias("w_from"),
         F.least(seconds("t_stop"), F.col("sel.ts")).alias("w_to"),
     ).filter(F.col("w_from") <= F.col("w_to"))
-    minute = lambda c: F.floor(c / 60).cast("bigint")
-    spread = windows.withColumn("minute", F.explode(F.sequence(minute(F.col("w_from")), minute(F.col("w_to")))))
-    hits = spread.join(
-        starts.select(*tuple_, "identity", "time_epoch", minute(F.col("time_epoch")).alias("minute")), [*tuple_, "minute"]
-    ).filter(F.col("time_epoch").between(F.col("w_from"), F.col("w_to")))
+    hits = join_points(windows, starts.select(*tuple_, "identity", "time_epoch"), tuple_, start="w_from", stop="w_to", at="time_epoch")
     live = hits.groupBy("attempt_path", *tuple_, "identity", "w_from").agg(F.count("*").alias("in_window"))
     per_attempt = live.join(first, [*tuple_, "identity"]).groupBy("attempt_path").agg(
         F.count("*").alias("identities"),

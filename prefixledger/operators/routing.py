@@ -80,7 +80,11 @@ def attribute(catalogue: DataFrame, routes: DataFrame) -> DataFrame:
     )
     matched = F.col("outcome") == "matched"
     hits = hits.withColumnRenamed("asn", "r_asn")
-    joined = catalogue.join(hits, PREFIX, "left").withColumn("asn", F.col("r_asn"))
+    # malformed rows have no prefix and match nothing: a number of their own spreads them over the tasks of the join
+    spread = catalogue.withColumn("_spread", F.coalesce(F.col("hi"), F.xxhash64(F.monotonically_increasing_id())))
+    held = hits.select(*[F.col(c).alias(f"_h_{c}") for c in PREFIX], F.col("hi").alias("_h_spread"), *[c for c in hits.columns if c not in PREFIX])
+    same = [F.col(c) == F.col(f"_h_{c}") for c in PREFIX]
+    joined = spread.join(held, [F.col("_spread") == F.col("_h_spread"), *same], "left").withColumn("asn", F.col("r_asn"))
     return joined.withColumn("outcome", F.when(F.col("family").isNotNull(), outcome)).select(
         *catalogue.columns,
         "outcome",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefixledger.functions import values as V
-from prefixledger.sources.catalogue import ordinal
+from prefixledger.operators.manifests import file_hashes
+from prefixledger.session import cut_lineage
 
 # Fields of a server access-log line.
 LOG_SCHEMA = (
@@ -37,16 +38,31 @@ def log_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str, *, glob: str = "*.jsonl*") -> DataFrame:
+    """``value, artifact, line_number`` of text files: absolute numbers from 1, as one reader of each file would count.
+
+    A first pass counts the lines of every file split; sums over the splits before it, by their first byte, give each
+    split its offset. Only these counts (one row a split) meet the lines again. Blank lines count. Splits depend on
+    the session's settings alone, so both passes see the same ones; a compressed file is one split.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    lines = files.select("value", F.col("_metadata.file_path").alias("artifact"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    counted = lines.groupBy("artifact", "split").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = Window.partitionBy("artifact").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = cut_lineage(counted.select(F.col("artifact").alias("_a"), F.col("split").alias("_s"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before")))
+    # a split's lines share its key: the small side is broadcast while its size allows, else adaptive execution splits the join
+    found = lines.join(splits, (F.col("artifact") == F.col("_a")) & (F.col("split") == F.col("_s")))
+    return found.select("value", "artifact", (F.col("lines_before") + F.col("row") - F.col("first") + 1).alias("line_number"))
+
+
 def scan_access_log(spark: SparkSession, path: str) -> DataFrame:
-    """Access-log rows (JSON lines, gzip by suffix), identical lines kept once: the first by path and position.
+    """Access-log rows (JSON lines, gzip by suffix) with absolute ``line_number``, identical lines kept once: the first by path and line.
 
     The choice is a combinable minimum per line hash, so a line repeated in every
     rotated file is merged before the shuffle.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl*").text(path)
-    named = files.select("value", F.col("_metadata.file_path").alias("artifact"), ordinal().alias("line_number"))
-    rows = log_lines(named.filter(~F.col("artifact").rlike(r"\.packets\.jsonl(\.gz)?$")))
-    return first_copies(rows).withColumn("line_number", F.col("line_number.row"))
+    named = numbered_lines(spark, path)
+    return first_copies(log_lines(named.filter(~F.col("artifact").rlike(r"\.packets\.jsonl(\.gz)?$"))))
 
 
 def first_copies(rows: DataFrame) -> DataFrame:
@@ -85,18 +101,24 @@ def normalize_packets(raw: DataFrame) -> DataFrame:
     )
 
 
+def _with_hash(spark: SparkSession, packets: DataFrame, path: str) -> DataFrame:
+    """Packets with the hash of the file they came from, which tells captures apart whatever they are called."""
+    hashes = cut_lineage(file_hashes(spark, path)).select(F.col("path").alias("_path"), F.col("sha256").alias("artifact_sha256"))
+    named = packets.withColumn("artifact", F.col("_metadata.file_path"))
+    return named.join(hashes, F.regexp_replace("artifact", "^[a-z0-9]+:/+", "/") == F.col("_path"), "left").drop("_path")
+
+
 def scan_packet_lines(spark: SparkSession, path: str) -> DataFrame:
     """Packets from JSON lines of either spelling."""
     fields = ", ".join(f"`{c}` string" for c in dict.fromkeys([*PLAIN, *DECODED]))
-    df = spark.read.schema(fields).json(path).withColumn("artifact", F.col("_metadata.file_path")).withColumn("artifact_sha256", F.lit(None).cast("string"))
-    return normalize_packets(df)
+    return normalize_packets(_with_hash(spark, spark.read.schema(fields).json(path), path))
 
 
 def scan_packet_export(spark: SparkSession, path: str) -> DataFrame:
     """Packets from a tab-separated decoder export with a header line."""
     fields = ", ".join(f"`{c}` string" for c in DECODED)
     df = spark.read.schema(fields).option("sep", "\t").option("header", "true").csv(path)
-    return normalize_packets(df.withColumn("artifact", F.col("_metadata.file_path")).withColumn("artifact_sha256", F.lit(None).cast("string")))
+    return normalize_packets(_with_hash(spark, df, path))
 
 
 def attempt_path(file: Column) -> Column:
