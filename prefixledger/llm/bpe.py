@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from prefixledger.llm.common import worker_object
 
 #: Bytes of a worker's cached words (each of two generations), pieces and fragments, with what an entry costs besides its text.
-WORD_BYTES = 30 << 20
-PIECE_BYTES = 16 << 20
+WORD_BYTES = 60 << 20
+PIECE_BYTES = 20 << 20
 FRAGMENT_BYTES = 4 << 20
 ENTRY_BYTES = 190
 LONGEST_CACHED = 64
