@@ -305,6 +305,61 @@ def range_block_count(start: Column, stop: Column) -> Column:
     return F.when(stop > start, count).otherwise(0).cast("bigint")
 
 
+def last_address(hi: Column, lo: Column, plen: Column) -> tuple[Column, Column]:
+    """Halves of the last address of a prefix of the common 128-bit space."""
+    ones = F.lit(-1).cast("bigint")
+    tail_hi = F.when(plen >= 64, 0).when(plen > 0, _shru(ones, plen)).otherwise(ones)
+    tail_lo = F.when(plen >= 128, 0).when(plen > 64, _shru(ones, plen - 64)).otherwise(ones)
+    sign = F.lit(ZERO_HALF)
+    fill = lambda half, tail: half.bitwiseXOR(sign).bitwiseOR(tail.cast("bigint")).bitwiseXOR(sign)
+    return fill(hi, tail_hi), fill(lo, tail_lo)
+
+
+def next_address(hi: Column, lo: Column) -> tuple[Column, Column, Column]:
+    """``(past_end, hi, lo)`` of the address after the given one; past the last address the halves stay as they are."""
+    top = F.lit(-(ZERO_HALF + 1))
+    carry, end = lo == top, (lo == top) & (hi == top)
+    next_hi = F.when(carry & ~end, hi + 1).otherwise(hi)
+    next_lo = F.when(end, lo).when(carry, F.lit(ZERO_HALF)).otherwise(lo + 1)
+    return end, next_hi, next_lo
+
+
+def _low_ones(bits: Column) -> Column:
+    """A BIGINT whose lowest 0 to 64 bits are set."""
+    return F.when(bits >= 64, F.lit(-1).cast("bigint")).otherwise(F.bitwise_not(_shl(F.lit(-1).cast("bigint"), bits)))
+
+
+def _trailing_zeros(hi: Column, lo: Column, width: Column) -> Column:
+    """Zero bits below the lowest set bit of a 128-bit value; ``width`` when no bit is set."""
+    lowest = lambda v: F.when(v == ZERO_HALF, 63).otherwise(F.bit_count(F.bitwise_not(v).bitwiseAND(v - 1)))
+    return F.when(lo != 0, lowest(lo)).when(hi != 0, lowest(hi) + 64).otherwise(width)
+
+
+def with_cover_blocks(df: DataFrame, start: str, last: str, name: str) -> DataFrame:
+    """``df`` with the number of CIDR blocks that cover the 128-bit addresses from ``start`` to ``last`` minimally.
+
+    Both columns are ``STRUCT<hi, lo>``; the count is NULL when either is. The range is split below its highest
+    differing bit p: the left part ends there and the right part begins there, so each is a sum of distinct powers
+    of two; two full parts are one block. Each step is a projection of its own, so no step is computed twice.
+    """
+    raw = lambda field: F.col(field).bitwiseXOR(F.lit(ZERO_HALF))
+    c = F.col
+    differ_hi, differ_lo = c(f"{start}.hi").bitwiseXOR(c(f"{last}.hi")), c(f"{start}.lo").bitwiseXOR(c(f"{last}.lo"))
+    bits = df.select("*", differ_hi.alias("_dh"), differ_lo.alias("_dl")).select(
+        *df.columns, F.when(c("_dh") != 0, bit_length(c("_dh")) + 63).otherwise(bit_length(c("_dl")) - 1).alias("_p"))
+    masks = bits.select("*", _low_ones(F.greatest(c("_p") - 64, F.lit(0))).alias("_mh"), _low_ones(F.greatest(c("_p"), F.lit(0))).alias("_ml"))
+    parts = masks.select(
+        *df.columns, "_p",
+        raw(f"{start}.hi").bitwiseAND(c("_mh")).alias("_lh"), raw(f"{start}.lo").bitwiseAND(c("_ml")).alias("_ll"),
+        F.bitwise_not(raw(f"{last}.hi")).bitwiseAND(c("_mh")).alias("_gh"), F.bitwise_not(raw(f"{last}.lo")).bitwiseAND(c("_ml")).alias("_gl"),
+    )
+    whole = (c("_lh") == 0) & (c("_ll") == 0) & (c("_gh") == 0) & (c("_gl") == 0)
+    # The bits of the right part are p less those it lacks.
+    part = lambda hi, lo: c("_p") + 1 - F.bit_count(hi) - F.bit_count(lo) - _trailing_zeros(hi, lo, c("_p"))
+    count = F.when((c("_p") < 0) | whole, 1).otherwise(part(c("_lh"), c("_ll")) + part(c("_gh"), c("_gl"))).cast("bigint")
+    return parts.select(*df.columns, F.when(c("_p").isNotNull(), count).alias(name))
+
+
 # Special-purpose ranges that are not globally reachable, and the
 # narrower ranges inside them that are (IANA special-purpose address registry).
 NOT_GLOBAL_V4 = [

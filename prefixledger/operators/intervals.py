@@ -2,13 +2,11 @@
 
 Prefixes only nest, so overlap is containment and containment is an equality of
 masked network addresses. Nothing here sorts a whole snapshot or needs a window
-over more rows than a 16-bit slice of the address space can hold.
+over more ends of prefixes than a 16-bit slice of the address space can hold.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,57 +64,63 @@ def drop_covered(prefixes: DataFrame, on: list[str]) -> DataFrame:
     return distinct.join(covered, [*on, *PREFIX], "left_anti")
 
 
-def _chunk(tier: int) -> Column:
-    """The 16 address bits number ``16*tier`` to ``16*tier+15`` as an INT."""
-    half = F.col("hi") if tier < 4 else F.col("lo")
-    bits = half.bitwiseXOR(F.lit(A.ZERO_HALF))
-    return F.shiftrightunsigned(bits, 48 - 16 * (tier % 4)).bitwiseAND(0xFFFF)
+def _end(half: str, low: str) -> Column:
+    return F.struct(F.col(half).alias("hi"), F.col(low).alias("lo"))
 
 
 def collapse(prefixes: DataFrame, on: list[str], *, disjoint: bool = False, longest: int = 128) -> DataFrame:
     """The smallest CIDR cover of each group as maximal runs: ``on, family, blocks``.
 
-    The space is cut into tiers of 16 bits. Within one /48, /32, /16 or /0 bucket
-    at most 65,536 disjoint prefixes can start, so every window partition is
-    bounded however many rows a group holds. A bucket that is covered from end to
-    end becomes one prefix of the tier above; every other run is counted in
-    closed form. ``longest`` is the longest IPv6 length that can occur (64 after the
-    strict checks), which sets the number of tiers.
+    A prefix opens at its first address and closes behind its last one. Where one closes and another opens the
+    two cancel, and what remains alternates between the openings and closings of maximal runs. Buckets of the
+    address space pair them: the finest hold at most 65,536 prefixes, and each coarser level (16 bits shorter)
+    sees one row for each finer bucket, with the closing before its first and the opening after its last pair.
+    So no window partition exceeds 65,536 rows (131,072 ends at the finest level) however many rows a group
+    holds, and the input is read once. A run's blocks follow from its two ends in closed form.
 
-    The input is read once per tier, so pass a stored table or a cached frame.
+    ``longest`` is the longest IPv6 length that can occur (64 after the strict checks), which sets the number of
+    levels; a longer prefix is counted rightly too, but widens the finest buckets.
     """
     base = prefixes.select(*on, *PREFIX).distinct() if disjoint else drop_covered(prefixes, on)
-    top_tier = (longest + 15) // 16 - 1
-    tier_of = F.floor((F.col("plen") + 15) / 16).cast("int") - 1
-    counts: list[DataFrame] = []
-    promoted: DataFrame | None = None
-    for tier in range(top_tier, -1, -1):
-        rows = base.filter(tier_of == tier)
-        if promoted is not None:
-            rows = rows.unionByName(promoted)
-        start = _chunk(tier)
-        size = F.call_function("shiftleft", F.lit(1), F.lit(16 * (tier + 1)) - F.col("plen"))
-        local = rows.select(
-            *on,
-            "family",
-            A.mask_half_hi("hi", str(16 * tier)).alias("hi"),
-            A.mask_half_lo("lo", str(16 * tier)).alias("lo"),
-            start.alias("start"),
-            (start + size).alias("stop"),
-        )
-        bucket = [*on, "family", "hi", "lo"]
-        ordered = Window.partitionBy(*bucket).orderBy("start")
-        marked = local.withColumn(
-            "is_start", F.coalesce(F.lag("stop").over(ordered) != F.col("start"), F.lit(True)).cast("int")
-        ).withColumn("run", F.sum("is_start").over(ordered))
-        runs = marked.groupBy(*bucket, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-        whole = (F.col("start") == 0) & (F.col("stop") == 65536)
-        partial = runs.filter(~whole) if tier else runs
-        counts.append(
-            partial.select(*on, "family", A.range_block_count(F.col("start"), F.col("stop")).alias("blocks"))
+    base = base.filter(F.col("family").isNotNull())
+    finest = max((longest + 15) // 16 * 16 - 16, 16)
+    group = [*on, "family"]
+
+    def with_bucket(df: DataFrame, bits: int) -> DataFrame:
+        # An IPv4 address has 32 bits, so its buckets are never finer than 16 bits.
+        sized = df.withColumn("bits", F.when(F.col("family") == 4, min(bits, 16)).otherwise(bits))
+        return sized.select(*df.columns, A.mask_half_hi("hi", "bits").alias("b_hi"), A.mask_half_lo("lo", "bits").alias("b_lo"))
+
+    last_hi, last_lo = A.last_address(F.col("hi"), F.col("lo"), F.col("plen"))
+    closed = base.withColumn("z", F.struct(last_hi.alias("hi"), last_lo.alias("lo")))
+    past, next_hi, next_lo = A.next_address(F.col("z.hi"), F.col("z.lo"))
+    none = F.lit(None).cast("struct<hi:bigint,lo:bigint>")
+    point = lambda end, hi, lo, step, z: F.struct(
+        end.alias("past_end"), hi.alias("hi"), lo.alias("lo"), F.lit(step).alias("step"), z.alias("z"))
+    ends = F.array(point(F.lit(False), F.col("hi"), F.col("lo"), 1, none), point(past, next_hi, next_lo, -1, F.col("z")))
+    points = with_bucket(closed.select(*group, F.inline(ends)), finest)
+    cell = [*group, "b_hi", "b_lo"]
+    # One exchange by bucket serves the cancelling aggregation, the window and the bucket's own row.
+    left = (
+        points.repartition(*cell).groupBy(*cell, "past_end", "hi", "lo")
+        .agg(F.sum("step").alias("step"), F.max("z").alias("z")).filter("step <> 0")
+    )
+    order = F.struct("past_end", "hi", "lo")
+    following = F.lead("z").over(Window.partitionBy(*cell).orderBy("past_end", "hi", "lo"))
+    ordered = left.withColumn("following", following).withColumn("opening", F.when(F.col("step") > 0, _end("hi", "lo")))
+    paired = A.with_cover_blocks(ordered, "opening", "following", "blocks")
+    rows = paired.groupBy(*cell).agg(
+        F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"),
+        F.min_by(F.when(F.col("step") < 0, F.col("z")), order).alias("closing"),
+        F.max_by("opening", order).alias("opening"),
+    )
+    for bits in range(finest - 16, -1, -16):
+        inner = with_bucket(rows.select(*group, F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"), "blocks", "closing", "opening"), bits)
+        following = F.lead("closing").over(Window.partitionBy(*cell).orderBy("hi", "lo"))
+        joined = A.with_cover_blocks(inner.withColumn("following", following), "opening", "following", "joined")
+        rows = joined.groupBy(*cell).agg(
+            F.sum(F.col("blocks") + F.coalesce("joined", F.lit(0))).alias("blocks"),
+            F.min_by("closing", _end("hi", "lo")).alias("closing"),
+            F.max_by("opening", _end("hi", "lo")).alias("opening"),
         )
-        if tier:
-            promoted = runs.filter(whole).select(*on, "family", F.lit(16 * tier).alias("plen"), "hi", "lo")
-    counts.append(base.filter(F.col("plen") == 0).select(*on, "family", F.lit(1).cast("bigint").alias("blocks")))
-    every = reduce(DataFrame.unionByName, counts)
-    return every.groupBy(*on, "family").agg(F.sum("blocks").alias("blocks"))
+    return rows.select(*group, "blocks")
