@@ -28,6 +28,14 @@ def _cidr(family: str, s: str, plen: str) -> str:
   ELSE ':' || lower(to_hex((({s}) >> 16) & 65535)) || ':' || lower(to_hex(({s}) & 65535)) END || '::/' || ({plen})::VARCHAR END"""
 
 
+def _v4(b: str, offset: str) -> str:
+    return f"CASE WHEN {b} < {D.WIDE_SLOTS} THEN {D.V4_BASE} + {b} * 2048 + {offset} ELSE {D.NARROW_BASE} + ({b} - {D.WIDE_SLOTS}) * 8 + {offset} // 256 END"
+
+
+def _v4_len(b: str, length: str) -> str:
+    return f"({length} + CASE WHEN {b} < {D.WIDE_SLOTS} THEN 0 ELSE 8 END)"
+
+
 # IPv4 positions are addresses, IPv6 positions are /64 blocks.
 CATALOGUE = f"""
 people AS (
@@ -39,9 +47,9 @@ shape(day, kase, off, len, suffix) AS (VALUES {_VARIANTS}),
 days(day, snapshot_date) AS (VALUES {_DAYS}),
 cat AS (
   SELECT snapshot_date, day, family, b, country, region, segment || suffix AS city,
-         CASE family WHEN 4 THEN len ELSE len + 40 END AS plen,
-         CASE family WHEN 4 THEN {D.V4_BASE} + b * 2048 + off ELSE {D.V6_BASE} + b * 8 + off // 256 END AS s,
-         CASE family WHEN 4 THEN 1::BIGINT << (32 - len) ELSE 1::BIGINT << (24 - len) END AS n
+         CASE family WHEN 4 THEN {_v4_len('b', 'len')} ELSE len + 40 END AS plen,
+         CASE family WHEN 4 THEN {_v4('b', 'off')} ELSE {D.V6_BASE} + b * 8 + off // 256 END AS s,
+         CASE family WHEN 4 THEN 1::BIGINT << (32 - {_v4_len('b', 'len')}) ELSE 1::BIGINT << (24 - len) END AS n
   FROM people JOIN shape ON b % 10 = kase JOIN days USING (day) CROSS JOIN families
   WHERE family = 6 OR b < {D.V4_SLOTS})"""
 
@@ -53,9 +61,9 @@ raw AS (
   WHERE b % x.m = x.r AND (family = 6 OR b < {D.V4_SLOTS})),
 len AS (
   SELECT b, family, country, region, city, b % 50 = 49 AS bad,
-         CASE family WHEN 4 THEN len ELSE len + 40 END AS plen,
-         CASE family WHEN 4 THEN {D.V4_BASE} + b * 2048 + off ELSE {D.V6_BASE} + b * 8 + off // 256 END AS s,
-         CASE family WHEN 4 THEN 1::BIGINT << (32 - len) ELSE 1::BIGINT << (24 - len) END AS n
+         CASE family WHEN 4 THEN {_v4_len('b', 'len')} ELSE len + 40 END AS plen,
+         CASE family WHEN 4 THEN {_v4('b', 'off')} ELSE {D.V6_BASE} + b * 8 + off // 256 END AS s,
+         CASE family WHEN 4 THEN 1::BIGINT << (32 - {_v4_len('b', 'len')}) ELSE 1::BIGINT << (24 - len) END AS n
   FROM raw)"""
 
 OVERLAY = f"""{CATALOGUE},
@@ -103,14 +111,14 @@ series AS (
 ROUTES = f"""
 routed AS (
   SELECT DISTINCT family, {D.FIRST_ASN} + (b // 32) % (SELECT count(*) FROM supplier) AS asn,
-    CASE family WHEN 4 THEN 16 ELSE 56 END AS plen,
-    CASE family WHEN 4 THEN {D.V4_BASE} + (b // 32) * 65536 ELSE {D.V6_BASE} + (b // 32) * 256 END AS s,
-    CASE family WHEN 4 THEN 65536 ELSE 256 END AS n
-  FROM people CROSS JOIN families WHERE (b // 32) % 11 <> 10
+    CASE family WHEN 4 THEN {_v4_len('b', '16')} ELSE 56 END AS plen,
+    CASE family WHEN 4 THEN {_v4('(b // 32 * 32)', '0')} ELSE {D.V6_BASE} + (b // 32) * 256 END AS s,
+    CASE family WHEN 4 THEN 1::BIGINT << (32 - {_v4_len('b', '16')}) ELSE 256 END AS n
+  FROM people CROSS JOIN families WHERE (b // 32) % 11 <> 10 AND (family = 6 OR b < {D.V4_SLOTS})
   UNION ALL
-  SELECT family, {D.FIRST_ASN} + b % (SELECT count(*) FROM supplier), CASE family WHEN 4 THEN 23 ELSE 63 END,
-    CASE family WHEN 4 THEN {D.V4_BASE} + b * 2048 ELSE {D.V6_BASE} + b * 8 END, CASE family WHEN 4 THEN 512 ELSE 2 END
-  FROM people CROSS JOIN families WHERE b % 64 = 7),
+  SELECT family, {D.FIRST_ASN} + b % (SELECT count(*) FROM supplier), CASE family WHEN 4 THEN {_v4_len('b', '23')} ELSE 63 END,
+    CASE family WHEN 4 THEN {_v4('b', '0')} ELSE {D.V6_BASE} + b * 8 END, CASE family WHEN 4 THEN 1::BIGINT << (32 - {_v4_len('b', '23')}) ELSE 2 END
+  FROM people CROSS JOIN families WHERE b % 64 = 7 AND (family = 6 OR b < {D.V4_SLOTS})),
 names AS (
   SELECT {D.FIRST_ASN} + s_suppkey AS asn,
     CASE s_suppkey % 4 WHEN 0 THEN 'Akamai International' WHEN 1 THEN 'Cloudflare, Inc.' WHEN 2 THEN 'Fastly' ELSE s_name END AS org,
@@ -277,11 +285,12 @@ FROM ops WHERE outcome IS NOT NULL""",
 
 # Evidence: the broken piece of each attempt is known from its case number, so the decision follows from the case
 # and from plain joins to the catalogue and the origins.
+_SLOT = f"(user_id % least((SELECT count(*) FROM customer), {D.V4_SLOTS}))"
 ATTEMPTS = f"""{CATALOGUE},
 att AS (
   SELECT event_id AS e, 'r' || event_id AS run_id, 'day/' || event_id AS attempt_path, event_id % 12 AS kase, ts, user_id,
     (event_id // 12) % 2 = 0 AS udp, (event_id // 24) % 2 <> 0 AS pinned,
-    {D.V4_BASE} + (user_id % least((SELECT count(*) FROM customer), {D.V4_SLOTS})) * 2048 + CASE WHEN event_id % 12 = 7 THEN 1500 ELSE event_id % 1024 END AS ip,
+    {_v4(_SLOT, '(CASE WHEN event_id % 12 = 7 THEN 1500 ELSE event_id % 1024 END)')} AS ip,
     1024 + event_id % 60000 AS port, (ts + INTERVAL 5 SECOND)::DATE AS day
   FROM events),
 ip AS (SELECT *, (ip >> 24)::VARCHAR || '.' || ((ip >> 16) & 255) || '.' || ((ip >> 8) & 255) || '.' || (ip & 255) AS remote_ip FROM att),
@@ -500,3 +509,45 @@ per AS (SELECT condition, count(*) AS attempts FROM z GROUP BY 1)
 SELECT condition, acceptance, classification, count(*) AS slots, any_value(attempts) AS attempts FROM latest JOIN per USING (condition) WHERE rn = 1 GROUP BY ALL"""
 
 ORACLES = {**CATALOGUE_SQL, **PAIR_SQL, **OTHER_SQL}
+
+_SLOTS = """
+WITH r AS (SELECT o_custkey AS c, o_orderkey AS k, (o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % 2 AS seen FROM orders),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY c ORDER BY k % 5 DESC, k DESC) = 1)"""
+
+ORACLES |= {
+    "source_list_check": f"""
+WITH l AS (SELECT c_custkey AS p, c_custkey % 23 = 0 AS bad, c_custkey % 37 = 0 AS half, c_custkey % 29 = 0 AS inner_net,
+    CASE WHEN c_custkey % 29 = 0 THEN {D.V4_BASE} + c_custkey % 65536 * 256
+      ELSE {D.V4_BASE + 2**24} + (c_custkey - CASE WHEN c_custkey % 31 = 0 THEN 2 ELSE 0 END) % 65536 * 256 END AS s FROM customer),
+t AS (SELECT *, p || ':' || CASE WHEN bad THEN 'x' || p ELSE (s >> 24) || '.' || ((s >> 16) & 255) || '.' || ((s >> 8) & 255) || '.' || (s & 255)
+    || CASE WHEN half THEN '/25' ELSE '/24' END END AS key FROM l)
+SELECT 'malformed_prefix' AS rule, key FROM t WHERE bad
+UNION ALL SELECT 'not_ipv4_24', key FROM t WHERE NOT bad AND half
+UNION ALL SELECT 'not_global', key FROM t WHERE NOT bad AND NOT half AND inner_net
+UNION ALL SELECT 'not_increasing', b.key FROM t a JOIN t b ON b.p = a.p + 1 WHERE NOT a.bad AND NOT b.bad AND b.s <= a.s""",
+    "stored_series_check": """
+WITH r AS (SELECT o_orderkey AS k, DATE '2026-01-01' + ((o_orderkey // 2) * 4 % 2900000)::INTEGER AS start,
+    CASE WHEN o_orderkey % 47 = 0 THEN 'v5' WHEN o_orderkey % 2 = 0 OR o_orderkey % 53 = 0 THEN 'v4' ELSE 'v6' END AS family,
+    CASE WHEN o_orderkey % 41 = 0 THEN -1 WHEN o_orderkey % 43 = 0 THEN 3 ELSE 2 END AS days FROM orders),
+t AS (SELECT *, start + 2 AS stop, family || ' ' || (start + 2)::DATE AS key FROM r)
+SELECT 'invalid_value' AS rule, key FROM t WHERE k % 59 = 0
+UNION ALL SELECT 'invalid_family', key FROM t WHERE family = 'v5'
+UNION ALL SELECT 'invalid_interval', key FROM t WHERE days <> 2
+UNION ALL SELECT 'negative_count', key FROM t WHERE k % 61 = 0 AND k > 0
+UNION ALL SELECT 'inconsistent_interval', stop::DATE::VARCHAR FROM t GROUP BY stop HAVING count(DISTINCT days) > 1
+UNION ALL SELECT 'duplicate_row', any_value(key) FROM t GROUP BY family, stop HAVING count(*) > 1""",
+    "slot_retries": f"""{_SLOTS}
+SELECT 's' || c AS slot_id, k % 5 AS retry_number, CASE seen WHEN 0 THEN 'udp_permitted' ELSE 'udp_blocked' END AS condition,
+  CASE WHEN k % 3 = 0 THEN 'accepted' ELSE 'excluded' END AS acceptance, 'class' || k % 4 AS classification FROM best""",
+    "slot_completeness": f"""{_SLOTS}
+SELECT count(*) AS planned_total, count(b.c) AS finalized_slot_count, count(*) FILTER (b.c IS NULL) AS missing,
+  bool_and(coalesce(seen = c_custkey % 2, false)) AS exact_condition_order,
+  count(*) FILTER (b.c IS NULL) = 0 AND bool_and(coalesce(seen = c_custkey % 2, false)) AS final_complete
+FROM customer LEFT JOIN best b ON b.c = c_custkey""",
+    "host_names": """
+WITH a AS (SELECT event_id AS e, user_id AS u FROM events WHERE event_id % 9 <> 0 AND user_id % 300 < 256)
+SELECT DISTINCT '192.0.' || e % 199 || '.' || u % 300 AS address, h AS hostname, h IN ('q3', 'n5') AS is_fallback
+FROM (SELECT e, u, unnest(['q' || e % 17, 'n' || u % 13]) AS h FROM a)""",
+    "packet_counters": """
+SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN event_id % 1000 END AS counter, event_id % 4 IN (0, 2) AS present FROM events""",
+}

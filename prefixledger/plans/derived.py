@@ -16,8 +16,11 @@ DAYS = ["2026-01-01", "2026-01-02", "2026-01-04"]
 V4_BASE = 167772160
 V6_BASE = 0x20010DB8 << 32
 FIRST_ASN = 64500
-# Slots of 2,048 IPv4 addresses that exist above the base; a larger customer table continues in IPv6 only.
-V4_SLOTS = (2**32 - V4_BASE) // 2048
+# Customers below WIDE_SLOTS own 2,048 IPv4 addresses each; later ones own 8 above them, where the same layout has
+# prefixes 8 bits longer. The address space ends after V4_SLOTS customers; from there on there is IPv6 only.
+WIDE_SLOTS = 2**20
+NARROW_BASE = V4_BASE + WIDE_SLOTS * 2048
+V4_SLOTS = WIDE_SLOTS + (2**32 - NARROW_BASE) // 8
 
 
 def variants() -> list[tuple[int, int, int, int, str]]:
@@ -59,8 +62,15 @@ def _labelled_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _v4_address(slot: Column, offset: Column) -> Column:
+    """Address at ``offset`` of a slot's 2,048; narrow slots hold one address for each 256 of them."""
+    narrow = F.lit(NARROW_BASE) + (slot - WIDE_SLOTS) * 8 + F.shiftright(offset, 8)
+    return F.when(slot < WIDE_SLOTS, F.lit(V4_BASE) + slot * 2048 + offset).otherwise(narrow)
+
+
 def _v4_cidr(offset: Column, plen: Column) -> Column:
-    return F.concat(A.v4_text(F.lit(V4_BASE) + F.col("b") * 2048 + offset), F.lit("/"), plen.cast("string"))
+    length = F.when(F.col("b") < WIDE_SLOTS, plen).otherwise(plen + 8)
+    return F.concat(A.v4_text(_v4_address(F.col("b"), offset)), F.lit("/"), length.cast("string"))
 
 
 def _v6_cidr(offset: Column, plen: Column) -> Column:
@@ -179,7 +189,7 @@ def _attempt_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("day/"), e.cast("string")).alias("attempt_path"),
         F.when(udp, "udp").otherwise("tcp").alias("transport"),
         F.when(udp, "HTTP/3.0").otherwise("HTTP/2.0").alias("proto"),
-        A.v4_text(F.lit(V4_BASE) + slot * 2048 + offset).alias("remote_ip"),
+        A.v4_text(_v4_address(slot, offset)).alias("remote_ip"),
         (F.lit(1024) + e % 60000).cast("int").alias("remote_port"),
         (F.unix_micros("ts") / 1000000).alias("epoch"),
         F.when(F.floor(e / 24) % 2 == 0, "unpinned").otherwise("pinned").alias("grp"),
@@ -476,3 +486,62 @@ def plan_attempts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         (F.when(key % 40 == 11, key + 10).otherwise(key) * 10 + F.col("retry_number")).alias("started_at"),
     )
     return attempts_, slots
+
+
+def numbered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source-block list of a line per customer with all its faults: malformed, /25, private, descending and repeated lines."""
+    k = F.col("c_custkey")
+    public = F.lit(V4_BASE + 2**24) + (k + F.when(k % 31 == 0, -2).otherwise(0)) % 65536 * 256
+    net = F.when(k % 29 == 0, F.lit(V4_BASE) + k % 65536 * 256).otherwise(public)
+    text = F.when(k % 23 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(
+        F.concat(A.v4_text(net), F.when(k % 37 == 0, "/25").otherwise("/24")))
+    return A.with_prefix(table(spark, sf_dir, "customer").select(k.alias("position"), text.alias("prefix")), "prefix")
+
+
+def stored_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a stored churn series, one per order: an end date per customer key, with every kind of fault."""
+    k = F.col("o_orderkey")
+    start = F.date_add(F.lit("2026-01-01").cast("date"), F.floor(k / 2).cast("int") * 4 % 2900000)
+    days = F.when(k % 41 == 0, -1).otherwise(F.when(k % 43 == 0, 3).otherwise(2))
+    return table(spark, sf_dir, "orders").select(
+        F.when(k % 47 == 0, "v5").when(k % 2 == 0, "v4").otherwise(F.when(k % 53 == 0, "v4").otherwise("v6")).alias("family"),
+        start.alias("date_from"), F.date_add(start, 2).alias("date_to"), days.alias("interval_days"),
+        F.when(k % 59 == 0, F.lit(None)).otherwise(k).cast("bigint").alias("added_pfx"), F.when(k % 61 == 0, -k).otherwise(k).alias("removed_pfx"),
+        F.lit(0).cast("bigint").alias("reassign_count"),
+    )
+
+
+def slot_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Results of retried slots (a row per order, a slot per customer of it) and the planned slots (all customers)."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    condition = lambda key: F.when(key % 2 == 0, "udp_permitted").otherwise("udp_blocked")
+    results = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("s"), c.cast("string")).alias("slot_id"), (k % 5).alias("retry_number"), k.alias("_ordinal"),
+        F.when(k % 7 == 0, condition(c + 1)).otherwise(condition(c)).alias("condition"),
+        F.when(k % 3 == 0, "accepted").otherwise("excluded").alias("acceptance"), F.concat(F.lit("class"), (k % 4).cast("string")).alias("classification"),
+        (k % 2 == 0).alias("response_evidence_preserved"),
+    )
+    key = F.col("c_custkey")
+    return results, table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), key.cast("string")).alias("slot_id"), condition(key).alias("condition"))
+
+
+def host_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of host names, one per event: shared addresses, other record types, malformed addresses."""
+    e = F.col("event_id")
+    address = F.concat(F.lit("192.0."), (e % 199).cast("string"), F.lit("."), (F.col("user_id") % 300).cast("string"))
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("q"), (e % 17).cast("string")).alias("query_name"), F.concat(F.lit("n"), (F.col("user_id") % 13).cast("string")).alias("name"),
+        F.when(e % 9 == 0, "AAAA").otherwise("A").alias("type"), address.alias("value"),
+    )
+
+
+def counter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule listings and evidence cells, one per event."""
+    e, n = F.col("event_id"), (F.col("event_id") % 1000).cast("string")
+    listing = (
+        F.when(e % 5 == 0, F.concat(F.lit("[ Evaluations: 7  Packets: "), n, F.lit("  Bytes: 9 ]")))
+        .when(e % 5 == 1, F.concat(F.lit('{"rule": {"packets": '), n, F.lit("}}")))
+        .when(e % 5 == 2, F.concat(F.lit("packets="), n, F.lit(" packets="), n, F.lit(" packets=5000")))
+        .when(e % 5 == 3, F.lit("no counter")))
+    cell = F.when(e % 4 == 0, F.concat(F.lit("["), n, F.lit("]"))).when(e % 4 == 1, F.lit("{ }")).when(e % 4 == 2, F.concat(F.lit("{\"a\": "), n, F.lit("}")))
+    return table(spark, sf_dir, "events").select("event_id", listing.alias("listing"), cell.alias("cell"))

@@ -423,3 +423,36 @@ def required_runs(spark, sf):
 @query
 def pending_addresses(spark, sf):
     return _text(campaign.pending_addresses(_pairs(spark, sf)), "date")
+
+
+@query
+def source_list_check(spark, sf):
+    return quality.source_list_violations(cut_lineage(D.numbered_blocks(spark, sf))).select("rule", "key")
+
+
+@query
+def stored_series_check(spark, sf):
+    return quality.churn_series_violations(D.stored_series(spark, sf)).select("rule", "key")
+
+
+@query
+def slot_retries(spark, sf):
+    results, _ = D.slot_results(spark, sf)
+    return summaries.latest_retry(results, ["slot_id"]).select("slot_id", "retry_number", "condition", "acceptance", "classification")
+
+
+@query
+def slot_completeness(spark, sf):
+    return summaries.series_completeness(*D.slot_results(spark, sf))
+
+
+@query
+def host_names(spark, sf):
+    return enumeration.address_names(D.host_answers(spark, sf), ["q3", "n5"])
+
+
+@query
+def packet_counters(spark, sf):
+    return D.counter_texts(spark, sf).select(
+        "event_id", V.single_packet_counter(F.col("listing")).alias("counter"), V.structured_present(F.col("cell")).alias("present")
+    )

@@ -1,16 +1,22 @@
-"""Time tiles, file hashes of any size, absolute line numbers, ranged plan windows and spread malformed rows, against plain Python."""
+"""Time tiles, file hashes of any size, absolute line numbers, ranged plan windows spread malformed rows,
+ordered sinks and the address layout of large tables, against plain Python or DuckDB."""
 
 import gzip
 import hashlib
+import ipaddress
 import json
+import os
 import random
+import shutil
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from prefixledger.functions import address as A
 from prefixledger.operators import campaign, manifests, routing, time_tiles
-from prefixledger.sources import evidence
+from prefixledger.plans import derived as D
+from prefixledger.sources import evidence, sinks
 
 
 def test_covers_are_exact_and_short(spark):
@@ -115,3 +121,64 @@ def test_malformed_rows_pass_the_route_join_spread_out(spark):
     out = routing.attribute(catalogue, routes)
     assert out.filter("outcome is null").count() == 900
     assert {(r.asn, r["count"]) for r in out.filter("outcome = 'matched'").groupBy("asn").count().collect()} == {(64500 + b, sum(1 for k in range(900, 1000) if (k % 256 >= 128) == bool(b))) for b in (0, 1)} - {(64501, 0), (64500, 0)}
+
+
+def _lines(folder):
+    files = sorted(p for p in os.listdir(folder) if p.startswith("part-"))
+    return [line for f in files for line in open(os.path.join(folder, f)).read().splitlines()], len(files)
+
+
+def test_address_files_are_in_numeric_order(spark, tmp_path):
+    rng = random.Random(5)
+    v4 = [str(ipaddress.ip_address(rng.getrandbits(32))) for _ in range(2000)]
+    v6 = [str(ipaddress.ip_address(rng.getrandbits(128))) for _ in range(500)]
+    df = spark.createDataFrame([(a,) for a in v4 + v6 + v4[:50] + [None]], "answer_ip string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_addresses(df, str(tmp_path / "a"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got, files = _lines(tmp_path / "a")
+    assert files > 1
+    assert got == sorted(set(v4), key=ipaddress.ip_address) + sorted(set(v6), key=ipaddress.ip_address)
+    sinks.write_addresses(df.limit(0), str(tmp_path / "none"))
+    assert _lines(tmp_path / "none")[0] == []
+    with pytest.raises(Exception, match="not an address: 10.0.0.0/8"):
+        sinks.write_addresses(spark.createDataFrame([("10.0.0.0/8",)], "a string"), str(tmp_path / "bad"))
+
+
+def test_csv_order_and_sorted_keys(spark, tmp_path):
+    schema = "date_from string, family int, addresses bigint, from_country string, from_region string, from_city string, to_country string, to_region string, to_city string, cell struct<z:int,a:array<struct<y:int,b:map<string,int>>>>"
+    rng = random.Random(6)
+    rows = [("d", rng.choice((4, 6)), rng.randrange(9), rng.choice("ab"), "r", str(i), "c", "r", "c", (1, [(2, {"q": 1, "c": 2})])) for i in range(300)]
+    sinks.write_csv(spark.createDataFrame(rows, schema), str(tmp_path / "t"), ["family", "addresses", "from_country", "from_city", "cell"], order=sinks.TRANSITION_ORDER)
+    got = [tuple(r) for r in spark.createDataFrame([(x,) for x in _lines(tmp_path / "t")[0] if not x.startswith("family,")], "v string")
+           .selectExpr("from_csv(v, 'family int, addresses int, c string, city string, cell string', map('escape', '\"')) as r").select("r.*").collect()]
+    want = sorted(((r[1], r[2], r[3], r[5]) for r in rows), key=lambda r: (r[0], -r[1], r[2], r[3]))
+    assert [r[:4] for r in got] == want
+    assert {r[4] for r in got} == {'{"a":[{"b":{"c":2,"q":1},"y":2}],"z":1}'}
+    empty = spark.createDataFrame([(None,), ((None, [None]),)], "cell struct<z:int,a:array<struct<y:int,b:map<string,int>>>>")
+    assert {r.cell for r in sinks.flat(empty, ["cell"]).collect()} == {"", '{"a":[null]}'}
+
+
+def test_customers_beyond_the_wide_slots_keep_their_ipv4_rows(spark, tmp_path):
+    import duckdb
+    import oracle_queries as O
+
+    for name in ("nation", "region", "supplier"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    edge = [D.WIDE_SLOTS + d for d in range(-40, 80)] + [D.V4_SLOTS + d for d in range(-8, 8)]
+    spark.createDataFrame([(k, k % 25, "BUILDING") for k in edge], "c_custkey bigint, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    for name in ("nation", "region", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    place = F.when(F.col("family") == 4, A.v4_from_half(F.col("hi"))).otherwise(F.col("hi").bitwiseXOR(F.lit(A.ZERO_HALF)))
+    rows = lambda df: Counter((r.family, r.plen, r.s) for r in df.select("family", "plen", place.alias("s")).collect())
+    days = rows(D.catalogue(spark, str(tmp_path)))
+    assert days == Counter(con.execute(f"WITH {O.CATALOGUE} SELECT family, plen, s FROM cat").fetchall())
+    assert rows(D.routes(spark, str(tmp_path))) == Counter(con.execute(f"WITH {O.CATALOGUE}, {O.ROUTES} SELECT family, plen, s FROM routed").fetchall())
+    held = Counter((r.family, r.b) for r in D.lenient_catalogue(spark, str(tmp_path)).select("family", F.col("_ordinal").alias("b")).distinct().collect())
+    assert all(held[(4, k)] == (k < D.V4_SLOTS) for k in edge if k % 50 != 49)
+    first = D.catalogue(spark, str(tmp_path)).filter((F.col("snapshot_date") == D.DAYS[0]) & (F.col("family") == 4))
+    assert first.count() == first.select("hi", "plen").distinct().count() == sum(k < D.V4_SLOTS for k in edge)
