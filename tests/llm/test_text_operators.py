@@ -207,22 +207,70 @@ def test_quality_statistics(docs, odd):
     assert quality_rules.judge(odd.limit(0)).count() == 0
 
 
-def _mcd(x, support=quality_rules.SUPPORT, steps=quality_rules.STEPS):
-    """The same concentration steps in numpy on integer features."""
-    floors, s = np.diag(np.array(quality_rules.FLOORS) ** 2), quality_rules.SCALE
+def _mcd(x, support=quality_rules.SUPPORT):
+    """Robust estimate of integer features in numpy: (rows, estimate, uncorrelated start), an estimate being centre and covariance."""
+    q, n = quality_rules, len(x)
+    floors, s = np.diag(np.array(q.FLOORS) ** 2), q.SCALE
     m = np.median(x, axis=0)
     d = np.median(np.floor(np.abs(x - m)), axis=0)
-    m, cov = m / s, np.diag((d * 1.4826 / s) ** 2) + floors
-    for _ in range(steps):
-        z = np.linalg.solve(np.linalg.cholesky(cov), (x / s - m).T)
-        bins = np.floor(np.log2((z**2).sum(axis=0) + 1) * 16)
-        h = x[bins <= np.ceil(np.percentile(bins, 100 * support))]
-        m = h.mean(axis=0) / s
-        cov = (h.T @ h / len(h) - np.outer(h.mean(axis=0), h.mean(axis=0))) * quality_rules.consistency(support) / s**2 + floors
-    z = np.linalg.solve(np.linalg.cholesky(cov), (x / s - m).T)
+    sd = np.sqrt((d * 1.4826 / s) ** 2 + np.array(q.FLOORS) ** 2)
+    m = m / s
+    z = (x / s - m) / sd
+    lengths = np.linalg.norm(z, axis=1, keepdims=True)
+    starts = [np.diag(sd**2)]
+    for y in (np.tanh(z), np.divide(z, lengths, out=np.zeros_like(z), where=lengths > 0)):
+        t = np.floor(np.abs(y[:, :, None] * y[:, None, :] * 2**20) + 0.5) * np.sign(y[:, :, None] * y[:, None, :])
+        t = t.sum(axis=0)
+        own = np.sqrt(np.outer(np.diag(t), np.diag(t)))
+        r = np.divide(t, own, out=np.zeros_like(t), where=own > 0) * 0.9
+        np.fill_diagonal(r, 1.0)
+        starts.append(r * np.outer(sd, sd))
+
+    def step(model):
+        m, cov, det = model
+        d = _squared(x, m, cov)
+        bins, h = np.floor(np.log2(d + 1) * q.BINS), int(np.ceil(n * support))
+        reach = np.sort(bins)[h - 1]
+        weight = np.where(bins < reach, 1.0, np.where(bins == reach, (h - (bins < reach).sum()) / (bins == reach).sum(), 0.0))
+        mean = (weight[:, None] * x).sum(axis=0) / h
+        new = ((weight[:, None] * x).T @ x / h - np.outer(mean, mean)) * q.consistency(support) / s**2 + floors
+        return (mean / s, new, np.linalg.slogdet(new)[1]) if det is None or np.linalg.slogdet(new)[1] < det else model
+
+    models = [(m, c, None) for c in starts]
+    for _ in range(q.TRIAL_STEPS):
+        models = [step(k) for k in models]
+    best = min(models, key=lambda k: k[2])
+    for _ in range(q.STEPS):
+        best = step(best)
+    return n, best[:2], (m, starts[0])
+
+
+def _squared(x, m, cov):
+    z = np.linalg.solve(np.linalg.cholesky(cov), (x / quality_rules.SCALE - m).T)
     return (z**2).sum(axis=0)
 
 
+def _expected_distances(rows):
+    """Distance of every (key, text, lang, source): its pair's estimate drawn towards the language's and the table's."""
+    x = {}
+    for key, text, _, _ in rows:
+        n, chars, symbols, lines, repeats = _statistics(text)
+        x[key] = [np.floor(v * quality_rules.SCALE + 0.5) for v in (np.log((chars + 1.0) / (n + 1.0)), (symbols / n) ** 0.5, (lines / n) ** 0.5, (repeats / n) ** 0.5)]
+
+    def drawn(members, prior):
+        n, own, start = _mcd(np.array([x[k] for k in members]))
+        w = n / (n + quality_rules.PRIOR_ROWS)
+        return tuple(w * a + (1 - w) * b for a, b in zip(own, prior or start, strict=True))
+
+    table, out = drawn([r[0] for r in rows], None), {}
+    for lang in {r[2] for r in rows}:
+        of_lang = drawn([r[0] for r in rows if r[2] == lang], table)
+        for source in {r[3] for r in rows if r[2] == lang}:
+            members = [r[0] for r in rows if r[2:] == (lang, source)]
+            out |= dict(zip(members, _squared(np.array([x[k] for k in members]), *drawn(members, of_lang)), strict=True))
+    return out
+
+
 def test_outliers_equal_numpy(spark):
     rng = random.Random(2)
     words = ["ab", "cde", "fghi", "jklmn", "opqrst"]
@@ -234,31 +282,12 @@ def test_outliers_equal_numpy(spark):
         rows.append((k, " ".join(body), "en" if k % 2 else None, "s" if k % 4 else None))
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in quality_rules.judge(frame, keep={"doc_id": "doc_id"}).collect()}
-    groups = collections.defaultdict(list)
-    for k, text, lang, source in rows:
-        groups[lang, source].append((k, text))
-    for members in groups.values():
-        x = []
-        for _, text in members:
-            n, chars, symbols, lines, repeats = _statistics(text)
-            raw = (np.log((chars + 1.0) / (n + 1.0)), (symbols / n) ** 0.5, (lines / n) ** 0.5, (repeats / n) ** 0.5)
-            x.append([np.floor(v * quality_rules.SCALE + 0.5) for v in raw])
-        for (k, _), distance in zip(members, _mcd(np.array(x)), strict=True):
-            assert got[k].distance == pytest.approx(distance, rel=1e-6) and got[k].kept == (distance <= quality_rules.CUTOFF)
+    for k, distance in _expected_distances(rows).items():
+        assert got[k].distance == pytest.approx(distance, rel=1e-6) and got[k].kept == (distance <= quality_rules.CUTOFF)
     assert not any(got[k].kept for k in range(0, 400, 9)) and all(got[k].kept for k in range(400) if k % 9)
     assert sorted(r.doc_id for r in quality_rules.keep_good(frame).collect()) == sorted(k for k, r in got.items() if r.kept)
 
 
-def _shares(sizes, least=quality_rules.LEAST_ROWS):
-    """Pairs whose rows make the estimate of each pair, and the number of steps, in plain Python."""
-    rest = collections.Counter()
-    for (lang, _), n in sizes.items():
-        rest[lang] += n if n < least else 0
-    left = {p for p, n in sizes.items() if n < least and rest[p[0]] < least}
-    pool = left if sum(sizes[p] for p in left) >= least else set(sizes)
-    return {p: ({p} if n >= least else pool if p in left else {q for q in sizes if q[0] == p[0] and sizes[q] < least}) for p, n in sizes.items()}, 0 if sum(sizes.values()) < least else quality_rules.STEPS
-
-
 @pytest.mark.parametrize(
     "sizes",
     [
@@ -277,25 +306,41 @@ def test_every_row_has_a_distance(spark, sizes):
     frame = spark.createDataFrame([*rows, (-1, "too short", "it", "s")], "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in quality_rules.judge(frame, keep={"doc_id": "doc_id"}).collect()}
     assert got.pop(-1).distance is None and len(got) == len(rows)
-    x = {}
-    for key, text, _, _ in rows:
-        n, chars, symbols, lines, repeats = _statistics(text)
-        x[key] = [np.floor(v * quality_rules.SCALE + 0.5) for v in (np.log((chars + 1.0) / (n + 1.0)), (symbols / n) ** 0.5, (lines / n) ** 0.5, (repeats / n) ** 0.5)]
-    shares, steps = _shares(sizes)
-    for pair, pool in shares.items():
-        members = [r[0] for r in rows if r[2:] in pool]
-        for key, distance in zip(members, _mcd(np.array([x[k] for k in members]), steps=steps), strict=True):
-            if rows[key][2:] == pair:
-                assert got[key].distance == pytest.approx(distance, rel=1e-6) and got[key].kept == (distance <= quality_rules.CUTOFF)
+    for key, distance in _expected_distances(rows).items():
+        assert got[key].distance == pytest.approx(distance, rel=1e-6) and got[key].kept == (distance <= quality_rules.CUTOFF)
     assert all(r.kept == ("###" not in rows[k][1]) for k, r in got.items())
     assert sorted(r.doc_id for r in quality_rules.keep_good(frame).collect()) == sorted(k for k, r in got.items() if r.kept)
 
 
-def test_few_rows_give_no_verdict(odd):
+def test_determinants_do_not_rise(spark):
+    """Every concentration step keeps or lowers each group's determinant, and the best start goes on."""
+    rng = np.random.default_rng(8)
+    core = np.round(rng.normal(0, 60, (300, 4)) @ np.array([[1, 0.8, 0, 0], [0, 1, 0.5, 0], [0, 0, 1, 0], [0, 0, 0, 1]])).astype(int)
+    core[::6] += 500
+    rows = quality_rules.cut_lineage(spark.createDataFrame([(k % 2, *map(int, r)) for k, r in enumerate(core)], ["g", *quality_rules.FEATURES]))
+    model, seen = quality_rules.cut_lineage(quality_rules._starts(rows, ["g"], True)), []
+    tried = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    for _ in range(4):
+        model = quality_rules.cut_lineage(quality_rules._concentrate(tried, model, ["g", "start"], quality_rules.SUPPORT, True))
+        seen.append({(r.g, r.start): r.half_log_det for r in model.collect()})
+    assert len(seen[0]) == 6 and all(b[k] <= a[k] for a, b in zip(seen, seen[1:], strict=False) for k in a)
+    got = {r.g: r for r in quality_rules.estimates(rows, ["g"]).collect()}
+    for g in (0, 1):
+        n, (m, cov), _ = _mcd(core[g::2])
+        low = np.zeros((4, 4))
+        for i in range(4):
+            low[i, : i + 1] = [got[g][f"l{i}{j}"] for j in range(i + 1)]
+        assert got[g].n == n and np.allclose([got[g][f"m{i}"] for i in range(4)], m) and np.allclose(low @ low.T, cov)
+
+
+def test_quality_of_odd_rows(odd):
+    """Rows that fail the base rules have no distance; a kept column may not take a name of the result."""
     got = quality_rules.judge(odd, keep={"doc_id": "doc_id"}).collect()
-    assert all(r.kept != r.base_failed and r.distance is None for r in got)
+    assert all(r.base_failed == (r.distance is None) and not (r.kept and r.base_failed) for r in got)
     kept = quality_rules.keep_good(odd)
     assert kept.columns == odd.columns
+    with pytest.raises(ValueError, match="n_words"):
+        quality_rules.judge(odd, keep={"n_words": "doc_id"})
 
 
 def _targets(sizes):
