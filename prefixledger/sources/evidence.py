@@ -66,9 +66,10 @@ def scan_access_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_copies(rows: DataFrame) -> DataFrame:
-    """One row per ``row_sha256``: the first by ``artifact, line_number``."""
+    """One row per ``row_sha256``: the first by ``artifact`` and, where lines are numbered, ``line_number``."""
     others = [c for c in rows.columns if c != "row_sha256"]
-    first = rows.groupBy("row_sha256").agg(F.min_by(F.struct(*others), F.struct("artifact", "line_number")).alias("r"))
+    place = [c for c in ("artifact", "line_number") if c in rows.columns]
+    first = rows.groupBy("row_sha256").agg(F.min_by(F.struct(*others), F.struct(*place)).alias("r"))
     return first.select("row_sha256", "r.*")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from prefixledger.functions import address as A
 from prefixledger.operators import churn
 from prefixledger.session import cut_lineage
-from prefixledger.sources.evidence import log_lines
+from prefixledger.sources.evidence import first_copies, log_lines
 
 
 def stream_access_log(spark: SparkSession, path: str, *, lateness: str = "2 hours") -> DataFrame:
@@ -28,7 +28,7 @@ def stream_access_log(spark: SparkSession, path: str, *, lateness: str = "2 hour
 def store_access_log(spark: SparkSession, path: str, table: str, checkpoint: str) -> StreamingQuery:
     """Append each new access-log line to ``table`` once, however late it arrives.
 
-    A batch is reduced to one copy of a line and compared with the stored lines of the same days, so
+    A batch is reduced to the first copy of a line by file, as the batch scan keeps it, and compared with the stored lines of the same days, so
     state is the table and not a watermark, and a replayed batch adds nothing. Lines without a readable time
     share one day (null).
     """
@@ -38,7 +38,7 @@ def store_access_log(spark: SparkSession, path: str, table: str, checkpoint: str
     dated = rows.withColumn("day", F.to_date(F.timestamp_micros((F.col("ts") * 1000000).cast("bigint"))))
 
     def step(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["row_sha256"])
+        fresh = first_copies(batch).select(*batch.columns)
         if _exists(batch.sparkSession, table):
             stored = batch.sparkSession.read.schema(batch.schema).parquet(table).select(F.col("day").alias("d"), F.col("row_sha256").alias("h"))
             fresh = fresh.join(stored, F.col("day").eqNullSafe(F.col("d")) & (F.col("row_sha256") == F.col("h")), "left_anti")
@@ -71,20 +71,19 @@ def stream_result_counts(spark: SparkSession, path: str) -> DataFrame:
 def compare_arrivals(arrivals: DataFrame, table: str, series: str, checkpoint: str) -> StreamingQuery:
     """Store each arriving snapshot and append its churn against the previous date.
 
-    ``arrivals``: stream of parsed catalogue rows with ``snapshot_date``. Both tables are partitioned by
-    date; the rows of a date that arrive in several batches are merged with those stored, and a batch rewrites only
-    its own dates, so a replayed batch changes nothing.
+    ``arrivals``: stream of parsed catalogue rows with ``snapshot_date``. The table is partitioned by date and by the
+    batch (column ``batch_id``) that brought the rows, the series by date. A batch writes only partitions of its own, so a
+    replayed one changes nothing, and no row of a date is lost: equal rows, which the duplicate reports count, stay
+    as often as they arrive. Table, series and checkpoint belong together: a new checkpoint needs new tables.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         dates = [r.snapshot_date for r in batch.select("snapshot_date").distinct().collect()]  # one per arriving file
         if not dates:
             return
-        if _exists(spark, table):
-            held = spark.read.schema(batch.schema).parquet(table).filter(F.col("snapshot_date").isin(*dates))
-            batch = cut_lineage(batch.unionByName(held).distinct())
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(table)
+        own = batch.withColumn("batch_id", F.lit(number).cast("bigint"))
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date", "batch_id").parquet(table)
         stored = spark.read.schema(batch.schema).parquet(table)
         # The neighbour on either side of every new date is compared again: a late file splits an interval.
         known = sorted(r.snapshot_date for r in stored.select("snapshot_date").distinct().collect())

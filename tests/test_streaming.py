@@ -85,3 +85,25 @@ def test_a_date_in_two_batches_is_merged(spark, tmp_path):
     assert spark.read.parquet(str(table)).count() == 3
     row = spark.read.parquet(str(series)).filter("family = 'v4'").first()
     assert (row.added_pfx, int(row.added_addrs), row.removed_pfx) == (1, 256, 0)
+
+
+def test_equal_rows_of_a_date_stay(spark, tmp_path):
+    """A row that arrives twice, in one batch or in two, is stored twice: the duplicate report counts it."""
+    inbox, table, series, cp = (tmp_path / n for n in ("in", "table", "series", "cp"))
+    schema = "snapshot_date date, cidr string, country string, region string, city string"
+    for cidrs in (["10.0.0.0/24", "10.0.0.0/24"], ["10.0.0.0/24", "10.0.2.0/24"]):
+        rows = spark.createDataFrame([("2026-01-01", c, "US", "", "") for c in cidrs], schema.replace("date date", "date string"))
+        rows.coalesce(1).write.mode("append").json(str(inbox))
+        stream = A.with_prefix(spark.readStream.schema(schema).json(str(inbox)), "cidr")
+        arrivals.compare_arrivals(stream, str(table), str(series), str(cp)).awaitTermination(240)
+    assert sorted(r.cidr for r in spark.read.parquet(str(table)).collect()) == ["10.0.0.0/24"] * 3 + ["10.0.2.0/24"]
+
+
+def test_a_stored_line_names_its_first_file(spark, tmp_path):
+    logs, table, cp = (tmp_path / n for n in ("logs", "table", "cp"))
+    logs.mkdir()
+    line = json.dumps({"ts": 1_000.0, "status": 200, "run_id": "r", "request_uuid": "u", "request": {"uri": "/"}}) + "\n"
+    for name in ("c", "a", "b"):
+        (logs / f"{name}.jsonl").write_text(line)
+    arrivals.store_access_log(spark, str(logs), str(table), str(cp)).awaitTermination(120)
+    assert [r.artifact.rsplit("/", 1)[-1] for r in spark.read.parquet(str(table)).collect()] == ["a.jsonl"]
