@@ -16,6 +16,8 @@ from prefixledger.functions import labels as L
 from prefixledger.operators.intervals import PREFIX, at_lengths, collapse
 
 SALTS = 16
+#: Rows of the name table (one per ASN) up to which it is broadcast.
+BROADCAST_NAMES = 500_000
 
 
 def _short(family: Column) -> Column:
@@ -93,15 +95,24 @@ def attribute(catalogue: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
-def with_operator(attributed: DataFrame, as_names: DataFrame) -> DataFrame:
-    """Add ``as_name`` and ``operator`` from ``asn, as_name``; rows without a match get a bracketed label."""
+def with_operator(attributed: DataFrame, as_names: DataFrame, *, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
+    """Add ``as_name`` and ``operator`` from ``asn, as_name``; rows without a match get a bracketed label.
+
+    Few ASNs hold most rows, so no row is shuffled by its ASN while the names are counted to be at most
+    ``broadcast_names``. Beyond that rows without an ASN are spread by a number of their own.
+    """
     label = (
         F.when(F.col("outcome") == "matched", L.operator_class(F.col("as_name")))
         .when(F.col("outcome") == "unrouted", L.UNROUTED)
         .when(F.col("outcome") == "lookup_failure", L.LOOKUP_FAILURE)
         .when(F.col("outcome") == "containment_failure", L.CONTAINMENT_FAILURE)
     )
-    return attributed.join(as_names, "asn", "left").withColumn("operator", label)
+    if as_names.limit(broadcast_names + 1).count() <= broadcast_names:
+        return attributed.join(F.broadcast(as_names), "asn", "left").withColumn("operator", label)
+    spread = attributed.withColumn("_spread", F.when(F.col("asn").isNotNull(), F.xxhash64("asn")).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    held = as_names.withColumnRenamed("asn", "_h_asn").withColumn("_h_spread", F.xxhash64("_h_asn"))
+    joined = spread.join(held, [F.col("_spread") == F.col("_h_spread"), F.col("asn") == F.col("_h_asn")], "left")
+    return joined.drop("_spread", "_h_asn", "_h_spread").withColumn("operator", label)
 
 
 def strict_attribution(attributed: DataFrame) -> DataFrame:

@@ -182,3 +182,19 @@ def test_customers_beyond_the_wide_slots_keep_their_ipv4_rows(spark, tmp_path):
     assert all(held[(4, k)] == (k < D.V4_SLOTS) for k in edge if k % 50 != 49)
     first = D.catalogue(spark, str(tmp_path)).filter((F.col("snapshot_date") == D.DAYS[0]) & (F.col("family") == 4))
     assert first.count() == first.select("hi", "plen").distinct().count() == sum(k < D.V4_SLOTS for k in edge)
+
+
+def test_names_reach_hot_and_missing_asns(spark):
+    """Names within the bound are broadcast; beyond it a shuffle gives the same rows and spreads those without an ASN."""
+    rows = spark.range(4000).selectExpr(
+        "id", "if(id % 10 < 6, null, if(id % 10 < 9, 7, id % 50)) as asn", "if(id % 10 < 6, if(id % 2 = 0, 'unrouted', 'lookup_failure'), 'matched') as outcome")
+    names = spark.createDataFrame([(7, "HOT-AS Example"), (9, "NINE"), (None, "nobody")], "asn long, as_name string")
+    near = routing.with_operator(rows, names)
+    far = routing.with_operator(rows, names, broadcast_names=2)
+    pick = lambda df: sorted(map(str, df.select("id", "asn", "as_name", "operator").collect()))
+    assert pick(near) == pick(far) and near.count() == 4000
+    assert far.filter("asn is null and as_name is not null").count() == 0 and near.filter("asn = 7 and as_name is null").count() == 0
+    assert "BroadcastHashJoin" in near._jdf.queryExecution().executedPlan().toString()
+    keys = rows.filter("asn is null").select(F.pmod(F.hash(F.xxhash64(F.monotonically_increasing_id())), F.lit(8)).alias("task"))
+    sizes = [r["count"] for r in keys.groupBy("task").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sorted(sizes)[4]
