@@ -92,13 +92,17 @@ def snapshot_manifest(hashes: DataFrame, date: Column) -> DataFrame:
 def daily_index(artifacts: DataFrame) -> DataFrame:
     """Distinct ``day, sha256, category, path`` of archived artifacts (``path, sha256, modified``).
 
-    The day is the date in the file name, else the UTC modification day; the category is the first path part.
+    The day is the first calendar date in the file name, else the UTC modification day; the category is the first
+    path part. A name's date has one separator throughout or none (``20260105``, also before a time of six digits);
+    dates with separators come first, so a number before the date is no part of it.
     """
     base = F.substring_index("path", "/", -1)
-    named = F.regexp_extract(base, r"(?<!\d)(20\d{2})[-_]?(\d{2})[-_]?(\d{2})", 0)
-    digits = F.regexp_replace(named, "[-_]", "")
-    iso = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
-    day = F.when(named != "", iso).otherwise(F.date_format("modified", "yyyy-MM-dd"))
+    separated = F.regexp_extract_all(base, F.lit(r"(?<!\d)20\d{2}([-_])\d{2}\1\d{2}(?!\d)"), F.lit(0))
+    compact = F.regexp_extract_all(base, F.lit(r"(?<!\d)20\d{6}(?=\d{6}(?!\d)|\D|$)"), F.lit(0))
+    digits = F.transform(F.concat(separated, compact), lambda d: F.regexp_replace(d, "[-_]", ""))
+    iso = F.transform(digits, lambda d: F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2)))
+    named = F.get(F.filter(iso, lambda d: d.try_cast("date").isNotNull()), F.lit(0))
+    day = F.coalesce(named, F.date_format("modified", "yyyy-MM-dd"))
     return artifacts.select(day.alias("day"), "sha256", F.split_part("path", F.lit("/"), F.lit(1)).alias("category"), "path").distinct()
 
 
