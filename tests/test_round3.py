@@ -2,8 +2,12 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+import oracle_queries
+import spark_queries
 from prefixledger.operators import manifests
 
 
@@ -15,3 +19,13 @@ from prefixledger.operators import manifests
 def test_the_day_is_a_date_of_the_file_name(spark, name, day):
     file = spark.createDataFrame([(f"x/{name}", "h", dt.datetime(2026, 2, 1, 12))], "path string, sha256 string, modified timestamp")
     assert [r.day for r in manifests.daily_index(file).collect()] == [day]
+
+
+def test_origins_beyond_the_covering_route_match_their_sql(spark, tmp_path):
+    suppliers = spark.range(0, 700).union(spark.range(62970, 62990)).union(spark.range(65536, 65600)).select(F.col("id").alias("s_suppkey"))
+    suppliers.write.parquet(str(tmp_path / "supplier.parquet"))
+    got = sorted((tuple(r) for r in spark_queries.reconstructed_origins(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = sorted(con.execute(oracle_queries.ORACLES["reconstructed_origins"]).fetchall(), key=repr)
+    assert got == want and len(got) == len({r[0] for r in got})
