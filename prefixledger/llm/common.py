@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +33,26 @@ def worker_object(name, build):
 def release() -> None:
     """Let go of what an earlier stage left in this worker process."""
     _HELD.clear()
+    give_back()
+
+
+def tidied(run):
+    """``run`` of a ``mapInArrow`` in a worker that holds nothing of earlier stages, and afterwards nothing of this one."""
+
+    def whole(batches):
+        release()
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system: Arrow's pool and the C library keep it otherwise, and workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has this call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,4 +100,4 @@ def with_group_values(rows: DataFrame, groups: DataFrame, keys: list[str], *, sa
     return out.drop(*[f"_g_{k}" for k in keys])
 
 
-__all__ = ["BROADCAST_ROWS", "WORD", "cut_lineage", "few_rows", "packed", "release", "table", "unpacked", "with_group_values", "word_count", "worker_object", "words"]
+__all__ = ["BROADCAST_ROWS", "WORD", "cut_lineage", "few_rows", "give_back", "packed", "release", "table", "tidied", "unpacked", "with_group_values", "word_count", "worker_object", "words"]

@@ -35,22 +35,25 @@ from prefixledger.session import stored_path
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
+#: Bytes of words that a writing worker caches (each of two generations): it holds one block of ids besides.
+WORD_BYTES = 80 << 20
 _DOC = np.dtype([("key", "<i8"), ("null", "u1"), ("ids", "<i8")])
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
     """Bit planes of a block, lowest bit first; as many as its largest id needs, at least one."""
     width = max(1, int(ids.max()).bit_length())
-    bits = np.unpackbits(np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return [row.tobytes() for row in np.packbits(np.ascontiguousarray(bits[:, :width].T), axis=1, bitorder="little")]
+    ids = ids.astype("<u2" if width <= 16 else "<u4")
+    of = ids.dtype.type
+    return [np.packbits(((ids >> of(j)) & of(1)).astype(np.uint8), bitorder="little").tobytes() for j in range(width)]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     """The ids of a block from its planes."""
-    bits = np.zeros((n, 32), dtype=np.uint8)
+    ids = np.zeros(n, dtype="<u4")
     for j, plane in enumerate(planes):
-        bits[:, j] = np.unpackbits(np.frombuffer(plane, dtype=np.uint8), count=n, bitorder="little")
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1)
+        ids |= np.unpackbits(np.frombuffer(plane, dtype=np.uint8), count=n, bitorder="little").astype("<u4") << np.uint32(j)
+    return ids
 
 
 class Writer:
@@ -157,17 +160,19 @@ def write(df: DataFrame, folder: str, path: str, *, key: str = "doc_id", text: s
     rows = rows.withColumn("_hash", F.xxhash64("_text")).repartitionByRange("_key", "_hash").sortWithinPartitions("_key", "_hash")
 
     def run(batches):
-        writer, own, first, total, documents = None, bpe.encoder(path), None, 0, 0
+        writer, own, first, total, documents = None, bpe.encoder(path, word_bytes=WORD_BYTES), None, 0, 0
         end = np.array([end_id], dtype="<u4")
-        for batch in batches:
-            for k, t, h in zip(batch.column("_key"), batch.column("_text"), batch.column("_hash"), strict=True):
+        for part in (part for batch in batches for part in bpe.parts(batch, "_text", 2 << 20)):
+            flat, at = own.encode_all(part.column("_text"))
+            begins = at.tolist()
+            for k, h, i, j in zip(part.column("_key"), part.column("_hash"), begins, begins[1:]):
                 if writer is None:
                     name = f"{folder}/ids-{uuid.uuid4().hex}.planes"
                     files, place = _open(name)
                     files.create_dir(place.rsplit("/", 1)[0], recursive=True)
                     stream = files.open_output_stream(place)
                     writer, first = Writer(stream, block_ids), (k.as_py(), h.as_py())
-                ids = np.concatenate([own.encode(t.as_py()), end])
+                ids = np.concatenate([flat[i:j], end])
                 writer.add(k.as_py(), ids)
                 total, documents = total + len(ids), documents + 1
         if writer is not None:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -423,3 +424,43 @@ def test_quality_odd_rows(odd):
     out = quality_cnn.score(odd, quality_cnn.fit(odd, labels.limit(0))).collect()
     assert len(out) == odd.count() and all(r.score == 0.5 for r in out)
     assert quality_cnn.score(odd.limit(0), quality_cnn.start_weights()).count() == 0
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def test_bpe_encodes_a_batch_at_once():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(BPE), bpe.Encoder(BPE)
+    calls = []
+    plain = own._fragments
+    own._fragments = lambda texts, ends: calls.append(len(texts)) or plain(texts, ends)
+    texts = [None, "", " ", *[f"{x}o{y}inté{x}{y} N{x}a{y}e. ¿x{x}{y}ß" for x in _LETTERS for y in _LETTERS], "a\x1cb c", "<|endoftext|>x y"]
+    ids, at = own.encode_all(pa.array(texts))
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(calls) <= 2 and sum(calls) > 600
+    assert [x.tolist() for x in own.encode_all(pa.array([], pa.string()))] == [[], [0]]
+
+
+def test_caches_stay_within_their_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "WORD_BYTES", 40 * bpe.ENTRY_BYTES)
+    own, most = bpe.Encoder(BPE), 0
+    for k in range(200):
+        own.encode(" ".join(f"w{k * 10 + i}" for i in range(10)))
+        most = max(most, len(own.words) + len(own.old_words))
+    assert 40 <= most <= 100
+
+
+def test_a_stage_leaves_nothing_in_its_worker():
+    from prefixledger.llm import common
+
+    common.worker_object("kept", lambda: "object")
+    given = []
+
+    def run(batches):
+        assert not common._HELD
+        yield from batches
+        given.append(True)
+
+    assert list(common.tidied(run)([1, 2])) == [1, 2] and given
