@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefixledger.llm.common import cut_lineage, release
+from prefixledger.llm.common import cut_lineage, tidied
 from prefixledger.llm.components import components
 from prefixledger.llm.shingles import mix, shingle_sets
 from prefixledger.session import stored_frames
@@ -54,7 +54,6 @@ def _scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
     schema = T.StructType([docs.schema["id"], T.StructField("a", T.LongType()), T.StructField("n", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
-        release()
         sketch = np.zeros(1 << bits, dtype=np.uint32)
         shift = np.uint64(64 - bits)
         for batch in batches:
@@ -76,7 +75,7 @@ def _scan(docs: DataFrame, size: int, bits: int) -> DataFrame:
         n = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=["id", "a", "n", "block", "counts"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _order(scanned: DataFrame, bits: int) -> bytes:
@@ -92,7 +91,7 @@ def _order(scanned: DataFrame, bits: int) -> bytes:
             level = (2 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
 
-    blocks = scanned.filter("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, level binary").collect()
+    blocks = scanned.filter("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(tidied(add), "block int, level binary").collect()
     parts = {r.block: bytes(r.level) for r in blocks}
     empty = bytes((1 << bits) // SKETCH_BLOCKS)
     return b"".join(parts.get(k, empty) for k in range(SKETCH_BLOCKS))
@@ -117,7 +116,7 @@ def _bitmap(values: DataFrame, rows: int) -> tuple[bytes, int]:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(here, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
     dealt = values.repartition(64, F.shiftrightunsigned(F.col(values.columns[0]), 58))
-    found = {r.block: bytes(r.bits) for r in dealt.mapInArrow(build, "block int, bits binary").collect()}
+    found = {r.block: bytes(r.bits) for r in dealt.mapInArrow(tidied(build), "block int, bits binary").collect()}
     return b"".join(found.get(k, bytes((1 << within) // 8)) for k in range(64)), bits
 
 
@@ -139,7 +138,6 @@ def _prefixes(docs: DataFrame, order, size: int, bits: int, only=None) -> DataFr
     schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
     def run(batches):
-        release()
         level = np.frombuffer(order.value, dtype=np.uint8)
         for batch in batches:
             held, rows = [], 0
@@ -155,7 +153,7 @@ def _prefixes(docs: DataFrame, order, size: int, bits: int, only=None) -> DataFr
             if held:
                 yield _prefix_batch(held, names, only)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _prefix_batch(held: list, names: list[str], only) -> pa.RecordBatch:
@@ -315,14 +313,13 @@ def _with_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     only = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("rep")), wanted.count()))
 
     def run(batches):
-        release()
         bitmap, width = np.frombuffer(only.value[0], dtype=np.uint8), only.value[1]
         for batch in batches:
             batch = batch.filter(pa.array(_may_hold(bitmap, width, np.asarray(batch.column("h")).view(np.uint64))))
             marks = [_class_of(s) for s in shingle_sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marks, pa.int64()), batch.column("text")], names=["id", "ia", "text"])
 
-    texts = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, ia long, text string")
+    texts = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(tidied(run), "id long, ia long, text string")
     # joined by class alone, so that the same exchange serves to keep one row of each class
     same = F.coalesce(F.col("id").bitwiseXOR(F.col("rep")) == 0, F.col("id").isNull() & F.col("rep").isNull())
     here = texts.join(wanted, (F.col("ia") == F.col("a")) & same)
@@ -417,12 +414,11 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", siz
     schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
 
     def run(batches):
-        release()
         for batch in batches:
             marks = [_class_of(s) if len(s) else None for s in shingle_sets(batch.column(text), size)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*names, mark])
 
-    marked = docs.mapInArrow(run, schema)
+    marked = docs.mapInArrow(tidied(run), schema)
     chosen = kept.select(F.col("kid").alias(f"{mark}_id"), F.col("ka").alias(f"{mark}_kept"))
     here = (F.col(mark) == F.col(f"{mark}_kept")) & F.col(f"`{key}`").cast("long").eqNullSafe(F.col(f"{mark}_id"))
     stay = marked.filter(F.col(mark).isNotNull()).join(chosen, here, "left_semi")
