@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefixledger.llm import bpe
-from prefixledger.llm.common import cut_lineage
+from prefixledger.llm.common import cut_lineage, give_back, tidied
 from prefixledger.session import stored_path
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 #: Bytes of words that a writing worker caches (each of two generations): it holds one block of ids besides.
-WORD_BYTES = 80 << 20
+WORD_BYTES = 40 << 20
 _DOC = np.dtype([("key", "<i8"), ("null", "u1"), ("ids", "<i8")])
 
 
@@ -160,6 +160,7 @@ def write(df: DataFrame, folder: str, path: str, *, key: str = "doc_id", text: s
     rows = rows.withColumn("_hash", F.xxhash64("_text")).repartitionByRange("_key", "_hash").sortWithinPartitions("_key", "_hash")
 
     def run(batches):
+        give_back()
         writer, own, first, total, documents = None, bpe.encoder(path, word_bytes=WORD_BYTES), None, 0, 0
         end = np.array([end_id], dtype="<u4")
         for part in (part for batch in batches for part in bpe.parts(batch, "_text", 2 << 20)):
@@ -179,6 +180,7 @@ def write(df: DataFrame, folder: str, path: str, *, key: str = "doc_id", text: s
             writer.close()
             stream.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "documents": documents, "ids": total, "first_key": first[0], "first_hash": first[1]}], schema=pa.schema([("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("first_key", pa.int64()), ("first_hash", pa.int64())]))
+        give_back()
 
     files = cut_lineage(rows.mapInArrow(run, _FILES))
     before = Window.orderBy(F.col("first_key").asc_nulls_first(), "first_hash").rowsBetween(Window.unboundedPreceding, -1)
@@ -207,7 +209,7 @@ def read_digests(files: DataFrame, *, key: str = "doc_id") -> DataFrame:
                     yield _batch(out, key)
 
     n = max(1, min(files.count(), 20_000))
-    return files.select("file", "start").repartition(n).mapInArrow(run, schema)
+    return files.select("file", "start").repartition(n).mapInArrow(tidied(run), schema)
 
 
 def _batch(rows: list[tuple], key: str) -> pa.RecordBatch:
