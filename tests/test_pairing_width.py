@@ -67,3 +67,15 @@ def test_stored_records_hold_facts_and_no_lists(spark, sf_dir, monkeypatch):
     assert "evidence_bad" in stored[0]
     assert not {"metadata_problems", "response_problems", "approved_pin_group_addresses", "first_udp"} & set(stored[0])
     assert set(stored[1]) == set(pairing.INGRESS_READ)
+
+
+def test_trials_store_what_is_read_and_parse_the_catalogue_once(spark, sf_dir, monkeypatch):
+    import prefixledger.session as session
+
+    stored = []
+    cut = session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: stored.append(df.schema) or cut(df))
+    trials = Q._trials(spark, sf_dir)
+    assert [f.name for f in stored[0]["row"].dataType] == ["ts", "remote_ip", "remote_port", "proto"]
+    assert any({"plen", "hi", "lo", "city"} <= set(schema.names) for schema in stored)
+    assert "_ordinal" in trials.columns and trials.select("run_id").distinct().count() == D.table(spark, sf_dir, "events").count()
