@@ -6,11 +6,14 @@
 2. Two linked sets share a shingle among the first n - ceil(4n/5) + 1 of both. A class sends these
    with the longest partner its position still allows. Shingles with one class go; the others tie classes
    together by one edge to a hub for each range of lengths, never by pairs.
-3. Components of these edges are clusters no link leaves. A cluster (or a block of a large one) goes to one task
+3. Rounds: classes without an edge have no link and go. Counts among the classes left, and the shingles that tied them, give
+   a finer order (those come last now), whose prefixes tie fewer. A sketch of fixed size cannot tell single shingles from passages that a
+   few texts share; without rounds such ties join ever more of a growing corpus to one cluster.
+4. Components of the last edges are clusters no link leaves. A cluster (or a block of a large one) goes to one task
    as a trie of ordered sets. A search goes down sharing the overlap of common beginnings and leaves a
    subtree when the shingles that remain there or in the search set cannot reach 4/9 of both lengths,
    or when all its sets already are in the searcher's component.
-4. Verified links give the components. Large clusters work in rounds: blocks with shared pivots
+5. Verified links give the components. Large clusters work in rounds: blocks with shared pivots
    first, then only sets outside the cluster's main component against every block.
 
 ``a`` identifies a class: a 64-bit hash of its set and length.
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 from prefixledger.llm.common import cut_lineage, tidied
 from prefixledger.llm.components import components
 from prefixledger.llm.shingles import mix, shingle_sets
-from prefixledger.session import stored_frames
+from prefixledger.session import remove_stored, stored_frames
 
 SIZE = 5
 SKETCH_BITS = 22
@@ -37,6 +40,9 @@ SKETCH_BLOCKS = 64
 BLOCK_CLASSES = 3_000
 BLOCK_SHINGLES = 2_000_000
 PIVOTS = 8
+#: Orders tried at most; a round that leaves more than this share of its classes is the last.
+ROUNDS = 4
+STILL_TIED = 0.75
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -91,7 +97,8 @@ def _order(scanned: DataFrame, bits: int) -> bytes:
             level = (2 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
 
-    blocks = scanned.filter("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(tidied(add), "block int, level binary").collect()
+    summed = scanned.filter("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(tidied(add), "block int, level binary")
+    blocks = cut_lineage(summed).collect()  # stored first: Spark cleans the shuffles of writes, not those of collect()
     parts = {r.block: bytes(r.level) for r in blocks}
     empty = bytes((1 << bits) // SKETCH_BLOCKS)
     return b"".join(parts.get(k, empty) for k in range(SKETCH_BLOCKS))
@@ -116,7 +123,7 @@ def _bitmap(values: DataFrame, rows: int) -> tuple[bytes, int]:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(here, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
     dealt = values.repartition(64, F.shiftrightunsigned(F.col(values.columns[0]), 58))
-    found = {r.block: bytes(r.bits) for r in dealt.mapInArrow(tidied(build), "block int, bits binary").collect()}
+    found = {r.block: bytes(r.bits) for r in cut_lineage(dealt.mapInArrow(tidied(build), "block int, bits binary")).collect()}
     return b"".join(found.get(k, bytes((1 << within) // 8)) for k in range(64)), bits
 
 
@@ -125,8 +132,13 @@ def _may_hold(bitmap: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _ordered(shingles: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
-    return shingles[np.lexsort((shingles, level[shingles >> np.uint64(64 - bits)]))]
+def _ordered(shingles: np.ndarray, order: tuple[bytes, list], bits: int) -> np.ndarray:
+    """By the sketch, those that tied classes in an earlier round behind all others; ties by hash."""
+    sketch, tied = order
+    level = np.frombuffer(sketch, dtype=np.uint8)[shingles >> np.uint64(64 - bits)]
+    for bitmap, width in tied:
+        level = level | (_may_hold(np.frombuffer(bitmap, dtype=np.uint8), width, shingles).astype(np.uint8) << np.uint8(7))
+    return shingles[np.lexsort((shingles, level))]
 
 
 def _prefixes(docs: DataFrame, order, size: int, bits: int, only=None) -> DataFrame:
@@ -138,14 +150,13 @@ def _prefixes(docs: DataFrame, order, size: int, bits: int, only=None) -> DataFr
     schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
     def run(batches):
-        level = np.frombuffer(order.value, dtype=np.uint8)
         for batch in batches:
             held, rows = [], 0
             for shingles in shingle_sets(batch.column("text"), size):
                 n = len(shingles)
                 if n:
                     count = n - (4 * n + 4) // 5 + 1
-                    held.append((_ordered(shingles, level, bits)[:count], _class_of(shingles), n))
+                    held.append((_ordered(shingles, order.value, bits)[:count], _class_of(shingles), n))
                     rows += count
                 if rows > 200_000:
                     yield _prefix_batch(held, names, only)
@@ -295,9 +306,8 @@ def _links(groups: DataFrame, order, size: int, bits: int) -> DataFrame:
     """Links ``u, v`` found in each group of rows ``cluster, part, a, searches, root, text``."""
 
     def run(group: pa.Table) -> pa.Table:
-        level = np.frombuffer(order.value, dtype=np.uint8)
         texts = group.column("text").combine_chunks()
-        tokens = (_ordered(s, level, bits).tolist() for s in shingle_sets(texts, size))
+        tokens = (_ordered(s, order.value, bits).tolist() for s in shingle_sets(texts, size))
         links = _linked(list(zip(group.column("a").to_pylist(), group.column("searches").to_pylist(), group.column("root").to_pylist(), tokens, strict=True)))
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
@@ -305,7 +315,7 @@ def _links(groups: DataFrame, order, size: int, bits: int) -> DataFrame:
 
 
 def _with_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``a, n, cluster, text``: the text of one document of every wanted class (rows ``rep, a, n, cluster``).
+    """``a, n, text``: the text of one document of every wanted class (rows ``rep, a, n``).
 
     Texts travel instead of their sets: they compress, hashes do not. A class whose ids are all null has a null ``rep``
     and is found by it like any other.
@@ -323,9 +333,37 @@ def _with_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     # joined by class alone, so that the same exchange serves to keep one row of each class
     same = F.coalesce(F.col("id").bitwiseXOR(F.col("rep")) == 0, F.col("id").isNull() & F.col("rep").isNull())
     here = texts.join(wanted, (F.col("ia") == F.col("a")) & same)
-    return here.select("a", "n", "cluster", "text").dropDuplicates(["a"])
+    return here.select("a", "n", "text").dropDuplicates(["a"])
 
 
+def _edges(texts: DataFrame, order, size: int, bits: int) -> tuple[DataFrame, tuple[bytes, int]]:
+    """Stored edges ``u, v`` of the classes of ``texts`` under an order, and the bitmap of the shingles that tie them."""
+    spark = texts.sparkSession
+    met = cut_lineage(_prefixes(texts, order, size, bits).groupBy("t").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select(F.col("t").alias("mt")))
+    bitmap = _bitmap(met, met.count())
+    wide = _prefixes(texts, order, size, bits, spark.sparkContext.broadcast(bitmap))
+    shared = cut_lineage(wide.join(met, F.col("t") == F.col("mt")).select("t", "a", "n", "reach").distinct())
+    edges = cut_lineage(_ties(shared))
+    for old in (met, shared):
+        remove_stored(old)
+    return edges, bitmap
+
+
+def _tied(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+
+
+def _kept_texts(texts: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """The rows of ``texts`` whose class is in ``nodes``, with the columns of both; texts the bitmap shuts out are not shuffled."""
+    only = texts.sparkSession.sparkContext.broadcast(_bitmap(nodes.select("node"), count))
+
+    def run(batches):
+        bitmap, width = np.frombuffer(only.value[0], dtype=np.uint8), only.value[1]
+        for batch in batches:
+            yield batch.filter(pa.array(_may_hold(bitmap, width, np.asarray(batch.column("a")).view(np.uint64))))
+
+    return texts.mapInArrow(tidied(run), texts.schema).join(nodes, F.col("a") == F.col("node")).drop("node")
+
 def _cluster_links(sets: DataFrame, block_classes: int, block_shingles: int, order, size: int, bits: int) -> DataFrame:
     """All links that components need, from stored rows ``a, n, cluster, text``."""
     links_of = lambda groups: _links(groups, order, size, bits)
@@ -368,15 +406,28 @@ def _components_of(docs: DataFrame, key: str, text: str, size: int, sketch_bits:
         scanned = cut_lineage(_scan(rows, size, sketch_bits))
         members = scanned.filter("block is null").select("id", "a", "n")
         classes = cut_lineage(members.filter("n > 0").groupBy("a").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
-        order = spark.sparkContext.broadcast(_order(scanned, sketch_bits))
-        narrow = _prefixes(rows, order, size, sketch_bits)
-        met = cut_lineage(narrow.groupBy("t").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select(F.col("t").alias("mt")))
-        only = spark.sparkContext.broadcast(_bitmap(met, met.count()))
-        wide = _prefixes(rows, order, size, sketch_bits, only)
-        shared = cut_lineage(wide.join(met, F.col("t") == F.col("mt")).select("t", "a", "n", "reach").distinct())
-        clusters = cut_lineage(components(_ties(shared)).select(F.col("node"), F.col("root").alias("cluster")))
-        wanted = cut_lineage(classes.join(clusters, F.col("a") == F.col("node")).select("rep", "a", "n", "cluster"))
-        texts = cut_lineage(_with_texts(rows, wanted, size))
+        order = spark.sparkContext.broadcast((_order(scanned, sketch_bits), []))
+        edges, bitmap = _edges(rows, order, size, sketch_bits)
+        nodes, bitmaps = cut_lineage(_tied(edges)), [bitmap]
+        left = nodes.count()
+        texts = cut_lineage(_with_texts(rows, classes.join(nodes, F.col("a") == F.col("node")).select("rep", "a", "n"), size))
+        for _ in range(ROUNDS - 1):
+            if left <= block_classes and (texts.agg(F.sum("n")).first()[0] or 0) <= block_shingles:
+                break  # one task holds them all
+            before = left
+            counts = _scan(texts.select(F.col("a").alias("id"), "text"), size, sketch_bits)
+            order = spark.sparkContext.broadcast((_order(counts, sketch_bits), list(bitmaps)))
+            edges, bitmap = _edges(texts, order, size, sketch_bits)
+            nodes = cut_lineage(_tied(edges))
+            left = nodes.count()
+            if left > STILL_TIED * before:
+                break
+            bitmaps.append(bitmap)
+            texts, old = cut_lineage(_kept_texts(texts, nodes, left)), texts
+            remove_stored(old)
+        clusters = cut_lineage(components(edges).select("node", F.col("root").alias("cluster")))
+        texts, old = cut_lineage(_kept_texts(texts, clusters, left)), texts
+        remove_stored(old)
         roots = cut_lineage(components(_cluster_links(texts, block_classes, block_shingles, order, size, sketch_bits)))
         linked = classes.join(roots, F.col("a") == F.col("node"))
         names = cut_lineage(linked.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("least")))
